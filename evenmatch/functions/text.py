@@ -55,11 +55,15 @@ def match_case(source: Column, target: Column) -> Column:
     )
 
 
+def strip(col: Column) -> Column:
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
+
+
 def layout_to_sentences(col: Column) -> Column:
     """End every non-empty layout line with a full stop; single-line text is left as it is."""
     lines = F.transform(
-        F.split(col, r"\r\n|\n|\r"),
-        lambda x: F.trim(F.regexp_replace(x, "^[\\s•▪●–—*\\-·]+", "")),
+        F.split(col, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"),
+        lambda x: strip(F.regexp_replace(x, r"^[\s\u2022\u25aa\u25cf\u2013\u2014*\-\u00b7]+", "")),
     )
     closed = F.transform(
         F.filter(lines, lambda x: F.length(x) > 0),

@@ -129,9 +129,9 @@ class Tables:
         docs = self.read("documents").select(
             F.col("doc_id"), F.col("lang").alias("source"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("tokens")
         )
-        flags = F.transform("tokens", lambda t: F.length(t) >= min_len)
+        docs = docs.withColumn("long", F.transform("tokens", lambda t: F.length(t) >= min_len))
         return (
-            docs.select("doc_id", "source", "tokens", F.explode(runs(flags)).alias("s"))
+            docs.select("doc_id", "source", "tokens", F.explode(runs(F.col("long"))).alias("s"))
             .select(
                 "doc_id", "source", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
                 F.expr("CASE WHEN s.start % 2 = 0 THEN 'skill' ELSE 'knowledge' END").alias("label"),
