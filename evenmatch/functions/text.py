@@ -88,19 +88,20 @@ def parse_fit_score(col: Column) -> Column:
     )
 
 
-def light_stem(col: Column) -> Column:
-    """Light suffix stripper used on both sides of dictionary matching.
+def light_stems(tokens: Column) -> Column:
+    """Light suffix stripper over an array of tokens, used on both sides of dictionary matching.
 
-    Rule order: words of three letters or fewer stay; "ies" -> "y"; "ing" and "ed" go when at
-    least three letters remain; then a final "es"/"s" (not "ss") and a final "e" go.
+    Tokens of three letters or fewer stay. Then "ies" -> "y"; "ing" or "ed" goes when three letters
+    remain; a final "s" (not "ss") goes; and a final "e" goes when more than three letters are left.
+    Each step is its own pass, so no step repeats the work of the one before.
     """
-    c = F.lower(col)
-    c = F.when(F.length(c) <= 3, c).otherwise(
-        F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(c, "ies$", "y"), "^(.{3,})(ing|ed)$", "$1"), "([^s])s$", "$1"
-        )
-    )
-    return F.when(F.length(c) <= 3, c).otherwise(F.regexp_replace(c, "e$", ""))
+    cut = lambda x, k: F.substring(x, 1, F.length(x) - k)
+    n = F.length
+    t = F.transform(tokens, F.lower)
+    t = F.transform(t, lambda x: F.when((n(x) > 3) & x.endswith("ies"), F.concat(cut(x, 3), F.lit("y"))).otherwise(x))
+    t = F.transform(t, lambda x: F.when((n(x) >= 6) & x.endswith("ing"), cut(x, 3)).when((n(x) >= 5) & x.endswith("ed"), cut(x, 2)).otherwise(x))
+    t = F.transform(t, lambda x: F.when((n(x) > 3) & x.endswith("s") & ~x.endswith("ss"), cut(x, 1)).otherwise(x))
+    return F.transform(t, lambda x: F.when((n(x) > 3) & x.endswith("e"), cut(x, 1)).otherwise(x))
 
 
 def order_hash(seed, *cols) -> Column:

@@ -59,8 +59,8 @@ def chunk_mean_embedding(windows: DataFrame, key: str, vec: str = "embedding", p
     lists = windows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, vec))).alias("_l"))
     zero = F.transform(F.get("_l", F.lit(0))[vec], lambda x: F.lit(0.0))
     total = F.aggregate("_l", zero, lambda acc, z: F.zip_with(acc, z[vec], lambda a, b: a + b.cast("double")))
-    mean = lists.select(key, F.size("_l").alias("_n"), total.alias("_t")).select(key, F.transform("_t", lambda x: x / F.col("_n")).alias("_m"))
-    return mean.select(key, _unit(F.col("_m")).alias("vec"))
+    # the sum and the mean have the same direction, so the sum is normalised directly
+    return lists.select(key, total.alias("_t")).select(key, _unit(F.col("_t")).alias("vec"))
 
 
 def dense_pair_score(pairs: DataFrame, jd_vecs: DataFrame, bio_vecs: DataFrame) -> DataFrame:

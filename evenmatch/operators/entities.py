@@ -80,7 +80,7 @@ def one_to_one_match() -> Column:
     step = lambda a, c: F.when(
         F.array_contains(a["i"], c["i"]) | F.array_contains(a["k"], c["k"]), a
     ).otherwise(F.struct((a["s"] - c["neg"]).alias("s"), F.concat(a["i"], F.array(c["i"])).alias("i"), F.concat(a["k"], F.array(c["k"])).alias("k")))
-    return F.aggregate(F.array_sort(cells), start, step, lambda a: a["s"]) / F.size("jd_ents")
+    return F.aggregate(F.sort_array(cells), start, step, lambda a: a["s"]) / F.size("jd_ents")
 
 
 def entity_idf(jd_entities: DataFrame, key: str = "jd_id", ent: str = "ent_key") -> tuple[DataFrame, DataFrame]:
@@ -114,7 +114,7 @@ def requirement_report(best: DataFrame, weight: str = "jd_weight", top: int | No
     rows = F.transform("best", lambda b: F.struct(
         (-(b[weight] / F.col("_w")) * (1 - b["sim"])).alias("neg_lost"), b["j_pos"].alias("j_pos"), b["jd_ent"].alias("jd_ent"), b["bio_ent"].alias("bio_ent"),
         b["sim"].alias("sim"), (b[weight] / F.col("_w")).alias("weight"), (b[weight] / F.col("_w") * b["sim"]).alias("contribution")))
-    d = best.withColumn("_w", total).withColumn("_r", F.array_sort(rows))
+    d = best.withColumn("_w", total).withColumn("_r", F.sort_array(rows))
     d = d.withColumn("score", F.aggregate("_r", F.lit(0.0), lambda a, r: a + r["contribution"]))
     shown = F.slice("_r", 1, top) if top else F.col("_r")
     return d.select("jd_id", "bio_id", "score", F.posexplode(shown).alias("p", "r")).select(
@@ -125,7 +125,7 @@ def requirement_report(best: DataFrame, weight: str = "jd_weight", top: int | No
 def matched_gaps_suggestions(best: DataFrame, match: float = 0.55, near: float = 0.35) -> DataFrame:
     """Older report: per pair matched, gaps, near misses and the percentage matched (one decimal)."""
     n = lambda cond: F.size(F.filter("best", cond)).cast("bigint")
-    names = lambda cond: F.array_join(F.array_sort(F.transform(F.filter("best", cond), lambda b: b["jd_ent"])), ",")
+    names = lambda cond: F.array_join(F.sort_array(F.transform(F.filter("best", cond), lambda b: b["jd_ent"])), ",")
     matched, near_miss = (lambda b: b["sim"] >= match), (lambda b: (b["sim"] >= near) & (b["sim"] < match))
     return best.select(
         "jd_id", "bio_id", n(matched).alias("total_matched"), F.size("best").cast("bigint").alias("total_requirements"),

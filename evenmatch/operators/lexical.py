@@ -15,7 +15,7 @@ from ..sources.rules import STOP_WORDS
 
 def term_vectors(docs: DataFrame, key: str, text: str = "text", stop_words=STOP_WORDS) -> DataFrame:
     """key, terms (sorted distinct), tfs, dl."""
-    toks = docs.select(key, F.array_sort(search_tokens(F.col(text), stop_words)).alias("_s"))
+    toks = docs.select(key, F.sort_array(search_tokens(F.col(text), stop_words)).alias("_s"))
     idx = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
     marked = toks.withColumn("_at", F.filter(idx, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))))
     n = F.size("_s")
@@ -81,7 +81,9 @@ def tfidf_vectors(vectors: DataFrame, key: str, idf: DataFrame, sublinear: bool
     tf = (F.log(F.col("tf")) + 1) if sublinear else F.col("tf").cast("double")
     w = _weighted(vectors, key, idf, tf * F.col("idf"))
     norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, x: a + x * x))
-    return w.withColumn("_n", norm).select(key, "terms", F.transform("ws", lambda x: x / F.col("_n")).alias("ws"))
+    # the norm is repeated beside the weights: inside the lambda it would be evaluated per element
+    both = F.arrays_zip(F.col("ws").alias("x"), F.array_repeat(norm, F.size("ws")).alias("n"))
+    return w.select(key, "terms", F.transform(both, lambda z: z["x"] / z["n"]).alias("ws"))
 
 
 def tfidf_score(pairs: DataFrame, queries: DataFrame, docs: DataFrame, query_key: str = "jd_id", doc_key: str = "bio_id") -> DataFrame:

@@ -108,7 +108,7 @@ def build_pools(
     if irrelevant == "uniform":
         dealt = others.withColumn(
             "classes",
-            F.array_sort(F.transform("classes", lambda c: F.struct(
+            F.sort_array(F.transform("classes", lambda c: F.struct(
                 order_hash(seed, F.col("jd_id"), c["bio_occ"]).alias("h"), c["bio_occ"].alias("bio_occ"), c["n"].alias("n")))),
         )
         slots = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(half_irr - 1)))).select(

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import WORD_OR_MARK, find_all, light_stem
+from ..functions.text import WORD_OR_MARK, find_all, light_stems
 from ..sources.rules import STOP_WORDS
 
 BIN = 64  # token positions per bin of the interval joins
@@ -49,7 +49,7 @@ def build_patterns(
 
 def _token_keys(col: Column, mode: str) -> Column:
     toks = find_all(F.lower(col), WORD_OR_MARK)
-    return F.transform(toks, light_stem) if mode == "norm" else toks
+    return light_stems(toks) if mode == "norm" else toks
 
 
 def dictionary_spans(
@@ -57,25 +57,30 @@ def dictionary_spans(
 ) -> DataFrame:
     """All phrase matches, one row per (document, start, end); ``priority`` is the matching pass.
 
-    Token n-grams are equi-joined with the pattern keys. The n-grams are built and probed inside
-    one stage when the pattern table is small enough for Spark to broadcast it, and shuffled by
-    n-gram otherwise.
+    Every token position is first probed against the first tokens of the patterns, and only the
+    positions and lengths that can match become n-grams, which are equi-joined with the pattern
+    keys. Spark broadcasts the pattern table when it is small and shuffles by n-gram otherwise.
     """
     out = None
     for rank, mode in enumerate(modes):
         pats = (
-            patterns.withColumn("_k", F.array_join(_token_keys(F.col("form"), mode), " "))
-            .groupBy("_k").agg(F.min(F.struct("concept_pos", "form_pos", "label", "concept_id")).alias("m"))
-            .select("_k", "m.label", "m.concept_id")
+            patterns.withColumn("_p", _token_keys(F.col("form"), mode))
+            .groupBy(F.array_join("_p", " ").alias("_k"), F.get("_p", F.lit(0)).alias("_first"), F.size("_p").alias("_len"))
+            .agg(F.min(F.struct("concept_pos", "form_pos", "label", "concept_id")).alias("m"))
+            .select("_k", "_first", "_len", "m.label", "m.concept_id")
         )
+        firsts = pats.where(F.col("_len") <= max_tokens).groupBy("_first").agg(F.collect_set("_len").alias("_lens"))
         toks = docs.select(key, find_all(F.col(text), WORD_OR_MARK).alias("_t"), _token_keys(F.col(text), mode).alias("_n"))
-        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_tokens)), lambda n: F.transform(
-            F.when(F.size("_n") >= n, F.sequence(F.lit(0), F.size("_n") - n)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice("_n", i + 1, n), " ").alias("_k"),
-                               F.array_join(F.slice("_t", i + 1, n), " ").alias("text")))))
+        windows = F.transform("_n", lambda x, i: F.struct(
+            i.alias("start"), x.alias("_first"), F.slice("_n", i + 1, max_tokens).alias("_ns"), F.slice("_t", i + 1, max_tokens).alias("_ts")))
         found = (
-            toks.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(pats, "_k")
-            .select(key, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "text", "label",
+            toks.select(key, F.explode(windows).alias("g")).select(key, "g.*").join(firsts, "_first")
+            .select(key, "start", "_ns", "_ts", F.explode("_lens").alias("_n"))
+            .where(F.col("_n") <= F.size("_ns"))
+            .select(key, "start", "_n", F.array_join(F.slice("_ns", F.lit(1), F.col("_n")), " ").alias("_k"),
+                    F.array_join(F.slice("_ts", F.lit(1), F.col("_n")), " ").alias("text"))
+            .join(pats.select("_k", "label", "concept_id"), "_k")
+            .select(key, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("_n")).cast("bigint").alias("end"), "text", "label",
                     F.lit("dictionary").alias("source"), "concept_id", F.lit(rank).alias("priority"))
         )
         out = found if out is None else out.unionByName(found)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 OFFSETS = (0, 1, 3, 7, 11)  # each bio is paired with one target in each of these class distances
 CLASSES = 20
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
 class Tables:
@@ -18,7 +19,15 @@ class Tables:
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """Scan one table. Text columns cost far more CPU than I/O, so a text table that arrives in
+        fewer partitions than there are cores (few small files) is spread first; a table of many
+        files is left as it is scanned."""
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        key = SPREAD_KEYS.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, key)
+        return df
 
     def v1(self) -> DataFrame:
         """Documents as labelled bios."""
