@@ -153,8 +153,8 @@ def spearman(df: DataFrame, x: str, y: str, series: list[str] = ()) -> DataFrame
     series = list(series)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*series, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     r = with_average_rank(with_average_rank(d, series, "_x", "_rx"), series, "_y", "_ry")
-    flat = (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0)
-    return r.groupBy(*series).agg(F.when(~flat, F.corr("_rx", "_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    spread = F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
+    return r.groupBy(*series).agg((F.covar_pop("_rx", "_ry") / spread).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_ci(df: DataFrame, x: str, y: str, unit: str, series: list[str] = (), n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:

@@ -95,14 +95,14 @@ def _(t):
 
 
 def name_rows(t):
-    """Orders as yearly name counts: the customer's name group, a sex, a year and a count."""
+    """Events as yearly name counts: 26 names, mostly of one sex, with a year and a count."""
     return t.read("events").selectExpr(
-        "concat(chr(cast(65 + user_id % 26 AS int)), 'amy') AS name", "CASE WHEN event_id % (user_id % 26 + 2) = 0 THEN 'M' ELSE 'F' END AS sex",
+        "concat(chr(cast(65 + user_id % 26 AS int)), 'amy') AS name", "CASE WHEN (event_id % (user_id % 26 + 2) = 0) = (user_id % 2 = 0) THEN 'M' ELSE 'F' END AS sex",
         "cast(1940 + event_id % 60 AS int) AS year", "event_id % 97 + 1 AS count",
     )
 
 
-sql_view("names", (), """SELECT chr((65 + user_id % 26)::int) || 'amy' AS name, CASE WHEN event_id % (user_id % 26 + 2) = 0 THEN 'M' ELSE 'F' END AS sex,
+sql_view("names", (), """SELECT chr((65 + user_id % 26)::int) || 'amy' AS name, CASE WHEN (event_id % (user_id % 26 + 2) = 0) = (user_id % 2 = 0) THEN 'M' ELSE 'F' END AS sex,
   (1940 + event_id % 60)::int AS year, event_id % 97 + 1 AS count FROM events""")
 
 

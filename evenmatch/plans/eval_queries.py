@@ -244,13 +244,13 @@ def _(t):
 
 # each rated pair stands for the candidates of one residue class
 sql_view("rated", ("lat", "sl"), """SELECT h.pair_id, h.human_mean, s.scorer, s.score, s.rel_graded FROM (SELECT pair_id, avg(rating) AS human_mean FROM lat GROUP BY 1) h JOIN
-  (SELECT bio_id % 300 AS pair_id, scorer, round(avg(score), 6) AS score, max(rel_graded + jd_id % 2) - 1 AS rel_graded FROM sl GROUP BY 1, 2) s USING (pair_id)""")
+  (SELECT bio_id % 300 AS pair_id, scorer, round(avg(score), 6) AS score, (sum(rel_graded) % 3)::bigint AS rel_graded FROM sl GROUP BY 1, 2) s USING (pair_id)""")
 
 
 def rated(t):
     h = latest(t).groupBy("pair_id").agg(F.avg("rating").alias("human_mean"))
     s = t.scores_long().groupBy((F.col("bio_id") % 300).alias("pair_id"), "scorer").agg(
-        F.round(F.avg("score"), 6).alias("score"), (F.max(F.col("rel_graded") + F.col("jd_id") % 2) - 1).alias("rel_graded"))
+        F.round(F.avg("score"), 6).alias("score"), (F.sum("rel_graded") % 3).alias("rel_graded"))
     return h.join(s, "pair_id")
 
 
