@@ -18,6 +18,20 @@ def find_all(col: Column, pattern: str) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """Bind an array or struct expression to a name, so that ``body`` can use it many times but it is evaluated once.
+
+    Inside a lambda Spark has no common-subexpression elimination, and pushed filters inline the
+    columns they use; a bound value is safe from both.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rows(col: Column | str) -> Column:
+    """Explode a derived array. Exploding the plain column would push ``size(col) > 0`` down and compute it twice."""
+    return F.explode(F.transform(col, lambda x: x))
+
+
 def n_words(col: Column) -> Column:
     return F.size(find_all(col, WORD)).cast("bigint")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import rows
 from .dense import dot
 
 
@@ -37,9 +38,9 @@ def _sims(j: Column, extra: tuple[str, ...] = ()) -> Column:
 
 def entity_similarity(joined: DataFrame) -> DataFrame:
     """Long similarity rows: (jd_id, bio_id, jd_ent, bio_ent, sim)."""
-    rows = F.flatten(F.transform("jd_ents", lambda j: F.transform(
+    cells = F.flatten(F.transform("jd_ents", lambda j: F.transform(
         "bio_ents", lambda e: F.struct(j["ent"].alias("jd_ent"), e["ent"].alias("bio_ent"), dot(j["vec"], e["vec"]).alias("sim")))))
-    return joined.select("jd_id", "bio_id", F.explode(rows).alias("r")).select("jd_id", "bio_id", "r.*")
+    return joined.select("jd_id", "bio_id", F.explode(cells).alias("r")).select("jd_id", "bio_id", "r.*")
 
 
 def best_matches(joined: DataFrame, jd_extra: tuple[str, ...] = (), bio_extra: tuple[str, ...] = ()) -> DataFrame:
@@ -105,18 +106,18 @@ def empty_policy(pairs: DataFrame, jd_bags: DataFrame, bio_bags: DataFrame, scor
 
 def explain_matches(best: DataFrame) -> DataFrame:
     """Long form of ``best``: one row per target entity."""
-    return best.select("jd_id", "bio_id", F.explode("best").alias("b")).select("jd_id", "bio_id", "b.*")
+    return best.select("jd_id", "bio_id", rows("best").alias("b")).select("jd_id", "bio_id", "b.*")
 
 
 def requirement_report(best: DataFrame, weight: str = "jd_weight", top: int | None = None) -> DataFrame:
     """Per target entity: weight share, best match, contribution, loss, and its rank by loss in the pair."""
     total = F.aggregate("best", F.lit(0.0), lambda a, b: a + b[weight])
-    rows = F.transform("best", lambda b: F.struct(
+    parts = F.transform("best", lambda b: F.struct(
         (-(b[weight] / F.col("_w")) * (1 - b["sim"])).alias("neg_lost"), b["j_pos"].alias("j_pos"), b["jd_ent"].alias("jd_ent"), b["bio_ent"].alias("bio_ent"),
         b["sim"].alias("sim"), (b[weight] / F.col("_w")).alias("weight"), (b[weight] / F.col("_w") * b["sim"]).alias("contribution")))
-    d = best.withColumn("_w", total).withColumn("_r", F.sort_array(rows))
+    d = best.withColumn("_w", total).withColumn("_r", F.sort_array(parts))
     d = d.withColumn("score", F.aggregate("_r", F.lit(0.0), lambda a, r: a + r["contribution"]))
-    shown = F.slice("_r", 1, top) if top else F.col("_r")
+    shown = F.slice("_r", F.lit(1), F.lit(top) if top else F.size("_r"))
     return d.select("jd_id", "bio_id", "score", F.posexplode(shown).alias("p", "r")).select(
         "jd_id", "bio_id", "score", (F.col("p") + 1).cast("bigint").alias("rank"), "r.jd_ent", "r.bio_ent", "r.sim", "r.weight", "r.contribution",
         (-F.col("r.neg_lost")).alias("lost"))

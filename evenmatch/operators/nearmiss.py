@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import rows
 from .entities import best_matches, entity_bags, joined_bags
 from .resampling import bootstrap_ratio_ci
 
@@ -17,7 +18,7 @@ def concept_bags(entities: DataFrame, key: str, concept: str = "concept", pos: s
 def best_concept_match(pairs: DataFrame, jd_bags: DataFrame, bio_bags: DataFrame) -> DataFrame:
     """One row per (pair, target concept) with the best bio concept; pairs with an empty side drop out."""
     best = best_matches(joined_bags(pairs, jd_bags, bio_bags))
-    return best.select("jd_id", "bio_id", F.explode("best").alias("b")).select(
+    return best.select("jd_id", "bio_id", rows("best").alias("b")).select(
         "jd_id", "bio_id", F.col("b.jd_ent").alias("jd_concept"), F.col("b.bio_ent").alias("bio_concept"), F.col("b.sim").alias("sim"))
 
 

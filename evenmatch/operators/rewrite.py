@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import PIECE, find_all, match_case, order_hash, strip
+from ..functions.text import PIECE, find_all, let, match_case, order_hash, strip
 from ..sources import rules as R
 
 PROPOSAL = "struct<start:int,end:int,new:string,kind:string,note:string>"
@@ -22,8 +22,17 @@ VERB_HINTS = (*R.AUXILIARIES, *R.CONJUNCTIONS, *R.PREPOSITIONS, *R.PRONOUN_WORDS
 
 
 def pieces(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``p`` (pieces) and ``low`` (lower-case pieces); both are needed by every part."""
-    return df.withColumn("p", find_all(F.col(text), PIECE)).withColumn("low", F.transform("p", lambda x: F.lower(x)))
+    """Add ``p`` (pieces), ``low`` (lower case), and the pieces that are not blank: ``wi`` (index), ``w``, ``wl``.
+
+    They come out of a one-element generator: filters on rewritten texts stop there and do not
+    inline the cutting of the text into every later expression.
+    """
+    indexes = lambda p: F.filter(F.transform(p, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
+    cut = let(F.struct(find_all(F.col(text), PIECE).alias("p")), lambda a: let(
+        F.struct(a["p"].alias("p"), F.transform(a["p"], F.lower).alias("low"), indexes(a["p"]).alias("wi")),
+        lambda b: F.struct(b["p"].alias("p"), b["low"].alias("low"), b["wi"].alias("wi"), F.transform(b["wi"], lambda i: F.get(b["p"], i)).alias("w"),
+                           F.transform(b["wi"], lambda i: F.get(b["low"], i)).alias("wl"))))
+    return df.select("*", F.explode(F.array(cut)).alias("_c")).select(*df.columns, "_c.p", "_c.low", "_c.wi", "_c.w", "_c.wl")
 
 
 def _blank(x: Column) -> Column:
@@ -109,21 +118,17 @@ def swap_phrases(pairs=R.AFFILIATIONS) -> Column:
     directed = sorted(directed, key=lambda r: -len(_tokens(r[0])))
     firsts = sorted({_tokens(a)[0].lower() for a, _, _ in directed})
 
-    def match_at(i, rule, rank):
+    def match_at(k, rule, rank):
         source, target, cs = rule
         toks = _tokens(source)
-        arr = "p" if cs else "low"
-        want = toks if cs else [t.lower() for t in toks]
-        ok, at = F.get(arr, i) == want[0], i
-        for w in want[1:]:
-            step = F.when(_blank(F.get(arr, at + 1)), at + 2).otherwise(at + 1)
-            ok, at = ok & F.coalesce(F.get(arr, step) == w, F.lit(False)), step
-        new = match_case(F.get("p", i), F.lit(target))
+        want = F.array(*[F.lit(t if cs else t.lower()) for t in toks])
+        ok = F.slice("w" if cs else "wl", k + 1, len(toks)) == want
         return F.when(ok, F.struct(
-            F.lit(rank).alias("rank"), i.cast("int").alias("start"), (at + 1).cast("int").alias("end"), new.alias("new"),
-            F.lit("affiliation").alias("kind"), F.lit(f"{source} -> {target}").alias("note")))
+            F.lit(rank).alias("rank"), F.get("wi", k).alias("start"), (F.get("wi", k + (len(toks) - 1)) + 1).alias("end"),
+            match_case(F.get("w", k), F.lit(target)).alias("new"), F.lit("affiliation").alias("kind"), F.lit(f"{source} -> {target}").alias("note")))
 
-    found = F.flatten(F.transform(_positions(firsts), lambda i: F.array(*[match_at(i, r, k) for k, r in enumerate(directed)])))
+    at = F.filter(F.transform("wl", lambda x, k: F.when(x.isin(firsts), k)), lambda k: k.isNotNull())
+    found = F.flatten(F.transform(at, lambda k: F.array(*[match_at(k, r, n) for n, r in enumerate(directed)])))
     ordered = F.sort_array(F.array_compact(found))
     clash = lambda a, x: F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     empty = F.filter(ordered, lambda x: F.lit(False))
@@ -325,7 +330,7 @@ def merge_proposals(parts: list[Column]) -> Column:
     """
     kept = parts[0]
     for p in parts[1:]:
-        kept = F.concat(kept, _without_overlap(p, kept))
+        kept = let(kept, lambda k: F.concat(k, _without_overlap(p, k)))
     return F.sort_array(kept)
 
 
@@ -339,28 +344,31 @@ def apply_proposals(df: DataFrame, proposals: str, text: str = "text") -> DataFr
     ``df`` has pieces and a column of merged proposals. The text between two accepted proposals is
     joined once; offsets are running sums over the few changes of the text.
     """
-    c = F.col(proposals)
-    prev_end = lambda i: F.coalesce(F.get(proposals, i - 1)["end"], F.lit(0))
     cut = lambda a, b: F.array_join(F.slice("p", a + 1, b - a), "")
-    segs = F.transform(c, lambda x, i: F.struct(
-        cut(prev_end(i), x["start"]).alias("gap"), cut(x["start"], x["end"]).alias("old"), x["new"].alias("new"), x["kind"].alias("kind"), x["note"].alias("note")))
-    d = df.withColumn("_g", segs)
-    d = d.withColumn("_lens", F.transform("_g", lambda s: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["old"]).alias("old"), F.length(s["new"]).alias("new"))))
-    # running offsets: positions of each change in the old and in the new text
-    init = F.struct(F.lit(0).alias("o"), F.lit(0).alias("n"), F.array().cast("array<struct<o:int,n:int>>").alias("at"))
-    walk = F.aggregate("_lens", init, lambda a, s: F.struct(
-        (a["o"] + s["gap"] + s["old"]).alias("o"), (a["n"] + s["gap"] + s["new"]).alias("n"),
-        F.concat(a["at"], F.array(F.struct((a["o"] + s["gap"]).alias("o"), (a["n"] + s["gap"]).alias("n")))).alias("at")), lambda a: a["at"])
-    d = d.withColumn("_at", walk)
-    log = F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_at").alias("at")), lambda z: F.struct(
-        z["g"]["kind"].alias("kind"), z["g"]["old"].alias("original"), z["g"]["new"].alias("replacement"), z["at"]["n"].alias("start_char"),
-        (z["at"]["n"] + F.length(z["g"]["new"])).alias("end_char"), z["g"]["note"].alias("note"), z["at"]["o"].alias("orig_start"),
-        (z["at"]["o"] + F.length(z["g"]["old"])).alias("orig_end")))
-    last = F.coalesce(F.get(proposals, F.size(proposals) - 1)["end"], F.lit(0))
-    rebuilt = F.concat(F.array_join(F.transform("_g", lambda s: F.concat(s["gap"], s["new"])), ""), cut(last, F.size("p")))
-    d = d.withColumn("changes", F.filter(log, lambda x: x["original"] != x["replacement"]))
-    d = d.withColumn("new_text", F.when(F.size(proposals) == 0, F.col(text)).otherwise(rebuilt))
-    return d.withColumns({"n_changes": F.size("changes"), "changed": F.size("changes") > 0}).drop("_g", "_lens", "_at")
+    n = F.length
+
+    def segments(c):
+        prev = lambda i: F.coalesce(F.get(c, i - 1)["end"], F.lit(0))
+        return F.struct(F.transform(c, lambda x, i: F.struct(
+            cut(prev(i), x["start"]).alias("gap"), cut(x["start"], x["end"]).alias("old"), x["new"].alias("new"), x["kind"].alias("kind"), x["note"].alias("note"))).alias("g"),
+            F.coalesce(F.get(c, F.size(c) - 1)["end"], F.lit(0)).alias("last"))
+
+    def result(s):
+        # running offsets: positions of each change in the old and in the new text
+        init = F.struct(F.lit(0).alias("o"), F.lit(0).alias("n"), F.array().cast("array<struct<o:int,n:int>>").alias("at"))
+        at = F.aggregate(s["g"], init, lambda a, x: F.struct(
+            (a["o"] + n(x["gap"]) + n(x["old"])).alias("o"), (a["n"] + n(x["gap"]) + n(x["new"])).alias("n"),
+            F.concat(a["at"], F.array(F.struct((a["o"] + n(x["gap"])).alias("o"), (a["n"] + n(x["gap"])).alias("n")))).alias("at")), lambda a: a["at"])
+        log = F.transform(F.arrays_zip(s["g"].alias("g"), at.alias("at")), lambda z: F.struct(
+            z["g"]["kind"].alias("kind"), z["g"]["old"].alias("original"), z["g"]["new"].alias("replacement"), z["at"]["n"].alias("start_char"),
+            (z["at"]["n"] + n(z["g"]["new"])).alias("end_char"), z["g"]["note"].alias("note"), z["at"]["o"].alias("orig_start"),
+            (z["at"]["o"] + n(z["g"]["old"])).alias("orig_end")))
+        rebuilt = F.concat(F.array_join(F.transform(s["g"], lambda x: F.concat(x["gap"], x["new"])), ""), cut(s["last"], F.size("p")))
+        return F.struct(F.when(F.size(s["g"]) == 0, F.col(text)).otherwise(rebuilt).alias("text"), F.filter(log, lambda x: x["original"] != x["replacement"]).alias("changes"))
+
+    done = let(F.struct(F.col(proposals).alias("c")), lambda c: let(segments(c["c"]), result))
+    d = df.withColumn("_r", done)
+    return d.select(*df.columns, F.col("_r.text").alias("new_text"), F.col("_r.changes").alias("changes"), F.size("_r.changes").alias("n_changes"), (F.size("_r.changes") > 0).alias("changed"))
 
 
 # ---------------------------------------------------------------------------------- conditions

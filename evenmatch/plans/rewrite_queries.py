@@ -89,11 +89,11 @@ def _(t):
 _RULES = sorted([(p["a"], p["b"], bool(p.get("case_sensitive"))) for p in R.AFFILIATIONS]
                 + [(p["b"], p["a"], False) for p in R.AFFILIATIONS if p.get("bidirectional", True)], key=lambda r: -len(G._tokens(r[0])))
 _VALUES = ", ".join("({}, '{}', '{}', {})".format(k, " ".join(G._tokens(a)).replace("'", "''"), b.replace("'", "''"), str(c).lower()) for k, (a, b, c) in enumerate(_RULES))
-sql_view("nb", ("pc",), r"SELECT bio_id, i, l[i] AS raw, row_number() OVER (PARTITION BY bio_id ORDER BY i) AS k FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM pc) WHERE NOT regexp_full_match(l[i], '\s+')")
-sql_view("grams", ("nb",), " UNION ALL ".join(
-    f"SELECT bio_id, i, lead(i, {n - 1}) OVER w AS e, " + " || ' ' || ".join(["raw"] + [f"lead(raw, {j}) OVER w" for j in range(1, n)]) + f" AS g, {n} AS n FROM nb WINDOW w AS (PARTITION BY bio_id ORDER BY i)"
-    for n in sorted({len(G._tokens(a)) for a, _, _ in _RULES})))
-sql_view("ph_all", ("grams",), f"""SELECT bio_id, i, e, split_part(g, ' ', 1) AS raw, tgt, rk FROM grams JOIN (VALUES {_VALUES}) r(rk, src, tgt, cs) ON CASE WHEN cs THEN g = src ELSE lower(g) = lower(src) END""")
+_FIRST = _sqlist(sorted({G._tokens(a)[0].lower() for a, _, _ in _RULES}))
+sql_view("nb", ("pc",), r"SELECT bio_id, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_full_match(l[i], '\s+')) AS wi, list_filter(l, lambda x: NOT regexp_full_match(x, '\s+')) AS w FROM pc")
+sql_view("nbk", ("nb",), f"SELECT bio_id, wi, w, unnest(list_filter(range(1, len(w) + 1), lambda k: lower(w[k]) IN {_FIRST})) AS k FROM nb")
+sql_view("ph_all", ("nbk",), f"""SELECT bio_id, wi[k] AS i, wi[k + n - 1] AS e, w[k] AS raw, tgt, rk FROM (SELECT *, len(string_split(src, ' ')) AS n FROM nbk, (VALUES {_VALUES}) r(rk, src, tgt, cs))
+  WHERE CASE WHEN cs THEN array_to_string(w[k:k + n - 1], ' ') = src ELSE lower(array_to_string(w[k:k + n - 1], ' ')) = lower(src) END""")
 sql_view("pp_phr", ("ph_all",), f"""SELECT bio_id, i, e, {_case('raw', 'tgt')} AS new, 'affiliation' AS kind FROM ph_all a WHERE NOT EXISTS (SELECT 1 FROM ph_all b WHERE b.bio_id = a.bio_id AND b.i <= a.e AND a.i <= b.e
   AND (b.rk < a.rk OR (b.rk = a.rk AND b.i < a.i)))""")
 

@@ -228,4 +228,4 @@ def with_views(names: str, body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({_SQL[n][1]})" for n in order) + "\n" + body.lstrip("\n")
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_SQL[n][1]})" for n in order) + "\n" + body.lstrip("\n")

@@ -60,8 +60,11 @@ def canon(cols, rows):
 
 def compare(df, sql: str, con):
     got_cols, got = canon(df.columns, [tuple(r) for r in df.collect()])
+    t0 = time.time()
     rel = con.execute(sql)
     want_cols, want = canon([d[0] for d in rel.description], rel.fetchall())
+    if time.time() - t0 > 5:
+        print(f"     (the SQL took {time.time() - t0:.1f}s)", flush=True)
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if len(got) != len(want):
