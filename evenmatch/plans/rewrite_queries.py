@@ -90,8 +90,9 @@ _RULES = sorted([(p["a"], p["b"], bool(p.get("case_sensitive"))) for p in R.AFFI
                 + [(p["b"], p["a"], False) for p in R.AFFILIATIONS if p.get("bidirectional", True)], key=lambda r: -len(G._tokens(r[0])))
 _VALUES = ", ".join("({}, '{}', '{}', {})".format(k, " ".join(G._tokens(a)).replace("'", "''"), b.replace("'", "''"), str(c).lower()) for k, (a, b, c) in enumerate(_RULES))
 _FIRST = _sqlist(sorted({G._tokens(a)[0].lower() for a, _, _ in _RULES}))
-sql_view("nb", ("pc",), r"SELECT bio_id, list_filter(range(1, len(l) + 1), lambda i: NOT regexp_full_match(l[i], '\s+')) AS wi, list_filter(l, lambda x: NOT regexp_full_match(x, '\s+')) AS w FROM pc")
-sql_view("nbk", ("nb",), f"SELECT bio_id, wi, w, unnest(list_filter(range(1, len(w) + 1), lambda k: lower(w[k]) IN {_FIRST})) AS k FROM nb")
+_KEEP = "list_filter(list_transform({l}, lambda x, i: CASE WHEN {cond} THEN i END), lambda i: i IS NOT NULL)"
+sql_view("nb", ("pc",), "SELECT bio_id, " + _KEEP.format(l="l", cond=r"NOT regexp_full_match(x, '\s+')") + r" AS wi, list_filter(l, lambda x: NOT regexp_full_match(x, '\s+')) AS w FROM pc")
+sql_view("nbk", ("nb",), "SELECT bio_id, wi, w, unnest(" + _KEEP.format(l="w", cond=f"lower(x) IN {_FIRST}") + ") AS k FROM nb")
 sql_view("ph_all", ("nbk",), f"""SELECT bio_id, wi[k] AS i, wi[k + n - 1] AS e, w[k] AS raw, tgt, rk FROM (SELECT *, len(string_split(src, ' ')) AS n FROM nbk, (VALUES {_VALUES}) r(rk, src, tgt, cs))
   WHERE CASE WHEN cs THEN array_to_string(w[k:k + n - 1], ' ') = src ELSE lower(array_to_string(w[k:k + n - 1], ' ')) = lower(src) END""")
 sql_view("pp_phr", ("ph_all",), f"""SELECT bio_id, i, e, {_case('raw', 'tgt')} AS new, 'affiliation' AS kind FROM ph_all a WHERE NOT EXISTS (SELECT 1 FROM ph_all b WHERE b.bio_id = a.bio_id AND b.i <= a.e AND a.i <= b.e
@@ -192,7 +193,7 @@ def _merged(t):
 
 @query("merge_and_apply", V("log", "SELECT bio_id, kind, original, replacement, orig_start::bigint AS orig_start, orig_end::bigint AS orig_end, start_char, start_char + length(replacement) AS end_char FROM log WHERE original <> replacement"))
 def _(t):
-    d = _merged(t).select("bio_id", F.explode("changes").alias("c"))
+    d = _merged(t).select("bio_id", F.explode(F.transform("changes", lambda x: x)).alias("c"))
     big = lambda c: F.col(f"c.{c}").cast("bigint").alias(c)
     return d.select("bio_id", "c.kind", "c.original", "c.replacement", big("orig_start"), big("orig_end"), big("start_char"), big("end_char"))
 
@@ -241,11 +242,14 @@ def _(t):
 
 
 @query("counterfactual_report", V("au gaps", """, sd AS (SELECT scorer, median(pool_sd) AS m FROM (SELECT scorer, jd_id, min(pool_sd) AS pool_sd FROM gaps WHERE split = 'dev' GROUP BY 1, 2) GROUP BY 1)
- SELECT scorer, condition, jd_id, bio_id, score AS original, pert_score AS perturbed, pert_score - score AS delta, round((pert_score - score) / m, 6) AS delta_norm FROM au JOIN sd USING (scorer) WHERE jd_id % 10 = 5"""))
+ SELECT scorer, condition, jd_id, count(*) AS n_rows, round(avg(score), 6) AS original, round(avg(pert_score), 6) AS perturbed, round(avg(pert_score - score), 6) AS delta, round(avg((pert_score - score) / m), 6) AS delta_norm,
+ round(max((pert_score - score) / m), 6) AS largest FROM au JOIN sd USING (scorer) GROUP BY 1, 2, 3"""))
 def _(t):
     sd = t.scores_long().where("split = 'dev'").groupBy("scorer", "jd_id").agg(F.stddev_samp("score").alias("pool_sd"))
-    d = G.counterfactual_report(t.audited().where("jd_id % 10 = 5"), J.pool_sd_median(sd), ["scorer", "condition", "jd_id", "bio_id"])
-    return d.withColumn("delta_norm", F.round("delta_norm", 6))
+    d = G.counterfactual_report(t.audited(), J.pool_sd_median(sd), ["scorer", "condition", "jd_id", "bio_id"])
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return d.groupBy("scorer", "condition", "jd_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), mean("original"), mean("perturbed"), mean("delta"), mean("delta_norm"), F.round(F.max("delta_norm"), 6).alias("largest"))
 
 
 # ------------------------------------------------------------------ pair table and changed-only scores
