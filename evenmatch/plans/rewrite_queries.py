@@ -59,8 +59,9 @@ sql_view("pp_pron", ("pc",), f"""SELECT bio_id, i, i AS e, {_case('raw', 'tgt')}
 
 def _rebuild(props: str) -> str:
     """Texts rebuilt from accepted proposals (bio_id, i, e, new): piece i..e becomes ``new``."""
-    return f"""SELECT c.bio_id, sha256(string_agg(CASE WHEN p.i IS NOT NULL THEN p.new WHEN q.i IS NOT NULL THEN '' ELSE c.l[c.i] END, '' ORDER BY c.i)) AS text_hash, count(p.i) AS n_changes
- FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM pc) c LEFT JOIN {props} p ON p.bio_id = c.bio_id AND p.i = c.i LEFT JOIN {props} q ON q.bio_id = c.bio_id AND q.i < c.i AND c.i <= q.e GROUP BY 1"""
+    return f"""SELECT c.bio_id, sha256(string_agg(CASE WHEN p.i IS NOT NULL THEN p.new WHEN q.i IS NOT NULL THEN '' ELSE c.piece END, '' ORDER BY c.i)) AS text_hash, count(p.i) AS n_changes
+ FROM (SELECT bio_id, unnest(l) AS piece, unnest(range(1, len(l) + 1)) AS i FROM pc) c LEFT JOIN {props} p ON p.bio_id = c.bio_id AND p.i = c.i
+ LEFT JOIN (SELECT bio_id, unnest(range(i + 1, e + 1)) AS i FROM {props}) q ON q.bio_id = c.bio_id AND q.i = c.i GROUP BY 1"""
 
 
 def _applied(t, part):
