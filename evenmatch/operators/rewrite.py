@@ -272,26 +272,42 @@ def name_candidates(df: DataFrame, key: str = "bio_id") -> DataFrame:
     return d.select(key, F.explode(F.transform(at, info)).alias("x")).select(key, "x.*")
 
 
-def swap_names(
-    df: DataFrame, lexicon: DataFrame, pools: DataFrame, pool: str, target: str, min_share: float = 0.95, subject_only: bool = True,
-    key: str = "bio_id", gender: str = "gender",
+def subject_names(
+    df: DataFrame, lexicon: DataFrame, min_share: float = 0.95, subject_only: bool = True, key: str = "bio_id", gender: str = "gender"
 ) -> DataFrame:
-    """(key, names): map of lower-case first name -> replacement for each text that has one.
+    """(key, name, own): strongly gendered first names of the text's own gender that name its subject.
 
-    Only the few title-case words leave the row: they meet the lexicon and the pools by equi-join.
+    Only the few title-case words leave the row: they meet the lexicon by equi-join.
     """
-    if target not in ("opposite", "same"):
-        raise ValueError("target must be 'opposite' or 'same'")
     c = name_candidates(df, key).join(lexicon.where(F.col("share") >= min_share).select("name", F.col("gender").alias("_g")), "name")
     per_name = c.groupBy(key, "name").agg(
         F.max("surname").alias("surname"), F.max("subject").alias("subject"), F.first("_g").alias("_g"),
         F.max(~F.col("titled") & ~F.col("inner") & ~F.col("alone")).alias("head"), F.max(~F.col("titled") & F.col("alone")).alias("alone"))
     usable = (F.col("head") | (F.col("alone") & ~F.col("surname"))) & (F.col("subject") if subject_only else F.lit(True))
-    wanted = per_name.where(usable).join(df.select(key, F.col(gender).alias("_want")), key).where("_g = _want")
-    other = F.when(F.col("_want") == "F", "M").otherwise("F")
-    picks = pick_replacement(
-        wanted.select(key, "name", F.lit(pool).alias("pool"), (other if target == "opposite" else F.col("_want")).alias("gender")), pools, key)
-    return picks.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "replacement"))).alias("names"))
+    return per_name.where(usable).join(df.select(key, F.col(gender).alias("own")), key).where("_g = own").select(key, "name", "own")
+
+
+def replacement_maps(names: DataFrame, pools: DataFrame, targets: list[tuple[str, str]], key: str = "bio_id") -> DataFrame:
+    """(key, one map column ``<pool>_<target>`` per target): lower-case first name -> replacement."""
+    if any(t not in ("opposite", "same") for _, t in targets):
+        raise ValueError("target must be 'opposite' or 'same'")
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), F.lit(t).alias("target")) for p, t in targets]))
+    other = F.when(F.col("own") == "F", "M").otherwise("F")
+    want = names.select(key, "name", "own", each.alias("x")).select(
+        key, "name", "x.pool", "x.target", F.when(F.col("x.target") == "same", F.col("own")).otherwise(other).alias("gender"))
+    picks = pick_replacement(want, pools, key)
+    entry = F.struct("name", "replacement")
+    cols = [F.map_from_entries(F.collect_list(F.when((F.col("pool") == p) & (F.col("target") == t), entry))).alias(f"{p}_{t}") for p, t in targets]
+    return picks.groupBy(key).agg(*cols)
+
+
+def swap_names(
+    df: DataFrame, lexicon: DataFrame, pools: DataFrame, pool: str, target: str, min_share: float = 0.95, subject_only: bool = True,
+    key: str = "bio_id", gender: str = "gender",
+) -> DataFrame:
+    """(key, names): map of lower-case first name -> replacement for each text that has one."""
+    names = subject_names(df, lexicon, min_share, subject_only, key, gender)
+    return replacement_maps(names, pools, [(pool, target)], key).select(key, F.col(f"{pool}_{target}").alias("names"))
 
 
 def name_proposals(names: str, note: Column | str) -> Column:
@@ -393,12 +409,10 @@ def generate_conditions(
     if bad:
         raise ValueError(f"unknown parts {bad}")
     d = pieces(bios, text)
-    base = d
-    for part in used:
-        if part.startswith("name_"):
-            _, pool, target = part.split("_")
-            m = swap_names(base, lexicon, pools, pool, target, min_share, subject_only, key, gender).withColumnRenamed("names", f"_m_{part}")
-            d = d.join(m, key, "left")
+    targets = [tuple(p.removeprefix("name_").split("_")) for p in used if p.startswith("name_")]
+    if targets:
+        names = subject_names(d, lexicon, min_share, subject_only, key, gender)
+        d = d.join(replacement_maps(names, pools, targets, key).withColumnsRenamed({f"{p}_{t}": f"_m_name_{p}_{t}" for p, t in targets}), key, "left")
     for part in used:
         if part == "pronoun":
             col = swap_pronouns(swap_titles)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import P, draw_sql, mix_sql
 from ..functions.ordering import quantiles
 from ..operators import fairness as H, ranking as R, resampling as J
+from ..sources.storage import written
 from .catalog import query
 from .views import sql_view, with_views as V
 
@@ -167,7 +168,7 @@ sql_view("thr", ("zr",), f"""SELECT scorer, arg_max(t, struct_pack(f1, nt := -t)
 
 
 def dev_thresholds(t):
-    z = zscores(t).withColumn("z", F.round("z", 6))
+    z = written(zscores(t).withColumn("z", F.round("z", 6)), "zscores")
     return z, H.best_f1_threshold(z.where("split = 'dev'"), ["scorer"])
 
 
@@ -257,7 +258,7 @@ def _boot_sql(src: str, series: str, value: str = "v") -> str:
 @query("bootstrap_mean_ci", V("pp", f""", src AS (SELECT scorer, split, jd_id, "ndcg@10" AS v FROM pp WHERE condition = 'original'),
  {_boot_sql('src', 'scorer, split')} SELECT scorer, split, round(value, 6) AS value, n_units, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ci JOIN means USING (scorer, split)"""))
 def _(t):
-    d = ranking_metrics(t).select("scorer", "split", "jd_id", r6("ndcg@10", "v"))
+    d = written(ranking_metrics(t).select("scorer", "split", "jd_id", r6("ndcg@10", "v")), "units")
     return J.bootstrap_mean_ci(d, ["scorer", "split"], "jd_id", "v", N_BOOT, 0.05, SEED).select("scorer", "split", r6("value"), "n_units", r6("ci_low"), r6("ci_high"))
 
 
@@ -287,7 +288,7 @@ FAMILIES = [("original", "ndcg@10"), ("swap", "abs_gap_norm_changed"), ("noop",
 
 @query("sign_flip_test", V("sig0", "SELECT baseline, round(mean_diff, 6) AS mean_diff, round(p_value, 6) AS p_value, n_units FROM sig0 WHERE metric = 'ndcg@10'"))
 def _(t):
-    m = ranking_metrics(t).where("split = 'test'").select("scorer", "jd_id", r6("ndcg@10", "v"))
+    m = written(ranking_metrics(t).where("split = 'test'").select("scorer", "jd_id", r6("ndcg@10", "v")), "units")
     both = m.where("scorer = 'a'").select("jd_id", F.col("v").alias("a")).join(m.where("scorer <> 'a'").select("jd_id", F.col("scorer").alias("baseline"), F.col("v").alias("b")), "jd_id")
     d = J.sign_flip_test(both, ["baseline"], "jd_id", "a", "b", N_PERM, SEED)
     return d.select("baseline", r6("mean_diff"), r6("p_value"), "n_units")
@@ -311,7 +312,7 @@ SUMMARY_SQL = f""", src AS (SELECT * FROM tidy_in WHERE metric <> 'n_changed'),
 
 
 def tidy(t):
-    return J.summarise_metrics(per_pool(t), n_boot=N_BOOT, seed=SEED)
+    return J.summarise_metrics(written(per_pool(t), "per-pool"), n_boot=N_BOOT, seed=SEED)
 
 
 @query("summarise_metrics", V("tidy_in", SUMMARY_SQL + """ SELECT scorer, split, condition, metric, round(value, 6) AS value, n_units, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM tidy"""))
@@ -320,7 +321,7 @@ def _(t):
 
 
 def tests(t):
-    return J.significance_table(per_pool(t).where("split = 'test'"), "a", FAMILIES, n_perm=N_PERM, seed=SEED)
+    return J.significance_table(written(per_pool(t), "per-pool").where("split = 'test'"), "a", FAMILIES, n_perm=N_PERM, seed=SEED)
 
 
 @query("significance_table", V("sig", "SELECT condition, metric, baseline, round(mean_diff, 6) AS mean_diff, round(p_value, 6) AS p_value, n_units, round(p_holm, 6) AS p_holm FROM sig"))
@@ -364,7 +365,7 @@ def _(t):
  SELECT scorer, round(value, 6) AS value, n_units, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(value_all, 6) AS value_all FROM ci JOIN means USING (scorer)
  JOIN (SELECT scorer, avg("ndcg@10") AS value_all FROM pp WHERE condition = 'original' AND split = 'test' GROUP BY 1) USING (scorer)"""))
 def _(t):
-    m = ranking_metrics(t).where("split = 'test'").select("scorer", "jd_id", r6("ndcg@10"))
+    m = written(ranking_metrics(t).where("split = 'test'").select("scorer", "jd_id", r6("ndcg@10")), "units")
     seen = t.scored().where("jd_id % 4 = 1").select("jd_id").distinct()
     d = J.held_out_groups(m, seen, ["scorer"], "ndcg@10", n_boot=N_BOOT, seed=SEED)
     return d.select("scorer", r6("value"), "n_units", r6("ci_low"), r6("ci_high"), r6("value_all"))

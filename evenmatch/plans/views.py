@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.storage import written
+
 OFFSETS = (0, 1, 3, 7, 11)  # each bio is paired with one target in each of these class distances
 CLASSES = 20
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
@@ -17,6 +19,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._scored: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         """Scan one table. Text columns cost far more CPU than I/O, so a text table that arrives in
@@ -89,6 +92,12 @@ class Tables:
         ).select("jd_id", "bio_id")
 
     def scored(self) -> DataFrame:
+        """The scored pairs, written once per query: every metric after them reads the saved table."""
+        if self._scored is None:
+            self._scored = written(self._scored_pairs(), "scored")
+        return self._scored
+
+    def _scored_pairs(self) -> DataFrame:
         """Line items as scored pairs: supplier = pool, order line = candidate."""
         return self.read("lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(
             F.min("l_linestatus").alias("_ls"),
