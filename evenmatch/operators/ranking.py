@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.checks import asserted
 from ..functions.ordering import tie_table
 
 
@@ -37,7 +36,9 @@ def position_weight(k: int, discounted: bool) -> Column:
 
 
 def require_scores(df: DataFrame, score: str = "score") -> DataFrame:
-    return asserted(df, F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")), "scores contain NULL or NaN")
+    # the check wraps the value itself, so no later filter on the score can drop the bad row first
+    ok = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    return df.withColumn(score, F.when(ok, F.col(score)).otherwise(F.raise_error(F.lit("scores contain NULL or NaN")).cast("double")))
 
 
 def tie_groups(df: DataFrame, pool: list[str], score: str = "score") -> DataFrame:
