@@ -400,19 +400,20 @@ def generate_conditions(
 ) -> DataFrame:
     """One row per (bio, condition): text, changed, n_changes, changes.
 
-    Texts are cut once and every part's proposals are computed once per bio; conditions only merge
-    and rebuild.
+    Every part's proposals are computed once per bio; conditions only merge and rebuild.
     """
     known = {"pronoun", "affiliation", "agentic_communal", *[f"name_{p}_{t}" for p in ("us", "in") for t in ("opposite", "same")]}
     used = list(dict.fromkeys(p for ps in conditions.values() for p in ps))
     bad = [p for p in used if p not in known]
     if bad:
         raise ValueError(f"unknown parts {bad}")
-    d = pieces(bios, text)
+    d = bios
     targets = [tuple(p.removeprefix("name_").split("_")) for p in used if p.startswith("name_")]
     if targets:
-        names = subject_names(d, lexicon, min_share, subject_only, key, gender)
+        # the maps are joined to the plain texts, so that no array of pieces is ever shuffled
+        names = subject_names(pieces(bios, text), lexicon, min_share, subject_only, key, gender)
         d = d.join(replacement_maps(names, pools, targets, key).withColumnsRenamed({f"{p}_{t}": f"_m_name_{p}_{t}" for p, t in targets}), key, "left")
+    d = pieces(d, text)
     for part in used:
         if part == "pronoun":
             col = swap_pronouns(swap_titles)

@@ -100,7 +100,8 @@ class Tables:
     def _scored_pairs(self) -> DataFrame:
         """Line items as scored pairs: supplier = pool, order line = candidate."""
         return self.read("lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(
-            F.min("l_linestatus").alias("_ls"),
+            # statuses are F and O: the least is F when any is (a number keeps the aggregate hash-based)
+            F.expr("max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)").alias("_f"),
             F.expr("max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END)").alias("rel_graded"),
             F.expr("max(CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END)").alias("rel_binary"),
             F.max("l_quantity").alias("score"),
@@ -111,7 +112,7 @@ class Tables:
         ).selectExpr(
             "l_suppkey AS jd_id", "l_orderkey * 10 + l_linenumber AS bio_id", "l_suppkey % 7 AS jd_occupation",
             "CASE WHEN l_suppkey % 10 < 3 THEN 'dev' ELSE 'test' END AS split",
-            "CASE WHEN _ls = 'F' THEN 'F' ELSE 'M' END AS bio_gender",
+            "CASE WHEN _f = 1 THEN 'F' ELSE 'M' END AS bio_gender",
             "rel_graded", "rel_binary", "score", "score_b", "score_c", "changed", "shift",
         )
 
