@@ -57,7 +57,7 @@ class Tables:
         ).selectExpr("*", f"(bio_occ - off + {CLASSES}) % {CLASSES} AS jd_occ")
         return (
             want.join(counts, "jd_occ")
-            .selectExpr("*", "(bio_id * 31 + off * 17) % n_class AS slot")
+            .selectExpr("*", f"(floor(bio_id/{CLASSES}) + off) % n_class AS slot")
             .join(jds, ["jd_occ", "slot"])
             .selectExpr(
                 "jd_id", "bio_id", "bio_gender", "jd_occ", "bio_occ", "pool_set",
@@ -173,7 +173,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT bio_id, gender AS bio_gender, occ_no AS bio_occ, off, (occ_no - off + {CLASSES}) % {CLASSES} AS want
               FROM v1, (SELECT unnest([{', '.join(map(str, OFFSETS))}]) AS off)) w
         JOIN (SELECT occ_no, count(*) AS n_class FROM jds GROUP BY 1) c ON c.occ_no = w.want
-        JOIN jds j ON j.occ_no = w.want AND j.jd_id//{CLASSES} = (w.bio_id * 31 + w.off * 17) % c.n_class"""),
+        JOIN jds j ON j.occ_no = w.want AND j.jd_id//{CLASSES} = (w.bio_id//{CLASSES} + w.off) % c.n_class"""),
     "postings": ((), """SELECT page_id AS job_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
         regexp_replace(html, '<[^>]*>', ' ', 'g') AS description FROM pages"""),
     "ent": ((), """SELECT vec_id//5 AS bag, vec_id AS pos, 'k' || ((vec_id*7) % 37)::varchar AS ent_key,
