@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .minhash import near_duplicates
+from .mixing import MIX_SQL, mix_sizes
 from .registry import query, table
 
 
 @query("op1_minhash_dedup")
 def op1(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_mix_sources", MIX_SQL)
+def op2(spark, folder):
+    return mix_sizes(table(spark, folder, "documents"))
