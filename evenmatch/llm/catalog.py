@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import license_scan
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sizes
 from .registry import query, table
@@ -15,3 +16,8 @@ def op1(spark, folder):
 @query("op2_mix_sources", MIX_SQL)
 def op2(spark, folder):
     return mix_sizes(table(spark, folder, "documents"))
+
+
+@query("op3_license_scan")
+def op3(spark, folder):
+    return license_scan(table(spark, folder, "documents")).drop("places")

@@ -15,7 +15,7 @@ import pyarrow as pa
 BLOCK = 1 << 18
 ROWS = 1023  # rows of a block: their number shares 64 bits with 54 bits of hash
 SPACES = [0x20, *range(0x09, 0x0E)]
-NOT_ALNUM = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
+NOT_ALNUM = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]  # of lower-cased text
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _KINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
