@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import extract
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sizes
@@ -21,3 +22,8 @@ def op2(spark, folder):
 @query("op3_license_scan")
 def op3(spark, folder):
     return license_scan(table(spark, folder, "documents")).drop("places")
+
+
+@query("op4_html_text")
+def op4(spark, folder):
+    return extract(table(spark, folder, "pages").select("page_id", "url", "html"))
