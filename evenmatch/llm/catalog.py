@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .contamination import contamination_report
 from .html import extract
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sizes
+from .quality import quality
 from .registry import query, table
 
 
@@ -27,3 +29,13 @@ def op3(spark, folder):
 @query("op4_html_text")
 def op4(spark, folder):
     return extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query("op10_quality_qda")
+def op10(spark, folder):
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_decontaminate")
+def op9(spark, folder):
+    return contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
