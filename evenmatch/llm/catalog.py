@@ -7,6 +7,7 @@ from .html import extract
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sizes
+from .pii import pseudonymised
 from .quality import quality
 from .registry import query, table
 
@@ -39,3 +40,8 @@ def op10(spark, folder):
 @query("op9_decontaminate")
 def op9(spark, folder):
     return contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_pii_pseudonyms")
+def op7(spark, folder):
+    return pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
