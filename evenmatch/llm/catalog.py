@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .contamination import contamination_report
+from .embeddings import embedding_links
 from .html import extract
 from .licenses import license_scan
 from .minhash import near_duplicates
@@ -45,3 +46,8 @@ def op9(spark, folder):
 @query("op7_pii_pseudonyms")
 def op7(spark, folder):
     return pseudonymised(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_embedding_dedup")
+def op8(spark, folder):
+    return embedding_links(table(spark, folder, "embeddings"))
