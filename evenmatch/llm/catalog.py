@@ -11,6 +11,9 @@ from .mixing import MIX_SQL, mix_sizes
 from .pii import pseudonymised
 from .quality import quality
 from .registry import query, table
+from .token_count import token_counts
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 @query("op1_minhash_dedup")
@@ -51,3 +54,9 @@ def op7(spark, folder):
 @query("op8_embedding_dedup")
 def op8(spark, folder):
     return embedding_links(table(spark, folder, "embeddings"))
+
+
+@query("op6_token_counts")
+def op6(spark, folder, vocabulary: str = VOCABULARY):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts(docs, vocabulary).drop("text")

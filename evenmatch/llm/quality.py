@@ -68,6 +68,29 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_statistics, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a score of ``ACCEPT`` at least, all columns as they are.
+
+    Where there are too few labels to learn from, every row stays. The statistics are taken twice,
+    for the fit and beside the rows, which is cheaper than moving the texts to join the scores.
+    """
+    model = fit(statistics(docs), labels)
+    if model is None:
+        return docs
+
+    def beside(batches):
+        for batch in batches:
+            parts = pa.Table.from_batches(_statistics([batch]))
+            table = pa.Table.from_batches([batch])
+            for name in STATS:
+                table = table.append_column(f"_{name}", parts.column(name) if len(batch) else pa.array([], pa.float64()))
+            yield from table.to_batches()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    both = docs.mapInArrow(beside, fields + ", " + ", ".join(f"_{s} double" for s in STATS))
+    return both.where(log_odds(model, "_") >= float(np.log(ACCEPT / (1 - ACCEPT)))).select(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether the labels of an id are never learned."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
@@ -98,11 +121,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> list | None:
     return model
 
 
-def log_odds(model: list) -> Column:
+def log_odds(model: list, prefix: str = "") -> Column:
     """Log density of class 1 minus that of class 0, from the statistics columns."""
     parts = []
     for constant, mean, inverse in model:
-        centred = [F.col(s) - F.lit(float(m)) for s, m in zip(STATS, mean, strict=True)]
+        centred = [F.col(prefix + s) - F.lit(float(m)) for s, m in zip(STATS, mean, strict=True)]
         distance = F.lit(0.0)
         for i in range(len(STATS)):
             line = F.lit(0.0)
