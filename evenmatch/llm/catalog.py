@@ -11,6 +11,7 @@ from .mixing import MIX_SQL, mix_sizes
 from .pii import pseudonymised
 from .quality import quality
 from .registry import query, table
+from .repeats import repeats_removed
 from .token_count import token_counts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,3 +61,8 @@ def op8(spark, folder):
 def op6(spark, folder, vocabulary: str = VOCABULARY):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts(docs, vocabulary).drop("text")
+
+
+@query("op5_repeated_bytes")
+def op5(spark, folder):
+    return repeats_removed(table(spark, folder, "documents")).drop("spans", "kept")
