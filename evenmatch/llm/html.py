@@ -22,6 +22,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style noscript template svg math canvas object iframe audio video textarea title head select option button".split())
+PLAIN = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Names and class words of elements that hold no main text.
 AROUND = frozenset("nav header footer aside form menu dialog search fieldset".split())
@@ -97,7 +98,6 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     found, parts, stack = [], [], []  # stack: (name, around, main, raw)
     at, linked, in_link = 0, 0, 0
     around = main = raw = 0
-    raw_name = ""
 
     def close() -> None:
         nonlocal linked
@@ -121,12 +121,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             around, main, raw = around - a, main - m, raw - r
             in_link -= name == "a"
 
-    for token in _TOKEN.finditer(page):
-        if raw_name and not (token[1] and token[2].lower() == raw_name):
-            continue  # inside a script or style nothing but its end counts
+    while token := _TOKEN.search(page, at):
         put(page[at : token.start()])
         at = token.end()
-        raw_name = ""
         if not token[2]:
             continue
         name = token[2].lower()
@@ -154,10 +151,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         entry = (name, int(is_around), int(is_main), int(name in RAW))
         stack.append(entry)
         around, main, raw, in_link = around + entry[1], main + entry[2], raw + entry[3], in_link + (name == "a")
-        if name in ("script", "style", "textarea", "title", "noscript", "template"):
-            raw_name = name
-    if not raw_name:
-        put(page[at:])
+        if name in PLAIN:  # nothing in it is a tag but its end
+            end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            at = end.start() if end else len(page)
+    put(page[at:])
     close()
     return found
 
