@@ -8,9 +8,9 @@ and a document stops as soon as every slot is filled: later ranks cannot be smal
 Candidates: 128 slots in 32 bands of 4. At a similarity of 0.75 a pair misses all bands with
 probability (1 - 0.75^4)^32 = 5e-6. Equal shingle sets are one class from the start, so copies are
 never paired. In a bucket every member meets one pivot, drawn anew for each band; the members that
-are still in another component than most of their bucket are then compared with all the rest of it.
-So no bucket is expanded into its pairs, yet no pair that shares a bucket and could still join two
-components goes unseen. Links are confirmed on full shingle sets.
+are still in another component than most of their bucket are then compared with all the rest of it,
+tile by tile inside the tasks, which only put out links. So no bucket is expanded into its pairs,
+yet no pair that shares a bucket and could still join two components goes unseen. Links are confirmed on full shingle sets.
 
 Rows without words have no shingles and no links. A null ``text`` counts as empty. A row with a
 null id is a document of its own class unless its text equals another's. Repeated rows share a
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import Scratch
+from .contamination import bounded
 from .graph import components
 from .words import SPACES, hashed_words, mix, shingles
 
@@ -32,6 +33,7 @@ SHARE = 75  # percent of the union that two linked sets share at least
 PLANES = 8  # four bits of each slot, as bit planes of two longs
 #: Slots of 128 whose four bits agree at least; 98 are expected at a similarity of 0.75, 5 sigma lower is 73.
 AGREE = 73
+TILE = 256  # rows of a bucket that are compared with as many others at a time
 _EMPTY = np.uint32(0xFFFFFFFF)
 _SEEDS = [np.uint64((j * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)) for j in range(SLOTS)]
 
@@ -120,12 +122,63 @@ def _confirm(batches):
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets share enough, as ``u, v``."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = texts.join(ids, "id", "left_semi")
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long")
 
 
+def _codes(batches):
+    """32-bit shingle codes: sets of codes share at least what the full sets share."""
+    for batch in batches:
+        for row, to, words, at in hashed_words(batch.column("text"), SPACES):
+            values, at = shingles(words, at, 5)
+            codes = [np.unique((values[at[i] : at[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for i in range(to - row)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, to - row), pa.array(codes, pa.binary())], names=["id", "codes"])
+
+
+def _compare(batches):
+    """Of each group of rows sorted by ``key, mb, ab, role``: links of rows of role 0 with rows of role 1 in other components."""
+    group, held = None, []
+    for batch in batches:
+        table = batch.to_pydict()
+        out = []
+        for key, mb, ab, *row in zip(*(table[c] for c in ("key", "mb", "ab", "role", "id", "c", "codes")), strict=True):
+            if (key, mb, ab) != group:
+                out += _links(held)
+                group, held = (key, mb, ab), []
+            held.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+    out = _links(held)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def _links(rows: list) -> list[tuple[int, int]]:
+    """The closest link, if any, of each row of role 0 to each other component among the rows of role 1."""
+    few = [r for r in rows if r[0] == 0]
+    many = [r for r in rows if r[0] == 1 and len(r[3])]
+    if not few or not many:
+        return []
+    sets = [np.frombuffer(r[3], np.uint32) for r in many]
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    ids, parts = np.array([r[1] for r in many]), np.array([r[2] for r in many])
+    out, mark = [], np.zeros(len(names), np.int32)
+    for _, own, part, packed in few:
+        mine = np.frombuffer(packed, np.uint32)
+        at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+        at = at[names[at] == mine]
+        mark[at] = 1
+        both = np.add.reduceat(mark[codes], start)
+        mark[at] = 0
+        union = size + len(mine) - both
+        good = np.flatnonzero((100 * both >= SHARE * union) & (parts != part) & (ids != own))
+        best: dict[int, int] = {}
+        for i in good[np.argsort(both[good] / union[good])]:
+            best[int(parts[i])] = int(ids[i])
+        out += [(max(own, y), min(own, y)) for y in best.values()]
+    return out
+
+
 def _agree() -> Column:
     """Slots whose four bits agree in the bit planes ``planes_a`` and ``planes_b``."""
     differ = []
@@ -161,7 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = members.where("pivot").select("key", F.col("id").alias("p"))
     pairs = members.where("not pivot").join(pivots, "key").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"), "id").where("a > b")
     likely = work.write(_likely(pairs.select("a", "b"), marks), "likely")
+    # texts of the rows that any later step may need, read from the input once
+    wanted = bounded(members.select("id").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = work.write(texts.join(wanted, "id", "left_semi"), "texts")
     best = likely.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", "m.b")
     links = work.write(confirmed(best, texts), "links-1")
     found = components(links, work, "parts-1")
@@ -170,21 +226,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = work.write(links.unionByName(confirmed(apart, texts)), "links-2")
     found = components(links, work, "parts-2")
 
-    # whoever is not in its bucket's largest component meets all other rows of the bucket once
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"), "pivot")
+    # whoever is not in the largest component of its bucket is compared with the rest of the bucket
+    placed = members.where("not pivot").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
     most = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("m"))
-    open_keys = most.where("parts > 1 and size > 2").select("key", F.col("m.c").alias("large"))
-    placed = work.write(placed.join(open_keys, "key"), "open")
-    side = placed.join(marks, "id")
-    few, all_rows = (
-        side.select("key", F.col("id").alias(c), F.col("c").alias(f"c_{c}"), F.col("pivot").alias(f"pivot_{c}"), "large", F.col("n_shingles").alias(f"n_{c}"), F.col("planes").alias(f"planes_{c}"))
-        for c in "ab"
-    )
-    rest = few.where("c_a <> large").join(all_rows.drop("large"), "key").where(
-        F.expr(f"c_a <> c_b and not pivot_a and not pivot_b and 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)") & (_agree() >= AGREE)
-    )
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    links = work.write(links.unionByName(confirmed(work.write(rest, "rest"), texts)), "links-3")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    split = most.where("parts > 1").select("key", F.col("m.c").alias("large"), tiles(F.col("size")).alias("na"), tiles(F.col("size") - F.col("m.n")).alias("nm"))
+    placed = work.write(placed.join(split, "key"), "open")
+    tile = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = placed.where("c <> large").select("key", tile("nm", 1).alias("mb"), every("na").alias("ab"), F.lit(0).alias("role"), "id", "c")
+    all_rows = placed.select("key", every("nm").alias("mb"), tile("na", 2).alias("ab"), F.lit(1).alias("role"), "id", "c")
+    codes = work.write(texts.join(placed.select("id").distinct(), "id", "left_semi").mapInArrow(_codes, "id long, codes binary"), "codes")
+    rest = few.unionByName(all_rows).join(codes, "id").repartition("key", "mb", "ab").sortWithinPartitions("key", "mb", "ab", "role")
+    rest = work.write(rest.select("key", "mb", "ab", "role", "id", "c", "codes").mapInArrow(_compare, "a long, b long").distinct(), "rest")
+    links = work.write(links.unionByName(confirmed(rest, texts)), "links-3")
     found = components(links, work, "parts-3")
 
     whole = classes.join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
@@ -193,6 +248,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the first document of each near-duplicate group only.
+
+    Of rows with one id one stays. Rows with a null id cannot be named and all stay.
+    """
+    kept = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    kept = Scratch(docs.sparkSession, "kept").write(kept, "ids")
+    single, several = (docs.join(bounded(kept.where(f"n {op} 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns) for op in ("=", ">"))
+    return single.unionByName(several.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null"))
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs that are not yet in one component."""
     a, b = (found.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}")) for c in "ab")
