@@ -38,11 +38,13 @@ def _shifted(left: Column, right: Column, by: int, salt: int) -> Column:
 
 def seeds(table: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, seed, at``: both seeds at every position of the column ``words``."""
-    hashed = table.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= SPAN)
+    hashed = table.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     pairs = hashed.select(*keys, _shifted(F.col("h"), F.col("h"), 1, 0).alias("p"))
     middle = pairs.select(*keys, "p", _shifted(F.col("p"), F.col("p"), 3, 1).alias("q"), _shifted(F.col("p"), F.col("p"), 4, 2).alias("r"))
     both = middle.select(*keys, F.concat(_shifted(F.col("q"), F.col("p"), 6, 3), _shifted(F.col("r"), F.col("p"), 6, 4)).alias("s"))
-    return both.select(*keys, (F.size("s") / 2).cast("int").alias("n"), F.posexplode("s").alias("at", "seed")).select(*keys, (F.col("at") % F.col("n")).cast("int").alias("at"), "seed")
+    # the outer form: for the inner one the optimizer would filter on the size of the whole chain, unfolded, before it
+    rows = both.select(*keys, F.greatest(F.size("s") / 2, F.lit(1)).cast("int").alias("n"), F.posexplode_outer("s").alias("at", "seed"))
+    return rows.where("seed is not null").select(*keys, (F.col("at") % F.col("n")).cast("int").alias("at"), "seed")
 
 
 def bounded(table: DataFrame) -> DataFrame:
@@ -69,7 +71,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     hits = seeds(keyed, ["k1", "k2"]).join(bounded(index), "seed")
     lines = work.write(hits.select("k1", "k2", "item_id", (F.col("at") - F.col("item_at")).alias("d")).distinct(), "lines")
     rows = bounded(lines.select("k1", "k2").distinct())
-    hit_words = work.write(keyed.join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "words")
+    hit_texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text")).join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    hit_words = work.write(hit_texts.select("k1", "k2", words(F.col("text")).alias("words")), "words")
     side = hit_words.join(lines, ["k1", "k2"]).join(bounded(listed.withColumnRenamed("words", "item_words")), "item_id")
     compared = side.select("k1", "k2", "item_id", "d", F.least(F.lit(WINDOW), F.size("item_words")).alias("width"), _agreement().alias("same"))
     in_window = F.transform(
