@@ -65,8 +65,11 @@ def threshold_fraction(threshold: float = 0.55, best: str = "best") -> Column:
 
 
 def idf_weighted_maxsim(best: str = "best", weight: str = "jd_weight") -> Column:
+    """Weighted mean of the best similarities; fails on a negative weight or where all weights are zero."""
     total = F.aggregate(best, F.lit(0.0), lambda a, b: a + b[weight])
-    return F.aggregate(best, F.lit(0.0), lambda a, b: a + b[weight] * b["sim"]) / F.nullif(total, F.lit(0.0))
+    good = F.forall(best, lambda b: b[weight] >= 0) & ((total > 0) | (F.size(best) == 0))
+    value = F.aggregate(best, F.lit(0.0), lambda a, b: a + b[weight] * b["sim"]) / F.nullif(total, F.lit(0.0))
+    return F.when(good, value).otherwise(F.raise_error(F.lit("weights must not be negative, nor all zero")).cast("double"))
 
 
 def one_to_one_match() -> Column:
@@ -84,10 +87,17 @@ def one_to_one_match() -> Column:
     return F.aggregate(F.sort_array(cells), start, step, lambda a: a["s"]) / F.size("jd_ents")
 
 
-def entity_idf(jd_entities: DataFrame, key: str = "jd_id", ent: str = "ent_key") -> tuple[DataFrame, DataFrame]:
-    """(ent, idf) over distinct target documents, and one row with the idf of unseen entities."""
-    n = jd_entities.agg(F.count_distinct(key).alias("n_docs"))
-    df = jd_entities.select(key, ent).distinct().groupBy(ent).agg(F.count(F.lit(1)).alias("df"))
+def entity_idf(
+    jd_entities: DataFrame, targets: DataFrame, key: str = "jd_id", ent: str = "ent_key", text_hash: str = "text_hash"
+) -> tuple[DataFrame, DataFrame]:
+    """(ent, idf) over the distinct target texts, and one row with the idf of unseen entities.
+
+    ``targets`` (key, hash of the text) lists all targets: one without entities counts as a document,
+    and targets with equal texts are one document.
+    """
+    texts = targets.groupBy(text_hash).agg(F.min(key).alias(key))
+    n = texts.agg(F.count(F.lit(1)).alias("n_docs"))
+    df = jd_entities.select(key, ent).distinct().join(texts.select(key), key, "left_semi").groupBy(ent).agg(F.count(F.lit(1)).alias("df"))
     table = df.select(ent, "df", (F.log((n.scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return table, n.select("n_docs", (F.log(F.col("n_docs") + 1) + 1).alias("unseen"))
 

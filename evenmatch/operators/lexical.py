@@ -27,10 +27,19 @@ def term_vectors(docs: DataFrame, key: str, text: str = "text", stop_words=STOP_
     )
 
 
+def _tokens(vectors: DataFrame) -> DataFrame:
+    """One row per distinct token of each text.
+
+    The outer form: before an inner explode the optimizer would filter on the size of the array, with
+    the tokenizing expression copied into the lambdas that build it.
+    """
+    return vectors.select(F.explode_outer("terms").alias("token")).where("token IS NOT NULL")
+
+
 def bm25_fit(vectors: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(token, df, idf) and one row (n_docs, avgdl). Negative idf becomes epsilon * mean raw idf."""
     stats = vectors.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = vectors.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = _tokens(vectors).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = stats.select("n_docs").scalar()
     raw = df.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("_raw").alias("m")).scalar()
@@ -40,7 +49,7 @@ def bm25_fit(vectors: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, Data
 def tfidf_fit(vectors: DataFrame, min_df: int = 1) -> DataFrame:
     """(token, df, idf) with the smooth idf ln((1+n)/(1+df)) + 1."""
     n = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = vectors.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = _tokens(vectors).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df.where(F.col("df") >= min_df).select("token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
@@ -95,9 +104,16 @@ def tfidf_score(pairs: DataFrame, queries: DataFrame, docs: DataFrame, query_key
     return j.select(*pairs.columns, F.coalesce(dot, F.lit(0.0)).alias("score"))
 
 
-def fit_corpus(train: DataFrame, jds: DataFrame, n: int, seed: int, train_key: str = "bio_id", jd_key: str = "jd_id", text: str = "text") -> DataFrame:
-    """Seeded sample of training texts plus all target texts: (doc, text)."""
-    sample = train.withColumn("_h", order_hash(seed, train_key)).orderBy("_h").limit(n)
-    return sample.select(F.concat(F.lit("t"), F.col(train_key)).alias("doc"), text).unionByName(
+def fit_corpus(
+    train: DataFrame, jds: DataFrame, n: int | None = None, seed: int = 0, train_key: str = "bio_id", jd_key: str = "jd_id", text: str = "text"
+) -> DataFrame:
+    """All training texts, or a seeded sample of ``n``, plus all target texts: (doc, text).
+
+    The sample is drawn on ids, so no text is sorted or sent to one task.
+    """
+    if n is not None:
+        drawn = train.select(train_key).orderBy(order_hash(seed, train_key)).limit(n)
+        train = train.join(drawn, train_key, "left_semi")
+    return train.select(F.concat(F.lit("t"), F.col(train_key)).alias("doc"), text).unionByName(
         jds.select(F.concat(F.lit("j"), F.col(jd_key)).alias("doc"), text)
     )

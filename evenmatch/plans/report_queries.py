@@ -10,7 +10,7 @@ from ..sources.storage import shared_dir, written
 from .audit_queries import SUMMARY_SQL, r6, tests, tidy
 from .catalog import query
 from .eval_queries import HIS, LOS, related
-from .score_queries import jd_entities
+from .score_queries import jd_entities, target_texts
 from .views import with_views as V
 
 _CELL = "CASE WHEN ci_low IS NULL THEN printf('%.3f', value) ELSE printf('%.3f [%.3f, %.3f]', value, ci_low, ci_high) END"
@@ -59,7 +59,7 @@ def _(t):
 
 @query("artifact_bundle")
 def _(t):
-    idf, _ = E.entity_idf(jd_entities(t))
+    idf, _ = E.entity_idf(jd_entities(t), target_texts(t))
     dev = t.scores_long().where("split = 'dev'")
     sd = dev.groupBy("scorer", "jd_id").agg(F.stddev_samp("score").alias("pool_sd"))
     band = N.choose_band(N.band_grid(related(t).where("split = 'dev'"), LOS, HIS), 30)

@@ -17,11 +17,13 @@ r6 = lambda c: F.round(c, 6).alias(c)
 
 # ------------------------------------------------------------------------------------ lexical
 def corpus(t):
-    """Training bios (a seeded sample of 5000) and all target texts."""
-    return L.fit_corpus(t.v1().where("split = 'train'"), t.jds(), 5000, 3)
+    """All training bios and all target texts."""
+    return L.fit_corpus(t.v1().where("split = 'train'"), t.jds())
 
 
-sql_view("corpus", ("v1", "jds"), """SELECT * FROM (SELECT 't' || bio_id::varchar AS doc, text FROM v1 WHERE split = 'train' ORDER BY sha256('3|' || bio_id::varchar) LIMIT 5000)
+sql_view("corpus", ("v1", "jds"), """SELECT 't' || bio_id::varchar AS doc, text FROM v1 WHERE split = 'train'
+  UNION ALL SELECT 'j' || jd_id::varchar, text FROM jds""")
+sql_view("sampled", ("v1", "jds"), """SELECT * FROM (SELECT 't' || bio_id::varchar AS doc, text FROM v1 WHERE split = 'train' ORDER BY sha256('3|' || bio_id::varchar) LIMIT 100)
   UNION ALL SELECT 'j' || jd_id::varchar, text FROM jds""")
 _TOK = "SELECT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#]*')) AS token FROM {t}"
 for name, tab, key in (("ctf", "corpus", "doc"), ("qtf", "jds", "jd_id"), ("dtf", "v1", "bio_id")):
@@ -40,9 +42,9 @@ sql_view("tfidf", ("pairs", "qw", "dw"), """SELECT p.jd_id, p.bio_id, p.rel_bina
   FROM pairs p JOIN qw q ON q.k = p.jd_id JOIN dw d ON d.k = p.bio_id AND d.token = q.token GROUP BY 1, 2) s USING (jd_id, bio_id)""")
 
 
-@query("fit_corpus", V("corpus", "SELECT doc, sha256(text) AS text_hash FROM corpus"))
+@query("fit_corpus", V("sampled", "SELECT doc, sha256(text) AS text_hash FROM sampled"))
 def _(t):
-    return corpus(t).select("doc", F.sha2("text", 256).alias("text_hash"))
+    return L.fit_corpus(t.v1().where("split = 'train'"), t.jds(), 100, 3).select("doc", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("bm25_fit", V("bidf cstat", "SELECT token, df, round(idf, 6) AS idf, round(avgdl, 6) AS avgdl, n AS n_docs FROM bidf, cstat"))
@@ -58,9 +60,14 @@ def bm25(t, pairs=None):
 
 def tfidf(t, pairs=None):
     idf = L.tfidf_fit(L.term_vectors(corpus(t), "doc"))
-    q = L.tfidf_vectors(L.term_vectors(t.jds(), "jd_id"), "jd_id", idf)
-    d = L.tfidf_vectors(L.term_vectors(t.v1(), "bio_id"), "bio_id", idf)
-    return L.tfidf_score(t.pairs() if pairs is None else pairs, q, d)
+    jds, bios = t.jds(), t.v1()
+    if pairs is None:
+        pairs = t.pairs()
+    else:  # only the texts of the wanted pairs become vectors
+        jds, bios = jds.join(pairs.select("jd_id"), "jd_id", "left_semi"), bios.join(pairs.select("bio_id"), "bio_id", "left_semi")
+    q = L.tfidf_vectors(L.term_vectors(jds, "jd_id"), "jd_id", idf)
+    d = L.tfidf_vectors(L.term_vectors(bios, "bio_id"), "bio_id", idf)
+    return L.tfidf_score(pairs, q, d)
 
 
 @query("bm25_score", V("bm25", "SELECT jd_id, bio_id, round(score, 6) AS score FROM bm25"))
@@ -125,7 +132,7 @@ def _(t):
     return m.select("jd_id", "pool_set", *[F.round(f"`{c}`", 6).alias(c) for c in ("ndcg@10", "p@5", "p@10")])
 
 
-@query("parse_fit_score", r"""WITH a AS (SELECT conv_id, turn, regexp_replace(text, '[0-9]', '', 'g') || CASE turn % 5 WHEN 0 THEN ' the SCORE: ' || (conv_id % 130)::varchar || ' of 50'
+@query("parse_fit_score", r"""WITH a AS (SELECT conv_id, turn, text || CASE turn % 5 WHEN 0 THEN ' the SCORE: ' || (conv_id % 130)::varchar || ' of 50'
    WHEN 1 THEN ' gives 12 then ' || (conv_id % 130)::varchar || '.5 / 100' WHEN 2 THEN ' I say 1234 or ' || (conv_id % 130)::varchar || '!' WHEN 3 THEN ' 1.2.3 7' ELSE '' END AS answer FROM conversations),
  s AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '(?i)\bscore\s*[:=]?\s*([0-9]{1,3}(?:\.[0-9]+)?)', 1), lambda x: x::double), lambda x: x BETWEEN 0 AND 100)[1] AS a1,
   list_filter(list_transform(regexp_extract_all(answer, '([0-9]{1,3}(?:\.[0-9]+)?)\s*(?:/\s*100|out of 100)', 1), lambda x: x::double), lambda x: x BETWEEN 0 AND 100)[1] AS a2,
@@ -134,7 +141,7 @@ SELECT conv_id, turn, coalesce(a1, a2, a3) AS fit FROM s""")
 def _(t):
     tail = """CASE turn % 5 WHEN 0 THEN concat(' the SCORE: ', conv_id % 130, ' of 50') WHEN 1 THEN concat(' gives 12 then ', conv_id % 130, '.5 / 100')
       WHEN 2 THEN concat(' I say 1234 or ', conv_id % 130, '!') WHEN 3 THEN ' 1.2.3 7' ELSE '' END"""
-    a = t.read("conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", "[0-9]", ""), F.expr(tail)).alias("answer"))
+    a = t.read("conversations").select("conv_id", "turn", F.concat("text", F.expr(tail)).alias("answer"))
     return a.select("conv_id", "turn", parse_fit_score(F.col("answer")).alias("fit"))
 
 
@@ -195,9 +202,17 @@ def bio_entities(t):
     return E.first_mentions(t.entities().where("side = 'bio'").drop("side"), "bag").withColumnRenamed("bag", "bio_id")
 
 
+def target_texts(t):
+    """All targets with the hash of their text: the bags, one without entities after each tenth, and a copy of every seventh."""
+    bags = t.entities().where("side = 'jd'").select(F.col("bag").alias("jd_id")).distinct()
+    empty = bags.where("jd_id % 10 = 0").selectExpr("-1 - jd_id AS jd_id")
+    named = bags.unionByName(empty).select("jd_id", F.concat(F.lit("t"), F.col("jd_id")).alias("text_hash"))
+    return named.unionByName(bags.where("jd_id % 7 = 0").selectExpr("1000000000 + jd_id AS jd_id", "concat('t', jd_id) AS text_hash"))
+
+
 def weighted_jd(t):
     j = jd_entities(t)
-    idf, unseen = E.entity_idf(j)
+    idf, unseen = E.entity_idf(j, target_texts(t))
     return E.with_entity_weights(j, idf, unseen)
 
 
@@ -210,7 +225,8 @@ def best(t, weights=False):
     return E.best_matches(joined(t, weights), ("concept", "weight") if weights else ("concept",), ("concept",))
 
 
-sql_view("eidf", ("fent",), """SELECT ent_key, count(DISTINCT bag) AS df, ln(((SELECT count(DISTINCT bag) FROM fent WHERE side = 'jd') + 1) / (count(DISTINCT bag) + 1)) + 1 AS idf
+sql_view("ntarget", ("ent",), "SELECT count(DISTINCT h) AS n FROM (SELECT bag AS h FROM ent WHERE side = 'jd' UNION ALL SELECT -1 - bag FROM ent WHERE side = 'jd' AND bag % 10 = 0)")
+sql_view("eidf", ("fent", "ntarget"), """SELECT ent_key, count(DISTINCT bag) AS df, ln(((SELECT n FROM ntarget) + 1) / (count(DISTINCT bag) + 1)) + 1 AS idf
   FROM fent WHERE side = 'jd' GROUP BY 1""")
 sql_view("wbest", ("best", "eidf"), """SELECT b.*, i.idf, i.idf / sum(i.idf) OVER (PARTITION BY jd_id, bio_id) AS weight FROM best b JOIN eidf i ON i.ent_key = b.jd_ent""")
 
@@ -225,9 +241,9 @@ def _(t):
     return best(t).select("jd_id", "bio_id", F.round(E.maxsim_mean(), 6).alias("score"))
 
 
-@query("entity_idf", V("eidf fent", "SELECT ent_key, df, round(idf, 6) AS idf, round(ln((SELECT count(DISTINCT bag) FROM fent WHERE side = 'jd') + 1) + 1, 6) AS unseen FROM eidf"))
+@query("entity_idf", V("eidf ntarget", "SELECT ent_key, df, round(idf, 6) AS idf, round(ln((SELECT n FROM ntarget) + 1) + 1, 6) AS unseen FROM eidf"))
 def _(t):
-    idf, unseen = E.entity_idf(jd_entities(t))
+    idf, unseen = E.entity_idf(jd_entities(t), target_texts(t))
     return idf.select("ent_key", "df", r6("idf"), F.round(unseen.select("unseen").scalar(), 6).alias("unseen"))
 
 
