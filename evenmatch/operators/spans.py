@@ -52,40 +52,35 @@ def _token_keys(col: Column, mode: str) -> Column:
     return light_stems(toks) if mode == "norm" else toks
 
 
-def dictionary_spans(
-    docs: DataFrame, patterns: DataFrame, max_tokens: int, key: str = "doc_id", text: str = "text", modes=("norm", "lower")
-) -> DataFrame:
-    """All phrase matches, one row per (document, start, end); ``priority`` is the matching pass.
+def dictionary_spans(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "norm") -> DataFrame:
+    """All phrase matches, one row per (document, start, end), for patterns of any length.
 
     Every token position is first probed against the first tokens of the patterns, and only the
     positions and lengths that can match become n-grams, which are equi-joined with the pattern
     keys. Spark broadcasts the pattern table when it is small and shuffles by n-gram otherwise.
+    ``norm`` compares light stems, ``lower`` folded tokens; what the latter finds the former finds too.
     """
-    out = None
-    for rank, mode in enumerate(modes):
-        pats = (
-            patterns.withColumn("_p", _token_keys(F.col("form"), mode))
-            .groupBy(F.array_join("_p", " ").alias("_k"), F.get("_p", F.lit(0)).alias("_first"), F.size("_p").alias("_len"))
-            .agg(F.min(F.struct("concept_pos", "form_pos", "label", "concept_id")).alias("m"))
-            .select("_k", "_first", "_len", "m.label", "m.concept_id")
-        )
-        firsts = pats.where(F.col("_len") <= max_tokens).groupBy("_first").agg(F.collect_set("_len").alias("_lens"))
-        toks = docs.select(key, find_all(F.col(text), WORD_OR_MARK).alias("_t"), _token_keys(F.col(text), mode).alias("_n"))
-        windows = F.transform("_n", lambda x, i: F.struct(
-            i.alias("start"), x.alias("_first"), F.slice("_n", i + 1, max_tokens).alias("_ns"), F.slice("_t", i + 1, max_tokens).alias("_ts")))
-        found = (
-            toks.select(key, F.explode(windows).alias("g")).select(key, "g.*").join(firsts, "_first")
-            .select(key, "start", "_ns", "_ts", F.explode("_lens").alias("_n"))
-            .where(F.col("_n") <= F.size("_ns"))
-            .select(key, "start", "_n", F.array_join(F.slice("_ns", F.lit(1), F.col("_n")), " ").alias("_k"),
-                    F.array_join(F.slice("_ts", F.lit(1), F.col("_n")), " ").alias("text"))
-            .join(pats.select("_k", "label", "concept_id"), "_k")
-            .select(key, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("_n")).cast("bigint").alias("end"), "text", "label",
-                    F.lit("dictionary").alias("source"), "concept_id", F.lit(rank).alias("priority"))
-        )
-        out = found if out is None else out.unionByName(found)
-    first = F.min_by(F.struct("text", "label", "source", "concept_id", "priority"), "priority")
-    return out.groupBy(key, "start", "end").agg(first.alias("m")).select(key, "start", "end", "m.*")
+    pats = (
+        patterns.withColumn("_p", _token_keys(F.col("form"), mode))
+        .groupBy(F.array_join("_p", " ").alias("_k"), F.get("_p", F.lit(0)).alias("_first"), F.size("_p").alias("_len"))
+        .agg(F.min(F.struct("concept_pos", "form_pos", "label", "concept_id")).alias("m"))
+        .select("_k", "_first", "_len", "m.label", "m.concept_id")
+    )
+    longest = pats.agg(F.max("_len")).first()[0] or 1
+    firsts = pats.groupBy("_first").agg(F.collect_set("_len").alias("_lens"))
+    toks = docs.select(key, find_all(F.col(text), WORD_OR_MARK).alias("_t"), _token_keys(F.col(text), mode).alias("_n"))
+    windows = F.transform("_n", lambda x, i: F.struct(
+        i.alias("start"), x.alias("_first"), F.slice("_n", i + 1, longest).alias("_ns"), F.slice("_t", i + 1, longest).alias("_ts")))
+    return (
+        toks.select(key, F.explode(windows).alias("g")).select(key, "g.*").join(firsts, "_first")
+        .select(key, "start", "_ns", "_ts", F.explode("_lens").alias("_n"))
+        .where(F.col("_n") <= F.size("_ns"))
+        .select(key, "start", "_n", F.array_join(F.slice("_ns", F.lit(1), F.col("_n")), " ").alias("_k"),
+                F.array_join(F.slice("_ts", F.lit(1), F.col("_n")), " ").alias("text"))
+        .join(pats.select("_k", "label", "concept_id"), "_k")
+        .select(key, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("_n")).cast("bigint").alias("end"), "text", "label",
+                F.lit("dictionary").alias("source"), "concept_id", F.lit(0).alias("priority"))
+    )
 
 
 def longest_non_overlapping(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -158,7 +153,7 @@ def dedupe_spans(spans: DataFrame, key: str = "doc_id", priority: str = "priorit
 def union_spans(members: list[DataFrame], key: str = "doc_id") -> DataFrame:
     """Merge extractors; for equal boundaries the earlier member wins."""
     if not members:
-        raise ValueError("union_spans needs at least one member")
+        raise ValueError("nothing to merge: give one span table or more")
     out = None
     for i, m in enumerate(members):
         d = m.withColumn("priority", F.lit(i))
@@ -176,7 +171,7 @@ def filter_spans(spans: DataFrame, labels=None, sources=None) -> DataFrame:
 
 def entity_key(text: Column, fold: str = "casefold") -> Column:
     if fold not in ("exact", "casefold"):
-        raise ValueError("fold must be 'exact' or 'casefold'")
+        raise ValueError(f"texts are compared 'exact' or 'casefold', not {fold!r}")
     return F.lower(F.trim(text)) if fold == "casefold" else F.trim(text)
 
 

@@ -57,21 +57,25 @@ def _(t):
 
 # ---------------------------------------------------------------------------------- dictionary
 def forms(t):
-    """A dictionary from the benchmark passages: a two-word, a one-word and a three-word form each."""
+    """A dictionary that covers the benchmark passages: forms of two, one, three and four words in turn."""
     toks = find_all(F.col("text"), WORD_OR_MARK)
     return (
         t.read("benchmark").withColumn("t", toks)
         .select(
             F.concat(F.lit("b"), F.col("item_id")).alias("concept_id"), F.col("item_id").alias("concept_pos"),
             F.expr("CASE WHEN item_id % 2 = 0 THEN 'knowledge' ELSE 'skill' END").alias("label"),
-            F.posexplode(F.array(*[F.array_join(F.slice("t", a, n), " ") for a, n in ((1, 2), (3, 1), (4, 3))])).alias("form_pos", "form"),
+            F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size("t") / 10).cast("int")), lambda c: F.array(*[
+                F.struct((4 * c + j).cast("int").alias("form_pos"), F.slice("t", 10 * c + a, n).alias("w"), F.lit(n).alias("n")) for j, (a, n) in enumerate(_TILES)
+            ]))), lambda f: F.size(f["w"]) == f["n"])).alias("f"),
         )
+        .select("concept_id", "concept_pos", "label", "f.form_pos", F.array_join("f.w", " ").alias("form"))
     )
 
 
-sql_view("forms", (), f"""SELECT concept_id, concept_pos, label, unnest(range(3)) AS form_pos, unnest([array_to_string(t[1:2], ' '), t[3], array_to_string(t[4:6], ' ')]) AS form
-  FROM (SELECT 'b' || item_id::varchar AS concept_id, item_id AS concept_pos, CASE WHEN item_id % 2 = 0 THEN 'knowledge' ELSE 'skill' END AS label,
-  regexp_extract_all(text, '{WM}') AS t FROM benchmark)""")
+_TILES = ((1, 2), (3, 1), (4, 3), (7, 4))  # first token and length of the forms in every ten tokens
+sql_view("forms", (), f"""SELECT concept_id, concept_pos, label, (4 * c + j)::int AS form_pos, array_to_string(t[10 * c + a:10 * c + a + n - 1], ' ') AS form
+  FROM (SELECT *, unnest(range(len(t) // 10 + 1)) AS c FROM (SELECT 'b' || item_id::varchar AS concept_id, item_id AS concept_pos, CASE WHEN item_id % 2 = 0 THEN 'knowledge' ELSE 'skill' END AS label,
+  regexp_extract_all(text, '{WM}') AS t FROM benchmark)), (VALUES (0, 1, 2), (1, 3, 1), (2, 4, 3), (3, 7, 4)) v(j, a, n) WHERE len(t) >= 10 * c + a + n - 1""")
 sql_view("pats", ("forms",), f"""SELECT * FROM (SELECT *, lower(form) AS key, row_number() OVER (PARTITION BY lower(form) ORDER BY concept_pos, form_pos) AS rn FROM forms
   WHERE length(form) >= 2 AND len(string_split_regex(lower(form), '\\s+')) <= 8 AND len(list_filter(string_split_regex(lower(form), '\\s+'), lambda w: w NOT IN {STOPS})) > 0) WHERE rn = 1""")
 
@@ -90,7 +94,7 @@ def _stem(x: str) -> str:
     return rf"CASE WHEN length({c}) <= 3 THEN {c} ELSE regexp_replace({c}, 'e$', '') END"
 
 
-sql_view("wm", (), f"""SELECT doc_id, tok, pos, stem, lead(tok, 1) OVER w AS tok1, lead(tok, 2) OVER w AS tok2, lead(stem, 1) OVER w AS stem1, lead(stem, 2) OVER w AS stem2 FROM (
+sql_view("wm", (), f"""SELECT doc_id, tok, pos, stem, lead(tok, 1) OVER w AS tok1, lead(tok, 2) OVER w AS tok2, lead(tok, 3) OVER w AS tok3, lead(stem, 3) OVER w AS stem3, lead(stem, 1) OVER w AS stem1, lead(stem, 2) OVER w AS stem2 FROM (
   SELECT doc_id, tok, pos, {_stem('tok')} AS stem FROM (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) - 1 AS pos FROM
   (SELECT doc_id, regexp_extract_all(text, '{WM}') AS l FROM documents))) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
 sql_view("spats", ("pats",), f"""SELECT skey, min(struct_pack(concept_pos, form_pos, label, concept_id)) AS m FROM (SELECT *, array_to_string(list_transform(
@@ -98,12 +102,13 @@ sql_view("spats", ("pats",), f"""SELECT skey, min(struct_pack(concept_pos, form_
 sql_view("dspans", ("wm", "spats"), """SELECT g.doc_id, g.start, g."end", g.text, m.label AS label, m.concept_id AS concept_id FROM (
   SELECT doc_id, pos AS start, pos + 1 AS "end", tok AS text, stem AS k FROM wm UNION ALL
   SELECT doc_id, pos, pos + 2, tok || ' ' || tok1, stem || ' ' || stem1 FROM wm WHERE tok1 IS NOT NULL UNION ALL
-  SELECT doc_id, pos, pos + 3, tok || ' ' || tok1 || ' ' || tok2, stem || ' ' || stem1 || ' ' || stem2 FROM wm WHERE tok2 IS NOT NULL) g JOIN spats ON spats.skey = g.k""")
+  SELECT doc_id, pos, pos + 3, tok || ' ' || tok1 || ' ' || tok2, stem || ' ' || stem1 || ' ' || stem2 FROM wm WHERE tok2 IS NOT NULL UNION ALL
+  SELECT doc_id, pos, pos + 4, tok || ' ' || tok1 || ' ' || tok2 || ' ' || tok3, stem || ' ' || stem1 || ' ' || stem2 || ' ' || stem3 FROM wm WHERE tok3 IS NOT NULL) g JOIN spats ON spats.skey = g.k""")
 
 
 @query("dictionary_spans", V("dspans", "SELECT * FROM dspans"))
 def _(t):
-    return S.dictionary_spans(t.read("documents"), patterns(t), 3).drop("source", "priority")
+    return S.dictionary_spans(t.read("documents"), patterns(t)).drop("source", "priority")
 
 
 # Candidates with many kinds of overlap: long-word runs, the same moved by one, and medium-word runs.
