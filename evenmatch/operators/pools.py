@@ -19,7 +19,7 @@ def relevance_binary(jd_class: Column, bio_class: Column) -> Column:
 
 def class_group(code: Column, level: str = "major") -> Column:
     if level not in ("major", "minor"):
-        raise ValueError(f"level must be 'major' or 'minor', got {level!r}")
+        raise ValueError(f"class codes have major and minor groups, not {level!r}")
     return F.substring(code, 1, 2 if level == "major" else 4)
 
 
@@ -74,28 +74,52 @@ def _start(seed: int, *cols) -> Column:
     return hash_number(order_hash(seed, *cols))
 
 
+def _slots(n: Column) -> Column:
+    """0 .. n-1; empty for none."""
+    return F.transform(F.array_repeat(F.lit(0), n.cast("int")), lambda _, i: i)
+
+
+def _require_enough(jds: DataFrame, sizes: DataFrame, half_rel: int, half_irr: int, irrelevant: str) -> None:
+    """Raise where a class, or the other classes, have too few bios of a gender for their slots."""
+    total = sizes.groupBy("bio_gender").agg(F.map_from_entries(F.collect_list(F.struct("bio_occ", "n"))).alias("of"))
+    genders = F.explode(F.array(F.lit("F"), F.lit("M"))).alias("bio_gender")
+    want = jds.select("jd_occ").distinct().select("jd_occ", genders).join(total, "bio_gender", "left")
+    rest = F.coalesce(F.map_values(F.map_filter("of", lambda k, _: k != F.col("jd_occ"))), F.array().cast("array<bigint>"))
+    own = F.coalesce(F.try_element_at("of", F.col("jd_occ")), F.lit(0))
+    short = F.aggregate(rest, F.lit(0).cast("bigint"), lambda x, y: x + y) < half_irr
+    if irrelevant == "uniform":  # dealt in turn, a class gives up to this many
+        short = short | (F.coalesce(F.array_min(rest), F.lit(0)) < F.ceil(F.lit(half_irr) / F.greatest(F.size(rest), F.lit(1))))
+    bad = want.where((own < half_rel) | short).select("jd_occ", "bio_gender").orderBy("jd_occ", "bio_gender").limit(5).collect()
+    if bad:
+        raise ValueError(f"too few bios to fill the pools of (class, gender) {[tuple(r) for r in bad]}")
+
+
 def build_pools(
-    bios: DataFrame, jds: DataFrame, n_candidates: int, n_relevant: int, seed: int, irrelevant: str = "uniform"
+    bios: DataFrame, jds: DataFrame, n_candidates: int, n_relevant: int, seed: int, irrelevant: str = "uniform", allow_short: bool = False, codes: DataFrame | None = None,
 ) -> DataFrame:
     """Long pool table from bios(bio_id, bio_occ, bio_gender) and jds(jd_id, jd_occ).
 
     Half of the relevant and half of the other candidates are of each gender. ``uniform`` deals the
     other slots to the other classes in turn, in a seeded order per target, so their counts differ
     by at most one (independent draws per slot would be multinomial); ``proportional`` spreads them
-    systematically over all other bios. Slots a class cannot fill stay empty: see ``pool_checks``.
+    systematically over all other bios. Raises where a class or all others together cannot fill
+    their slots; ``allow_short`` leaves such slots empty instead (see ``pool_checks``). With
+    ``codes`` (class, code) the table also holds ``rel_graded``.
     """
     if n_relevant % 2 or (n_candidates - n_relevant) % 2:
-        raise ValueError("n_relevant and n_candidates - n_relevant must be even for gender balance")
+        raise ValueError("relevant and other slots must each split into two equal halves")
     if irrelevant not in ("uniform", "proportional"):
-        raise ValueError(f"unknown irrelevant sampling {irrelevant!r}")
+        raise ValueError(f"other slots are dealt 'uniform' or 'proportional', not {irrelevant!r}")
     half_rel, half_irr = n_relevant // 2, (n_candidates - n_relevant) // 2
     indexed = _indexed(bios, seed)
     sizes = _class_sizes(bios)
+    if not allow_short:
+        _require_enough(jds, sizes, half_rel, half_irr, irrelevant)
     j = jds.select("jd_id", "jd_occ")
 
     rel = (
         j.join(sizes.withColumnRenamed("bio_occ", "jd_occ"), "jd_occ")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(half_rel), F.col("n")).cast("int") - 1)))
+        .withColumn("slot", F.explode(_slots(F.least(F.lit(half_rel), F.col("n")))))
         .select(
             "jd_id", "jd_occ", F.col("jd_occ").alias("bio_occ"), "bio_gender",
             ((_start(seed, "jd_id", "bio_gender") + F.col("slot")) % F.col("n")).alias("idx"),
@@ -111,7 +135,7 @@ def build_pools(
             F.sort_array(F.transform("classes", lambda c: F.struct(
                 order_hash(seed, F.col("jd_id"), c["bio_occ"]).alias("h"), c["bio_occ"].alias("bio_occ"), c["n"].alias("n")))),
         )
-        slots = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(half_irr - 1)))).select(
+        slots = dealt.withColumn("slot", F.explode(_slots(F.lit(half_irr)))).select(
             "jd_id", "jd_occ", "bio_gender",
             F.get("classes", (F.col("slot") % F.size("classes")).cast("int")).alias("c"),
             F.floor(F.col("slot") / F.size("classes")).alias("turn"),
@@ -124,7 +148,7 @@ def build_pools(
         total = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
         placed = (
             others.withColumn("m", total)
-            .withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(half_irr), F.col("m")).cast("int") - 1)))
+            .withColumn("slot", F.explode(_slots(F.least(F.lit(half_irr), F.col("m")))))
             .withColumn(
                 "at",
                 (_start(seed, "jd_id", "bio_gender") + F.floor(F.col("slot") * F.col("m") / F.least(F.lit(half_irr), F.col("m")))) % F.col("m"),
@@ -139,9 +163,10 @@ def build_pools(
         irr = placed.withColumn("hit", F.aggregate("classes", init, step)).select(
             "jd_id", "jd_occ", F.col("hit.occ").alias("bio_occ"), "bio_gender", F.col("hit.idx").alias("idx")
         )
-    return rel.unionByName(irr).join(indexed.drop("n_class"), ["bio_occ", "bio_gender", "idx"]).select(
+    out = rel.unionByName(irr).join(indexed.drop("n_class"), ["bio_occ", "bio_gender", "idx"]).select(
         "jd_id", "jd_occ", "bio_id", "bio_occ", "bio_gender", relevance_binary(F.col("jd_occ"), F.col("bio_occ")).alias("rel_binary")
     )
+    return out if codes is None else relevance_graded(out, codes)
 
 
 def pool_checks(pools: DataFrame, n_candidates: int, n_relevant: int) -> DataFrame:

@@ -471,20 +471,24 @@ sql_view("pro", ("sz", "jds"), f"""SELECT c.jd_id, c.jd_occ, c.bio_occ, c.bio_ge
   JOIN (SELECT jd_id, bio_gender, ({_H.format("'11|' || jd_id::varchar || '|' || bio_gender")} + (s * m) // least(8, m)) % m AS at_ FROM
    (SELECT jd_id, bio_gender, sum(n)::bigint AS m FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no GROUP BY 1, 2), range(8) AS r(s) WHERE s < m) p
   ON p.jd_id = c.jd_id AND p.bio_gender = c.bio_gender AND p.at_ >= c.lo AND p.at_ < c.lo + c.n""")
-sql_view("pool_u", ("relslots", "uni", "ix"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary FROM
-  (SELECT * FROM relslots UNION ALL SELECT * FROM uni) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx""")
-sql_view("pool_p", ("relslots", "pro", "ix"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary FROM
-  (SELECT * FROM relslots UNION ALL SELECT * FROM pro) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx""")
+sql_view("pool_u", ("relslots", "uni", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
+  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
+  (SELECT * FROM relslots UNION ALL SELECT * FROM uni) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
+  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
+sql_view("pool_p", ("relslots", "pro", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
+  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
+  (SELECT * FROM relslots UNION ALL SELECT * FROM pro) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
+  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
 
 
 @query("build_pools", V("pool_u", "SELECT * FROM pool_u"))
 def _(t):
-    return pools.build_pools(*pool_inputs(t), 20, 4, 11)
+    return pools.build_pools(*pool_inputs(t), 20, 4, 11, codes=class_codes(t))
 
 
 @query("build_pools_proportional", V("pool_p", "SELECT * FROM pool_p"))
 def _(t):
-    return pools.build_pools(*pool_inputs(t), 20, 4, 11, "proportional")
+    return pools.build_pools(*pool_inputs(t), 20, 4, 11, "proportional", codes=class_codes(t))
 
 
 @query("pool_checks", V("pool_u", """SELECT *, n_rows = 20 AND n_bios = 20 AND n_f = 10 AND n_rel = 4 AND n_rel_f = 2 AS ok FROM (SELECT jd_id, count(*) AS n_rows,

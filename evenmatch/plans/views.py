@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.ordering import hash_position
+from ..functions.text import order_hash
 from ..sources.storage import written
 
 OFFSETS = (0, 1, 3, 7, 11)  # each bio is paired with one target in each of these class distances
@@ -47,11 +49,15 @@ class Tables:
             "CASE WHEN item_id % 10 < 3 THEN 'dev' ELSE 'test' END AS pool_set",
         )
 
-    def pairs(self) -> DataFrame:
-        """Every bio meets one target of each of five classes: a bounded number of pairs per bio."""
-        jds = self.jds().selectExpr("jd_id", "occ_no AS jd_occ", "pool_set", f"floor(jd_id/{CLASSES}) AS slot")
+    def pairs(self, bios: DataFrame | None = None) -> DataFrame:
+        """Every bio (of ``bios``, else of all) meets one target of each of five classes: a bounded number of pairs per bio.
+
+        Targets are numbered inside their class, so gaps in their ids lose no pair.
+        """
+        jds = self.jds().selectExpr("jd_id", "occ_no AS jd_occ", "pool_set")
+        jds = hash_position(jds.withColumn("_h", order_hash(0, "jd_id")), ["jd_occ"], "_h", "slot").drop("_h")
         counts = jds.groupBy("jd_occ").agg(F.count(F.lit(1)).alias("n_class"))
-        want = self.v1().select(
+        want = (self.v1() if bios is None else bios).select(
             "bio_id", F.col("gender").alias("bio_gender"), F.col("occ_no").alias("bio_occ"),
             F.explode(F.array(*[F.lit(o) for o in OFFSETS])).alias("off"),
         ).selectExpr("*", f"(bio_occ - off + {CLASSES}) % {CLASSES} AS jd_occ")
@@ -173,7 +179,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT bio_id, gender AS bio_gender, occ_no AS bio_occ, off, (occ_no - off + {CLASSES}) % {CLASSES} AS want
               FROM v1, (SELECT unnest([{', '.join(map(str, OFFSETS))}]) AS off)) w
         JOIN (SELECT occ_no, count(*) AS n_class FROM jds GROUP BY 1) c ON c.occ_no = w.want
-        JOIN jds j ON j.occ_no = w.want AND j.jd_id//{CLASSES} = (w.bio_id//{CLASSES} + w.off) % c.n_class"""),
+        JOIN (SELECT *, row_number() OVER (PARTITION BY occ_no ORDER BY sha256('0|' || jd_id::varchar)) - 1 AS slot FROM jds) j ON j.occ_no = w.want AND j.slot = (w.bio_id//{CLASSES} + w.off) % c.n_class"""),
     "postings": ((), """SELECT page_id AS job_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
         regexp_replace(html, '<[^>]*>', ' ', 'g') AS description FROM pages"""),
     "ent": ((), """SELECT vec_id//5 AS bag, vec_id AS pos, 'k' || ((vec_id*7) % 37)::varchar AS ent_key,
