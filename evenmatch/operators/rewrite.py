@@ -138,6 +138,9 @@ def swap_phrases(pairs=R.AFFILIATIONS) -> Column:
 
 
 # --------------------------------------------------------------------------------------- words
+SENTENCE_ENDS = (".", "!", "?")
+
+
 def rewrite_words(swaps=R.WORD_SWAPS) -> Column:
     """Directed word swaps with guards on neighbouring words, as proposals.
 
@@ -162,12 +165,15 @@ def rewrite_words(swaps=R.WORD_SWAPS) -> Column:
         low, raw = F.get("low", i), F.get("p", i)
         prev, nxt = _near("low", i, -1), _near("low", i, 1)
         ahead = _far("low", i, 6)
-        any_ahead = lambda words, n=6: _any([_isin(x, words) for x in ahead[:n]])
+        open_so_far, reach = F.lit(True), []  # a sentence end stops the look-ahead for idioms
+        for x in ahead:
+            open_so_far = open_so_far & ~_isin(x, SENTENCE_ENDS)
+            reach.append((x, open_so_far))
+        any_ahead = lambda words: _any([_isin(x, words) & still for x, still in reach])
         hyphen = _isin(prev, ["-"]) | _isin(nxt, ["-"])
         open_next = nxt.isNotNull() & _is_word(nxt) & ~_isin(nxt, function_words)
         verb_ok = ~_isin(prev, nominal_left) & ~(_isin(prev, R.BE_FORMS) & low.isin("lead", "leads"))
         passive = _isin(prev, R.BE_FORMS) | _isin(nxt, ["by"])
-        # a sentence end stops the look-ahead for idioms
         idiom = _isin(nxt, ["to", *R.PARTICLES]) | any_ahead(["to"]) | any_ahead([*R.FIXED_OBJECTS, *[w + "s" for w in R.FIXED_OBJECTS]])
         attributive = ~_isin(nxt, object_start)
         modifier_ok = _isin(prev, (*R.DETERMINERS, *R.POSSESSIVES)) & open_next

@@ -16,14 +16,14 @@ from .views import sql_view, with_views as V
 # The invented texts hold no English pronouns, names or affiliations, so every bio ends in one of
 # these sentences; {n} is a name that depends on the bio.
 ENDINGS = (
-    "He led the team and his mentor thanked him.",
-    "She supports her lab, and the choice was hers. Ms. Gray met him.",
-    "{n} is a driven engineer. {n}'s clients trust her.",
-    "Dr. {n} was president of her sorority and leads junior staff.",
-    "He was lead author; she drove growth in Asia with {n} Lee.",
-    "A leading member of the Society of Women Engineers, he supported the troops.",
-    "The board hired her in 2010. THE FINAL WORD WAS HIS.",
-    "There is no such word here.",
+    "She tuned her harp while he oiled his loom.",
+    "He carried his trunk, and the key was his. Mrs. Dale greeted her.",
+    "{n} is a driven glazier. {n}'s pupils admire him.",
+    "Dr. {n} joined a fraternity and leads new bakers.",
+    "She was lead cook; he drove demand in Turin with {n} Moss.",
+    "A leading member of the Society of Women Engineers, she supported the guild.",
+    "The mayor called him in 1987. THE LAST SEAT WAS HERS. Mara led crews. To be fair, they sang.",
+    "Nothing here needs a change.",
 )
 
 
@@ -108,7 +108,9 @@ def _(t):
 # --------------------------------------------------------------------------------------- words
 _BY = lambda g: [s for s, _, _, _, gs in R.WORD_SWAPS if g in gs]
 _CLS = lambda c: [s for s, _, _, wc, _ in R.WORD_SWAPS if wc == c]
-_AHEAD = lambda words: "(" + " OR ".join(f"coalesce(low[i + {k}] IN {_sqlist(words)}, false)" for k in range(1, 7)) + ")"
+_far = lambda k: f"coalesce(low[i + {k}], '')"
+_open = lambda k: " AND ".join(f"{_far(j)} NOT IN {_sqlist(G.SENTENCE_ENDS)}" for j in range(1, k + 1))
+_AHEAD = lambda words: "(" + " OR ".join(f"({_open(k)} AND {_far(k)} IN {_sqlist(words)})" for k in range(1, 7)) + ")"
 _T = " ".join(f"WHEN '{s}' THEN '{x}'" for s, x, *_ in R.WORD_SWAPS)
 _D = " ".join(f"WHEN '{s}' THEN '{d}'" for s, _, d, *_ in R.WORD_SWAPS)
 _I = lambda c, words: f"coalesce({c} IN {_sqlist(words)}, false)"
