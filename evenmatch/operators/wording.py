@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import find_all
+from ..sources import rules as R
 from ..sources.rules import ENDINGS, FEMININE_CODED, MASCULINE_CODED, VERDICT_CUTOFF
 
 WORD_PATTERN = r"[a-z]+(?:-[a-z]+)*"
@@ -41,9 +42,9 @@ def wording_score(texts: DataFrame, forms: DataFrame, key: str = "bio_id", text:
     c = d.groupBy(key, "n_words").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("masculine_count"), F.coalesce(F.sum("f"), F.lit(0)).alias("feminine_count"))
     score = F.bround((F.col("masculine_count") - F.col("feminine_count")) / F.greatest("n_words", F.lit(1)) * 100, 2)
     verdict = (
-        F.when((F.col("masculine_count") == 0) & (F.col("feminine_count") == 0), "No gender-coded words found")
-        .when(F.abs("score") < VERDICT_CUTOFF, "Roughly balanced: masculine- and feminine-coded words appear at similar rates")
-        .when(F.col("score") > 0, "Leans masculine-coded: may discourage some applicants")
-        .otherwise("Leans feminine-coded: may discourage some applicants")
+        F.when((F.col("masculine_count") == 0) & (F.col("feminine_count") == 0), R.NO_CODED_WORDS)
+        .when(F.abs("score") < VERDICT_CUTOFF, R.BALANCED_WORDS)
+        .when(F.col("score") > 0, R.MASCULINE_WORDS)
+        .otherwise(R.FEMININE_WORDS)
     )
     return c.withColumn("score", score).withColumn("verdict", verdict)

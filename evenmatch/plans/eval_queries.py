@@ -257,7 +257,7 @@ def rated(t):
 _AVG_RANK = "(rank() OVER (PARTITION BY {k} ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2)"
 SPEARMAN_SQL = f""", k AS (SELECT scorer, {_AVG_RANK.format(k='scorer', c='score')} AS rx, {_AVG_RANK.format(k='scorer', c='human_mean')} AS ry FROM rated),
  u AS (SELECT *, row_number() OVER (PARTITION BY scorer ORDER BY sha256('{SEED}|' || pair_id::varchar)) - 1 AS idx, count(*) OVER (PARTITION BY scorer) AS n FROM rated),
- d AS (SELECT s.scorer, b, {draw_sql('b', 'i', 'n', SEED)} AS idx FROM (SELECT DISTINCT scorer, n FROM u) s, range(1, 61) AS x(b), LATERAL (SELECT unnest(range(n)) AS i) y),
+ d AS (SELECT s.scorer, b, {draw_sql('b', 'i', 'n', SEED)} AS idx FROM (SELECT DISTINCT scorer, n FROM u) s, range(1, 201) AS x(b), LATERAL (SELECT unnest(range(n)) AS i) y),
  v AS (SELECT scorer, b, score, human_mean FROM d JOIN u USING (scorer, idx)),
  w AS (SELECT scorer, b, {_AVG_RANK.format(k='scorer, b', c='score')} AS rx, {_AVG_RANK.format(k='scorer, b', c='human_mean')} AS ry FROM v),
  r AS (SELECT scorer, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM (SELECT scorer, b, corr(rx, ry) AS rho FROM w GROUP BY 1, 2) GROUP BY 1)
@@ -266,7 +266,7 @@ SPEARMAN_SQL = f""", k AS (SELECT scorer, {_AVG_RANK.format(k='scorer', c='score
 
 @query("spearman_ci", V("rated", SPEARMAN_SQL))
 def _(t):
-    d = A.spearman_ci(rated(t), "score", "human_mean", "pair_id", ["scorer"], 60, 0.05, SEED)
+    d = A.spearman_ci(rated(t), "score", "human_mean", "pair_id", ["scorer"], 200, 0.05, SEED)
     return d.select("scorer", r6("rho"), "n", r6("ci_low"), r6("ci_high"))
 
 

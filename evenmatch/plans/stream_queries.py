@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L, wording
-from ..sources.storage import shared_dir
+from ..sources.storage import shared_dir, written
 from ..streaming import jobs
 from .catalog import query
 from .eval_queries import coded_texts
@@ -50,11 +50,12 @@ def _(t):
 
 @query("stream_match", V("bm25", "SELECT jd_id, bio_id, round(score, 6) AS score FROM bm25"))
 def _(t):
-    idf, stats = L.bm25_fit(L.term_vectors(corpus(t), "doc"))
-    queries = L.term_vectors(t.jds(), "jd_id")
+    # the fit is written once; a micro-batch makes its own pairs and reads no other text
+    idf, stats = (written(d, "fit") for d in L.bm25_fit(L.term_vectors(corpus(t), "doc")))
+    queries = written(L.term_vectors(t.jds(), "jd_id"), "queries")
 
     def score(batch):
-        pairs = t.pairs().join(batch.select("bio_id"), "bio_id", "left_semi").select("jd_id", "bio_id")
+        pairs = t.pairs(batch).select("jd_id", "bio_id")
         return L.bm25_score(pairs, queries, L.term_vectors(batch, "bio_id"), idf, stats)
 
     texts = StreamTables(t.spark, t.path).v1()

@@ -161,6 +161,12 @@ OCCUPATIONS = TitleRules(
         TitleRule("yoga_teacher", code="39-9031", include=(r"\byoga (teacher|instructor)\b",), weak=(r"\byoga\b",)),
     ),
 )
+# Verdicts of the wording score.
+NO_CODED_WORDS = "No gender-coded words found"
+BALANCED_WORDS = "Roughly balanced: masculine- and feminine-coded words appear at similar rates"
+MASCULINE_WORDS = "Leans masculine-coded: may discourage some applicants"
+FEMININE_WORDS = "Leans feminine-coded: may discourage some applicants"
+
 # ------------------------------------------------------------------------ end of fixed values
 
 # Closed-class English words: default stop words of the lexical scorers (pronouns included) and the

@@ -32,13 +32,13 @@ def stream_match(texts: DataFrame, score: Callable[[DataFrame], DataFrame], sink
     return _per_batch(texts, score, sink, checkpoint)
 
 
-def stream_latest_ratings(ratings: DataFrame, sink: str, checkpoint: str, watermark: str = "30 days") -> StreamingQuery:
-    """Latest rating per (annotator, pair) by its own timestamp; late rows inside the watermark can still win.
+def stream_latest_ratings(ratings: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Latest rating per (annotator, pair) by its own timestamp, however late a row arrives.
 
-    Each batch writes the keys it changed. ``latest_state`` reads the newest row per key.
+    One state row per (annotator, pair) stays for good: the number of pairs to rate bounds it. Each batch writes the keys it changed. ``latest_state`` reads the newest row per key.
     """
     keys = ["annotator", "pair_id"]
-    agg = ratings.withWatermark("ts", watermark).groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "rating")).alias("m"))
+    agg = ratings.groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "rating")).alias("m"))
     out = agg.select(*keys, "m.ts", "m.event_id", "m.rating")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -51,8 +51,8 @@ def latest_state(log: DataFrame) -> DataFrame:
     return latest_ratings(log, order=("ts", "event_id"))
 
 
-def stream_dedup(texts: DataFrame, sink: str, checkpoint: str, text: str = "text", ts: str = "ts", watermark: str = "3650 days") -> StreamingQuery:
-    """First arrival of each distinct text within the watermark; only its hash is kept as state."""
+def stream_dedup(texts: DataFrame, sink: str, checkpoint: str, text: str = "text", ts: str = "ts", watermark: str = "30 days") -> StreamingQuery:
+    """First arrival of each distinct text within the watermark; its hash is kept as state until the watermark has passed it."""
     d = texts.withColumn("text_hash", F.sha2(text, 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["text_hash"])
     return d.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
