@@ -55,13 +55,18 @@ def headline_points(tidy: DataFrame, families: dict[str, str], x_metric: str, y_
 
 
 def artifact_bundle(idf: DataFrame, calibration: DataFrame, pool_sd: DataFrame, band: DataFrame) -> DataFrame:
-    """One nested row with everything a matcher needs: idf table, calibration, pool SDs, chosen band.
+    """Everything a matcher needs as rows ``part, name, value``: idf of the entities, calibration, pool SDs, chosen band.
 
-    The idf table is the vocabulary of distinct target entities; it is the one part that grows, and
-    it is the artefact itself.
+    A vocabulary of any size stays a table; no part is gathered into one row.
     """
-    table = idf.agg(F.map_from_entries(F.collect_list(F.struct("ent_key", "idf"))).alias("v"))
-    cal = calibration.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "scorer", "grp"), F.struct("n", "mean", "quantiles")))).alias("v"))
-    sds = pool_sd.agg(F.map_from_entries(F.collect_list(F.struct("scorer", "pool_sd_median"))).alias("v"))
-    one = band.agg(F.first(F.struct("lo", "hi")).alias("v"))
-    return table.select(F.col("v").alias("idf"), cal.scalar().alias("calibration"), sds.scalar().alias("pool_sd_median"), one.scalar().alias("band"))
+    label = F.concat_ws("/", "scorer", "grp")
+    number = lambda d, part, name, value: d.select(F.lit(part).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    quantiles = calibration.select(label.alias("l"), F.posexplode("quantiles").alias("p", "q"))
+    return (
+        number(idf, "idf", F.col("ent_key"), F.col("idf"))
+        .unionByName(number(calibration, "mean", label, F.col("mean")))
+        .unionByName(number(calibration, "n", label, F.col("n")))
+        .unionByName(number(quantiles, "quantile", F.concat_ws("/", "l", "p"), F.col("q")))
+        .unionByName(number(pool_sd, "pool_sd_median", F.col("scorer"), F.col("pool_sd_median")))
+        .unionByName(number(band, "band", F.lit("lo"), F.col("lo"))).unionByName(number(band, "band", F.lit("hi"), F.col("hi")))
+    )

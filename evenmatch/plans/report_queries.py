@@ -57,7 +57,17 @@ def _(t):
     return O.dataset_profile(t.v1(), t.pairs())
 
 
-@query("artifact_bundle")
+_Q101 = [i / 100 for i in range(101)]
+
+
+@query("artifact_bundle", V("eidf sl gaps bands", f"""
+, g AS (SELECT scorer || '/all' AS l, score FROM sl WHERE split = 'dev' UNION ALL SELECT scorer || '/' || ['irrelevant', 'related', 'relevant'][rel_graded + 1], score FROM sl WHERE split = 'dev'),
+ c AS (SELECT l, avg(score) AS mean, count(*) AS n, quantile_cont(score, {_Q101}) AS q FROM g GROUP BY 1),
+ b AS (SELECT lo, hi FROM bands WHERE split = 'dev' AND n >= 30 ORDER BY bands.lenient DESC, n DESC, lo, hi LIMIT 1)
+SELECT 'idf' AS part, ent_key AS name, round(idf, 6) AS value FROM eidf UNION ALL SELECT 'mean', l, round(mean, 6) FROM c UNION ALL SELECT 'n', l, n::double FROM c
+ UNION ALL SELECT 'quantile', l || '/' || (i - 1)::varchar, round(q[i], 6) FROM (SELECT l, q, unnest(range(1, 102)) AS i FROM c)
+ UNION ALL SELECT 'pool_sd_median', scorer, round(median(pool_sd), 6) FROM (SELECT scorer, jd_id, min(pool_sd) AS pool_sd FROM gaps WHERE split = 'dev' GROUP BY 1, 2) GROUP BY scorer
+ UNION ALL SELECT 'band', 'lo', round(lo, 6) FROM b UNION ALL SELECT 'band', 'hi', round(hi, 6) FROM b"""))
 def _(t):
     idf, _ = E.entity_idf(jd_entities(t), target_texts(t))
     dev = t.scores_long().where("split = 'dev'")
@@ -66,4 +76,4 @@ def _(t):
     bundle = O.artifact_bundle(idf, J.calibration_quantiles(dev, ["scorer"]), J.pool_sd_median(sd), band)
     path = shared_dir(t.spark, "bundle")
     writers.write_bundle(bundle, path)
-    return t.spark.read.text(path)
+    return t.spark.read.schema(bundle.schema).json(path).select("part", "name", r6("value"))

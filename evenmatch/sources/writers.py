@@ -1,21 +1,17 @@
-"""Sinks: partitioned parquet for long tables, CSV for small reports, JSON text for bundles."""
+"""Sinks: partitioned parquet for score tables, CSV for small reports, JSON lines for bundles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").partitionBy("scorer", "split").parquet(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:
-    bundle.select(F.to_json(F.struct(*bundle.columns)).alias("value")).write.mode("overwrite").text(path)
+    bundle.write.mode("overwrite").json(path)
