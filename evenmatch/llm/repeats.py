@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import Scratch
-from .contamination import bounded
+from .contamination import BROADCAST_ROWS
 from .words import _powers, mix, text_bytes
 
 WINDOW = 200
@@ -291,7 +291,9 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = repeated.groupBy("k").agg(F.collect_list(F.struct("first", "size")).alias("runs")).mapInArrow(_merged, "k long, spans array<struct<lo:int,hi:int>>")
     spans = work.write(spans, "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = rows.join(bounded(spans), "k", "left").select("doc_id", "text", "spans")
+    ranges = spans.agg(F.count("*") + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if ranges <= BROADCAST_ROWS else spans  # else texts and ranges are joined by shuffle
+    cut = rows.join(spans, "k", "left").select("doc_id", "text", "spans")
     return cut.mapInArrow(_cut, f"doc_id {kind}, spans array<struct<lo:int,hi:int>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

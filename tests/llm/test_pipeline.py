@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,16 +49,21 @@ def test_dedup_stage_keeps_the_first_of_each_group(stages):
 
 
 def test_decontamination_stage_drops_the_overlaps_only(spark, stages):
-    items = [spark_words(r.text.lower()) for r in table(spark, PATH, "benchmark").collect()]
+    code: dict = defaultdict(lambda: len(code))
+    items = [np.array([code[w] for w in spark_words(r.text.lower())]) for r in table(spark, PATH, "benchmark").collect()]
 
     def dirty(text: str) -> bool:
-        words = spark_words(text.lower())
+        words = np.array([code[w] for w in spark_words(text.lower())], int)
         for item in items:
             width = min(13, len(item))
-            for at in range(-len(item) + width, len(words) - width + 1):
-                same = [0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(item)]
-                if any(sum(same[k : k + width]) >= 0.75 * width for k in range(len(item) - width + 1)):
-                    return True
+            edge = np.full(len(item) - width, -1)
+            places = np.concatenate([edge, words, edge])
+            if len(places) < len(item):
+                continue
+            same = np.lib.stride_tricks.sliding_window_view(places, len(item)) == item
+            total = np.cumsum(np.concatenate([np.zeros((len(same), 1), int), same], 1), 1)
+            if ((total[:, width:] - total[:, :-width]).max() >= 0.75 * width) if len(same) else False:
+                return True
         return False
 
     kept = {r.doc_id for r in stages[3][1]}
