@@ -154,18 +154,18 @@ def _mix_chain(a: str, b: str) -> str:
     return mix_sql(a, b)
 
 
-@query("embed_texts", V("forms", f"""
-, s AS (SELECT DISTINCT form AS text FROM forms UNION SELECT DISTINCT ent FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{9,}}')) AS ent FROM documents)),
+@query("embed_texts", V("forms dspans", f"""
+, s AS (SELECT DISTINCT form AS text FROM forms UNION SELECT DISTINCT text FROM dspans),
  g AS (SELECT text, unnest(list_transform(range(1, greatest(length(text), 1) + 1), lambda i: substr(' ' || lower(text) || ' ', i, 3))) AS g FROM s),
  m AS (SELECT text, {_mix_chain('unicode(substr(g, 1, 1))::bigint * 65536 + unicode(substr(g, 2, 1))::bigint', 'unicode(substr(g, 3, 1))::bigint')} AS m FROM g),
  v AS (SELECT text, m % 64 AS dim, sum(CASE WHEN (m // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)::double AS v FROM m GROUP BY 1, 2),
  n AS (SELECT text, greatest(sqrt(sum(v * v)), 1e-12) AS norm FROM v GROUP BY 1)
 SELECT text, round(sum(v / norm * (dim + 1)), 6) AS checksum, round(sum(v * v / norm / norm), 6) AS sq FROM v JOIN n USING (text) GROUP BY 1"""))
 def _(t):
-    from .text_queries import forms
+    # the dictionary's forms and all entities that it finds in the texts
+    from .text_queries import dictionary_spans, forms
 
-    words = t.read("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("text")).distinct()
-    v = embed_texts(forms(t).select(F.col("form").alias("text")).unionByName(words))
+    v = embed_texts(forms(t).select(F.col("form").alias("text")).unionByName(dictionary_spans(t).select("text").distinct()))
     return v.select(
         "text", F.round(F.expr("aggregate(transform(vec, (x, i) -> x * (i + 1)), 0D, (a, x) -> a + x)"), 6).alias("checksum"),
         F.round(F.expr("aggregate(vec, 0D, (a, x) -> a + x * x)"), 6).alias("sq"))

@@ -107,7 +107,7 @@ sql_view("dspans", ("wm", "spats"), """SELECT g.doc_id, g.start, g."end", g.text
 
 
 @query("dictionary_spans", V("dspans", "SELECT * FROM dspans"))
-def _(t):
+def dictionary_spans(t):
     return S.dictionary_spans(t.read("documents"), patterns(t)).drop("source", "priority")
 
 
