@@ -12,26 +12,28 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Alternating stars: each round hangs the larger neighbours of a node below its smallest one
     (large star), then the smaller neighbours of a node below the smallest of them (small star),
-    until nothing changes. A node with very many neighbours is only ever a grouping key with a
+    until all trees are stars. A node with very many neighbours is only ever a grouping key with a
     map-side minimum and the key of a skewed join. Every round is a written table.
     """
     edges = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("m")).where("x > m").distinct()
-    step, before = 0, None
+    step = 0
     edges = scratch.write(edges, f"{name}-{step}")
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "m").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
+    while not _stars(edges):
         both = edges.select("x", F.col("m").alias("y")).unionByName(edges.select(F.col("m").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), "m").distinct()
         large = scratch.write(large, f"{name}-{step}-large")
-        low = large.groupBy("x").agg(F.min("m").alias("low"))
-        down = large.join(low, "x")
+        down = large.join(large.groupBy("x").agg(F.min("m").alias("low")), "x")
         small = down.select("x", F.col("low").alias("m")).unionByName(down.select(F.col("m").alias("x"), F.col("low").alias("m"))).where("x > m").distinct()
         step += 1
         edges = scratch.write(small, f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}", f"{name}-{step - 1}-large")
     children = edges.select(F.col("x").alias("id"), F.col("m").alias("component_id"))
     return children.unionByName(children.select(F.col("component_id").alias("id"), "component_id").distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child."""
+    children = edges.groupBy("x").agg(F.count("*").alias("n"))
+    parents = edges.select(F.col("m").alias("x"), F.lit(True).alias("parent")).distinct()
+    return children.join(parents, "x", "left").where("n > 1 or parent").limit(1).count() == 0

@@ -222,9 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = work.write(confirmed(best, texts), "links-1")
     found = components(links, work, "parts-1")
 
-    apart = _apart(likely.select("a", "b"), found)
-    links = work.write(links.unionByName(confirmed(apart, texts)), "links-2")
-    found = components(links, work, "parts-2")
+    more = work.write(confirmed(_apart(likely.select("a", "b"), found), texts), "links-2")
 
     # whoever is not in the largest component of its bucket is compared with the rest of the bucket
     placed = members.where("not pivot").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
@@ -239,8 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     codes = work.write(texts.join(placed.select("id").distinct(), "id", "left_semi").mapInArrow(_codes, "id long, codes binary"), "codes")
     rest = few.unionByName(all_rows).join(codes, "id").repartition("key", "mb", "ab").sortWithinPartitions("key", "mb", "ab", "role")
     rest = work.write(rest.select("key", "mb", "ab", "role", "id", "c", "codes").mapInArrow(_compare, "a long, b long").distinct(), "rest")
-    links = work.write(links.unionByName(confirmed(rest, texts)), "links-3")
-    found = components(links, work, "parts-3")
+    links = work.write(links.unionByName(more).unionByName(confirmed(rest, texts)), "links-3")
+    found = components(links, work, "parts-2")
 
     whole = classes.join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
     out = made.drop("planes", "bands").join(whole, ["n_shingles", "f1", "f2"], "left")
