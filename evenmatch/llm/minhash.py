@@ -136,7 +136,7 @@ def _codes(batches):
 
 
 def _compare(batches):
-    """Of each group of rows sorted by ``key, mb, ab, role``: links of rows of role 0 with rows of role 1 in other components."""
+    """For each tile of rows sorted by ``key, mb, ab, role``: links of rows of role 0 with rows of role 1 in other components."""
     group, held = None, []
     for batch in batches:
         table = batch.to_pydict()
@@ -152,7 +152,7 @@ def _compare(batches):
 
 
 def _links(rows: list) -> list[tuple[int, int]]:
-    """The closest link, if any, of each row of role 0 to each other component among the rows of role 1."""
+    """Links of rows of role 0 with rows of role 1 that join all components which such links can join in the tile."""
     few = [r for r in rows if r[0] == 0]
     many = [r for r in rows if r[0] == 1 and len(r[3])]
     if not few or not many:
@@ -162,7 +162,13 @@ def _links(rows: list) -> list[tuple[int, int]]:
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
     ids, parts = np.array([r[1] for r in many]), np.array([r[2] for r in many])
-    out, mark = [], np.zeros(len(names), np.int32)
+    out, mark, root = [], np.zeros(len(names), np.int32), {}
+
+    def find(part: int) -> int:
+        while root.get(part, part) != part:
+            part = root[part]
+        return part
+
     for _, own, part, packed in few:
         mine = np.frombuffer(packed, np.uint32)
         at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
@@ -171,11 +177,11 @@ def _links(rows: list) -> list[tuple[int, int]]:
         both = np.add.reduceat(mark[codes], start)
         mark[at] = 0
         union = size + len(mine) - both
-        good = np.flatnonzero((100 * both >= SHARE * union) & (parts != part) & (ids != own))
-        best: dict[int, int] = {}
-        for i in good[np.argsort(both[good] / union[good])]:
-            best[int(parts[i])] = int(ids[i])
-        out += [(max(own, y), min(own, y)) for y in best.values()]
+        for i in np.flatnonzero((100 * both >= SHARE * union) & (parts != part) & (ids != own)):
+            here, there = find(part), find(int(parts[i]))
+            if here != there:  # a link inside what the tile has joined already adds nothing
+                root[max(here, there)] = min(here, there)
+                out.append((max(own, int(ids[i])), min(own, int(ids[i]))))
     return out
 
 
