@@ -7,8 +7,12 @@ the hits of a diagonal the words themselves are compared in place, and a documen
 where, in some window of ``WINDOW`` words (or the item, if shorter), at least ``SHARE`` of the words
 agree.
 
-Items with fewer words than the masks span are too short to be judged and flag nothing. Null and
-empty texts are clean. Repeated rows get equal verdicts; rows are told apart by id and text.
+Every window that counts as contaminated gets a hit: the masks are chosen by the window's size, and
+for each size they meet all ways to place the substitutions that ``SHARE`` allows (``least_agreeing``;
+the tests try all of them). Masks begin and end with a kept word, so this also holds where a document
+begins or ends inside the window. Items of up to three words flag only where all their words agree.
+
+Null and empty texts are clean. Repeated rows get equal verdicts; rows are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import Scratch
 
-#: Kept (1) and ignored (0) word positions of the two seeds; both are put together from pair hashes below.
-MASKS = ("11011011", "11001111")
-SPAN = 8
 WINDOW = 13
 SHARE = 0.75
+#: Kept (1) and ignored (0) word positions of the seeds, by the size of the window: that of the item, ``WINDOW`` at most.
+MASKS = {
+    13: ("111011", "110111", "1100001011"), 12: ("111011", "110111", "11001011", "110100011"), 11: ("1101011", "1110011"), 10: ("111011", "11111", "11010011"),
+    9: ("11101", "100111"), 8: ("11011", "1111", "1100011"), 7: ("11011",), 6: ("11101", "10111"), 5: ("1101", "111"), 4: ("111", "1011", "1101"), 3: ("111",), 2: ("11",), 1: ("1",),
+}
 BROADCAST_ROWS = 1_000_000  # a table of fixed-width rows is broadcast up to this many (about 40 MB)
 
 
@@ -30,20 +36,36 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _shifted(left: Column, right: Column, by: int, salt: int) -> Column:
-    """Hash of ``left[i], right[i + by]`` for every i that has both."""
-    n = F.greatest(F.size(right) - F.lit(by), F.lit(0))
-    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b, F.lit(salt)))
+def least_agreeing(width: int) -> int:
+    """Words that agree at least in a contaminated window of ``width`` words."""
+    return next(n for n in range(width + 1) if n / width >= SHARE)
+
+
+def width_of(words: Column) -> Column:
+    """Words of the window in which an item is judged."""
+    return F.least(F.lit(WINDOW), F.size(words))
+
+
+def _seed_array(h: Column, mask: str) -> Column:
+    """The seed at every position of ``h``; null where the mask does not fit."""
+    kept = [i for i, c in enumerate(mask) if c == "1"]
+    n, short = F.size(h), F.least(F.size(h), F.lit(kept[-1]))
+    made = F.transform(F.slice(h, F.lit(1), n - short), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in kept], F.lit(mask)))
+    return F.concat(made, F.array_repeat(F.lit(None).cast("long"), short))
 
 
-def seeds(table: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, seed, at``: both seeds at every position of the column ``words``."""
-    hashed = table.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    pairs = hashed.select(*keys, _shifted(F.col("h"), F.col("h"), 1, 0).alias("p"))
-    middle = pairs.select(*keys, "p", _shifted(F.col("p"), F.col("p"), 3, 1).alias("q"), _shifted(F.col("p"), F.col("p"), 4, 2).alias("r"))
-    both = middle.select(*keys, F.concat(_shifted(F.col("q"), F.col("p"), 6, 3), _shifted(F.col("r"), F.col("p"), 6, 4)).alias("s"))
+def seeds(table: DataFrame, keys: list[str], widths: list[int], own: bool = False) -> DataFrame:
+    """``keys, seed, at``: seeds of the masks of ``widths`` at every position of the column ``words``;
+    ``own``: only those for the window of the row itself."""
+    masks = list(dict.fromkeys(m for w in widths for m in MASKS[w]))
+    hashed = table.select(*keys, width_of(F.col("words")).alias("width"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    blank = F.array_repeat(F.lit(None).cast("long"), F.size("h"))
+    arrays = [_seed_array(F.col("h"), m) for m in masks]
+    if own:
+        arrays = [F.when(F.col("width").isin([w for w in widths if m in MASKS[w]]), x).otherwise(blank) for m, x in zip(masks, arrays)]
+    both = hashed.select(*keys, F.size("h").alias("n"), F.concat(*arrays).alias("s"))
     # the outer form: for the inner one the optimizer would filter on the size of the whole chain, unfolded, before it
-    rows = both.select(*keys, F.greatest(F.size("s") / 2, F.lit(1)).cast("int").alias("n"), F.posexplode_outer("s").alias("at", "seed"))
+    rows = both.select(*keys, F.greatest("n", F.lit(1)).alias("n"), F.posexplode_outer("s").alias("at", "seed"))
     return rows.where("seed is not null").select(*keys, (F.col("at") % F.col("n")).cast("int").alias("at"), "seed")
 
 
@@ -67,14 +89,15 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     work = Scratch(docs.sparkSession, "seeds")
     keyed = docs.select(*row_keys(id_col, text_col), words(F.col(text_col)).alias("words"))
     listed = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).distinct()
-    index = work.write(seeds(listed, ["item_id"]).withColumnRenamed("at", "item_at"), "index")
-    hits = seeds(keyed, ["k1", "k2"]).join(bounded(index), "seed")
+    widths = sorted(r.width for r in listed.select(width_of(F.col("words")).alias("width")).where("width > 0").distinct().collect()) or [WINDOW]
+    index = work.write(seeds(listed, ["item_id"], widths, own=True).withColumnRenamed("at", "item_at"), "index")
+    hits = seeds(keyed, ["k1", "k2"], widths).join(bounded(index), "seed")
     lines = work.write(hits.select("k1", "k2", "item_id", (F.col("at") - F.col("item_at")).alias("d")).distinct(), "lines")
     rows = bounded(lines.select("k1", "k2").distinct())
     hit_texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text")).join(rows, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     hit_words = work.write(hit_texts.select("k1", "k2", words(F.col("text")).alias("words")), "words")
     side = hit_words.join(lines, ["k1", "k2"]).join(bounded(listed.withColumnRenamed("words", "item_words")), "item_id")
-    compared = side.select("k1", "k2", "item_id", "d", F.least(F.lit(WINDOW), F.size("item_words")).alias("width"), _agreement().alias("same"))
+    compared = side.select("k1", "k2", "item_id", "d", width_of(F.col("item_words")).alias("width"), _agreement().alias("same"))
     in_window = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("width") + 1, F.lit(1))),
         lambda i: F.aggregate(F.slice(F.col("same"), i, F.col("width")), F.lit(0), lambda a, x: a + x),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -254,6 +255,39 @@ def test_contamination_tolerates_substitutions(spark):
     assert not any(got[50 + i].contaminated for i in range(3)) and got[53].contaminated and got[54].bench_share == 1.0
 
 
+def test_contamination_masks_meet_every_substitution():
+    assert sorted(contamination.MASKS) == list(range(1, contamination.WINDOW + 1))
+    for width, masks in contamination.MASKS.items():
+        kept = [[i for i, c in enumerate(m) if c == "1"] for m in masks]
+        assert all(m[0] == m[-1] == "1" and len(m) <= width for m in masks)
+        for changed in itertools.combinations(range(width), width - contamination.least_agreeing(width)):
+            assert any(not {at + k for k in ks} & set(changed) for ks in kept for at in range(width - ks[-1])), (width, changed)
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(23)
+    # short items, every 4th word of a long one, and random substitutions
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 10, 11, 12, 12, 12, 13, 13, 13, 14, 15, 15, 15, 22, 40]
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate(lengths)]
+    texts = []
+    for _, text in items:
+        for share in (0, 0.1, 0.2, 0.2, 0.25, 0.25, 0.3, 0.3):
+            words = [w if rng.random() >= share else "new" for w in text.split()]
+            texts.append(" ".join([*sentence(rng, rng.randint(0, 9)), *words, *sentence(rng, rng.randint(0, 9))]))
+        for first in range(4):
+            texts.append(" ".join("new" if i % 4 == first else w for i, w in enumerate(text.split())))
+        texts.append(" ".join(text.split()[: rng.randint(1, 12)]))
+
+    def share(words: list[str], item: list[str]) -> float:
+        width = min(13, len(item))
+        return max(sum(0 <= i + d < len(words) and words[i + d] == item[i] for i in range(at, at + width)) / width for d in range(-len(item), len(words)) for at in range(len(item) - width + 1))
+
+    want = {i: [k for k, item in items if share(t.split(), item.split()) >= 0.75] for i, t in enumerate(texts)}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.bench_items for r in contamination.contamination_report(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) > 150
+
+
 def test_pii_pseudonyms(spark):
     texts = [
         "mail a.b@mail7.example.com or +1 (517) 555-0497.", "card 4111 1111 1111 1111, not 4111111111111112, again 4111111111111111", "10.0.0.1 999.1.1.1 1.2.3.4.5 and 1985-02-28, 1985-02-30",
