@@ -4,7 +4,9 @@ Card numbers that pass the check digit, phone numbers, social security numbers,
 addresses and dates are validated and then permuted within their own format by a keyed Feistel
 network, so equal values get equal pseudonyms in all documents and the key holder can undo them.
 Mail addresses and secrets get keyed hash names of the same shape. Everything else stays byte for
-byte: a text is cut at the matches of one pattern, and only valid matches are replaced.
+byte: a text is cut at the matches of one pattern, and only valid matches are replaced. A run of digit
+groups that is no card as a whole is read group by group: from the left, the longest valid card, phone
+number, social security number or date that starts and ends with a group.
 
 A network over ``m`` digits works on two halves of ``m // 2`` and the rest; dates permute the day
 number within a fixed range of years by walking the cycle until it lies in the range again, and
@@ -22,11 +24,11 @@ ROUNDS = 8
 PATTERNS = {
     "secret": r"(?i:token|secret|api[_-]?key|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-.]{16,}[\"']",
     "email": r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "date": r"(?<![/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-]|\.\d)",
+    "date": r"(?<![/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?=T\d{2})|(?![\w/\-]|\.\d))",
     "ssn": r"(?<![.\-])\d{3}-\d{2}-\d{4}(?![\w\-]|\.\d)",
     "address": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
-    "card": r"(?<![.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?![\w\-]|\.\d)|\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]|\.\d)",
+    "card": r"(?<![.\-])\d[\d \-]{11,}\d(?![\w@\-]|\.\d|/\d{2}/\d{4}|[.%+][\w.%+\-]{0,80}@)",  # any run of groups
+    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?![\w\-]|\.\d)|\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]|\.\d)|[2-9]\d{2} [2-9]\d{2}[ \-]\d{4}(?![\w\-]|\.\d)|\+[1-9]\d{7,14}(?![\w\-]|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
 }
 ANY = "(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -88,7 +90,8 @@ def _card(m: Column, key: str) -> Column:
     digits = only_digits(m)
     body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key)
     check = ((F.lit(10) - _luhn(body, False)) % 10).cast("string")
-    return F.when(_luhn(digits, True) == 0, _put_digits(m, F.concat(body, check)))
+    shape = m.rlike(r"^\d(?:[ \-]?\d){12,18}$")
+    return F.when(shape, F.when(_luhn(digits, True) == 0, _put_digits(m, F.concat(body, check))))
 
 
 def _tail(m: Column, kind: str, keep: Column, key: str) -> Column:
@@ -99,7 +102,8 @@ def _tail(m: Column, kind: str, keep: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     n = F.length(only_digits(m))
-    country = F.length(F.regexp_extract(m, r"^\+(\d{1,3})", 1))
+    # where no separator ends the country code, one digit or two stay
+    country = F.length(F.regexp_extract(m, r"^\+([17](?=\d{7,14}$)|\d{2}(?=\d{6,13}$)|\d{1,3})", 1))
     return F.when(n.between(8, 15), _tail(m, "phone", country, key))
 
 
@@ -167,20 +171,56 @@ _MAKERS = {"secret": _secret, "email": _email, "date": _date, "ssn": _ssn, "addr
 
 
 def pseudonym(match: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match of ``ANY``; null where the match is not valid."""
+    """The pseudonym of one match of ``ANY`` as a whole; null where the match is not valid."""
+    return _first_valid(match, list(PATTERNS), key)
+
+
+def _first_valid(match: Column, kinds: list[str], key: str) -> Column:
     out = F.lit(None).cast("string")
-    for kind in reversed(PATTERNS):
+    for kind in reversed(kinds):
         out = F.when(match.rlike(f"^(?:{PATTERNS[kind]})$"), _MAKERS[kind](match, key)).otherwise(out)
     return out
 
 
+def _groups(match: Column, key: str) -> Column:
+    """``text, n`` of a run of digit groups, its valid parts replaced."""
+
+    def walk(s: Column) -> Column:
+        count = F.size(s["digits"])
+
+        def reading(i: Column, j: Column) -> Column:
+            text = F.concat(F.get(s["digits"], i), F.array_join(F.slice(s["parts"], i + 2, j - i), ""))
+            alone = (F.get(s["gaps"], i) != "-") & (F.get(s["gaps"], j + 1) != "-")
+            new = F.coalesce(_card(text, key), F.when(alone, _first_valid(text, ["date", "ssn", "phone"], key)))
+            return F.when(F.length(only_digits(text)).between(8, 19), new)
+
+        def step(x: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(i + 18, count - 1), i, F.lit(-1))
+            found = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), reading(i, j).alias("new"))), lambda r: r["new"].isNotNull())
+            kept = F.struct(F.array_append(x["out"], F.get(s["parts"], i)).alias("out"), x["n"].alias("n"), (i + 1).alias("next"))
+            put = lambda r: F.struct(F.array_append(x["out"], F.concat(F.get(s["gaps"], i), r["new"])).alias("out"), (x["n"] + 1).alias("n"), (r["j"] + 1).alias("next"))
+            return F.when(i < x["next"], x).otherwise(F.coalesce(F.get(F.transform(F.slice(found, 1, 1), put), F.lit(0)), kept))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda x: F.struct(F.array_join(x["out"], "").alias("text"), x["n"].alias("n")))
+
+    digits, gaps = F.regexp_extract_all(match, F.lit(r"\d+"), F.lit(0)), F.split(match, r"\d+", -1)
+    parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(digits)), digits, lambda g, d: F.concat(g, d))
+    return F.get(F.transform(F.array(F.struct(digits.alias("digits"), gaps.alias("gaps"), parts.alias("parts"))), walk), F.lit(0))
+
+
+def replaced(match: Column, key: str = KEY) -> Column:
+    """``text, n``: a match of ``ANY`` with its pseudonyms, and their number."""
+    whole = lambda s: F.when(s["new"].isNotNull(), F.struct(s["new"].alias("text"), F.lit(1).alias("n"))).when(match.rlike(f"^(?:{PATTERNS['card']})$"), _groups(match, key)).otherwise(F.struct(match.alias("text"), F.lit(0).alias("n")))
+    return F.get(F.transform(F.array(F.struct(pseudonym(match, key).alias("new"))), whole), F.lit(0))
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with rewritten ``text_col`` and one more column, ``n_pii``: the matches replaced."""
+    """``docs`` with rewritten ``text_col`` and one more column, ``n_pii``: the values replaced."""
     text = F.col(text_col)
     found = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.zip_with("_new", "_found", lambda n, m: F.coalesce(n, m)), lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-    n = F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0)).cast("long")
-    n = F.when(F.col("_new").isNull(), F.lit(0)).otherwise(n).cast("long")
+    found = found.withColumn("_new", F.transform("_found", lambda m: replaced(m, key)))
+    pieces = F.zip_with(F.split(text, ANY, -1), "_new", lambda p, m: F.concat(p, F.coalesce(m["text"], F.lit(""))))
+    n = F.coalesce(F.aggregate("_new", F.lit(0), lambda a, m: a + m["n"]), F.lit(0)).cast("long")
     new_text = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text)
     return found.select(*[(new_text.alias(c) if c == text_col else F.col(c)) for c in docs.columns], n.alias("n_pii"))

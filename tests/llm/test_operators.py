@@ -306,6 +306,23 @@ def test_pii_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban[:2] == "GB"
 
 
+def test_pii_values_beside_other_digits(spark):
+    card, phone = "4111 1111 1111 1111", "517-555-0497"
+    hidden = [  # text, values that must go, what must stay
+        (f"{card} 123", [card], " 123"), ("4111111111111111 12/25", ["4111111111111111"], " 12/25"), (f"{phone} 100 times", [phone], " 100 times"), ("415-555-0123 2024", ["415-555-0123"], " 2024"),
+        ("call +15175550497.", ["5175550497"], "call +1"), ("call 517 555 0497 now", ["517 555 0497"], " now"), ("2024-01-05T10:00:00Z", ["2024-01-05"], "T10:00:00Z"),
+        (f"no 2024 {card} 12", [card], "no 2024 "), (f"77 {card} {phone} 5", [card, phone], " 5"), ("4111-1111-1111-1111-123", ["4111-1111-1111-1111"], "-123"),
+        (f"{card} 01/02/2024", [card, "01/02/2024"], " "), (f"{'12 ' * 4000}{card}", [card], "12 12 12 "),
+    ]
+    clear = ["1 2 3 4 5 6 7 8 9 10 11 12", "2024 - 2025  1234 5678", "1234567890123456789012345", "100 200 3000"]
+    rows = list(enumerate([h[0] for h in hidden] + clear))
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, values, stays) in enumerate(hidden):
+        assert got[i].n_pii == len(values) and not any(v in got[i].text for v in values) and stays in got[i].text, (text[:60], got[i].text[:60])
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", text)
+    assert [got[len(hidden) + i].text for i in range(len(clear))] == clear
+
+
 def test_feistel_is_a_permutation(spark):
     out = spark.range(1000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "t", "k").alias("d"))
     assert {r.d for r in out.collect()} == {f"{i:03d}" for i in range(1000)}
