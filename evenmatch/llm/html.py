@@ -145,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 pop(len(names) - 1 - names[::-1].index(name))
         if name in VOID or (token[3] or "").endswith("/"):
             continue
-        is_main = name in MAIN or attrs.get("role") in ("main", "article") or bool(MAIN_WORDS.search(hint)) and name in ("div", "section")
+        is_main = name in MAIN or attrs.get("role") in ("main", "article") or name in ("div", "section") and bool(MAIN_WORDS.search(hint)) and not ASIDE_WORDS.search(hint)
         is_around = name in AROUND and not (name == "header" and main) or attrs.get("role") in ASIDE_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
         is_around = is_around or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))) or name not in ("body", "html", "article", "main") and not is_main and bool(ASIDE_WORDS.search(hint))
         entry = (name, int(is_around), int(is_main), int(name in RAW))
@@ -162,7 +162,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 def main_text(page: str | None, tree) -> str:
     """Accepted blocks of a page, joined by one space."""
     found = blocks(page or "")
-    marked = any(b[4] for b in found)
+    marked = any(main and not around for *_, around, main in found)  # what a footer or a comment holds marks no article
     size = [(0, 0.0), *((words, min(1.0, linked / words)) for _, words, linked, _, _ in found), (0, 0.0)]
     taken = []
     for i, (text, _, _, around, main) in enumerate(found):

@@ -173,6 +173,19 @@ def test_html_text(spark):
         assert (got[i].text, got[i].n_chars) == (text, len(text))
 
 
+def test_html_words_of_main_inside_other_parts():
+    tree, article = html.train(), " ".join(f"word{i}" for i in range(50))
+    plain = f"<div><p>{article}</p><p>{article}</p></div>"
+    want = f"{article} {article}"
+    for rest in (
+        '<footer><div class="content">Imprint and contact of the publisher</div></footer>', '<aside><div class="text">Read more of our papers today</div></aside>',
+        '<div class="comments"><div class="comment-text">I do not agree with any of this</div></div>', '<div class="comment-body">I do not agree with any of this</div>',
+        '<div class="sidebar-content">Read more of our papers today</div>', '<div class="ad-text">Buy two and pay for one only</div>',
+    ):
+        for page in (plain + rest, rest + plain, f"<article>{plain}</article>{rest}", f'<div class="post-content">{plain}</div>{rest}'):
+            assert html.main_text(f"<html><body>{page}</body></html>", tree) == want, page
+
+
 def test_html_tree_learns_its_table():
     tree = html.train()
     assert all(html.accept(tree, row[:-1]) == bool(row[-1]) for row in html.LABELLED)
