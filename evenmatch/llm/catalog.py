@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .centroids import cluster_report, cluster_sql
+from .codebooks import code_report, code_sql
 from .contamination import contamination_report
 from .embeddings import embedding_links
 from .html import extract
@@ -12,6 +14,7 @@ from .pii import pseudonymised
 from .quality import quality
 from .registry import query, table
 from .repeats import repeats_removed
+from .rules import rule_report, rule_sql
 from .token_count import token_counts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -66,3 +69,18 @@ def op6(spark, folder, vocabulary: str = VOCABULARY):
 @query("op5_repeated_bytes")
 def op5(spark, folder):
     return repeats_removed(table(spark, folder, "documents")).drop("spans", "kept")
+
+
+@query("op11_vector_codes", code_sql())
+def op11(spark, folder):
+    return code_report(table(spark, folder, "embeddings"))
+
+
+@query("op12_centroids", cluster_sql())
+def op12(spark, folder):
+    return cluster_report(table(spark, folder, "embeddings"))
+
+
+@query("op13_quality_rules", rule_sql())
+def op13(spark, folder):
+    return rule_report(table(spark, folder, "documents"))
