@@ -67,6 +67,12 @@ def _at(values: str, terms: str, t: Column) -> Column:
     return F.get(values, F.array_position(terms, t).cast("int") - 1)
 
 
+def query_terms(queries: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """(key, token, weight): one row per known term of each query, weighted tf x idf."""
+    rows = queries.select(key, F.explode_outer(F.arrays_zip("terms", "tfs")).alias("z")).where("z IS NOT NULL")
+    return rows.select(key, F.col("z.terms").alias("token"), F.col("z.tfs").alias("tf")).join(idf.select("token", "idf"), "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
 def bm25_score(
     pairs: DataFrame, queries: DataFrame, docs: DataFrame, idf: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75,
     query_key: str = "jd_id", doc_key: str = "bio_id",

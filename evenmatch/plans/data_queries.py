@@ -11,7 +11,7 @@ from ..operators.titles import TitleRule, TitleRules
 from ..sources import readers, rules, writers
 from ..sources.storage import shared_dir
 from .catalog import query
-from .views import sql_view, with_views as V
+from .views import N_CANDIDATES, N_RELEVANT, POOL_SEED, sql_view, with_views as V
 
 NW = r"len(regexp_extract_all({}, '[^\s\p{{Z}}\x0B\x1C-\x1F\x85]+'))"
 SQUASH = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -399,16 +399,6 @@ def _(t):
 
 
 # --------------------------------------------------------------------------------------- pools
-# Class codes of the numbered classes: five classes share a major group, two a minor group.
-def class_codes(t):
-    return t.v1().select("occ_no").distinct().selectExpr(
-        "occ_no AS class", "concat(cast(11 + cast(floor(occ_no/5) AS int) AS string), '-', cast(cast(floor(occ_no/2) AS int) % 9 + 1 AS string), '011') AS code"
-    )
-
-
-sql_view("codes", ("v1",), "SELECT DISTINCT occ_no AS class, (11 + occ_no//5)::varchar || '-' || ((occ_no//2) % 9 + 1)::varchar || '011' AS code FROM v1")
-
-
 @query("relevance_binary", V("pairs", "SELECT jd_id, bio_id, rel_binary FROM pairs"))
 def _(t):
     return t.pairs().select("jd_id", "bio_id", pools.relevance_binary(F.col("jd_occ"), F.col("bio_occ")).alias("rel_binary"))
@@ -417,7 +407,7 @@ def _(t):
 @query("relevance_graded", V("pairs codes", """SELECT jd_id, bio_id, CASE WHEN jd_occ = bio_occ THEN 2 WHEN a.code[1:4] = b.code[1:4] THEN 1 ELSE 0 END AS rel_minor,
  rel_graded AS rel_major FROM pairs JOIN codes a ON a.class = jd_occ JOIN codes b ON b.class = bio_occ"""))
 def _(t):
-    codes = class_codes(t)
+    codes = t.class_codes()
     d = t.pairs().select("jd_id", "bio_id", "jd_occ", "bio_occ")
     d = pools.relevance_graded(d, codes, "minor").withColumnRenamed("rel_graded", "rel_minor")
     d = pools.relevance_graded(d, codes, "major").withColumnRenamed("rel_graded", "rel_major")
@@ -426,7 +416,7 @@ def _(t):
 
 @query("related_classes", V("codes", "SELECT a.class, b.class AS related FROM codes a JOIN codes b ON a.code[1:2] = b.code[1:2] AND a.class <> b.class"))
 def _(t):
-    return pools.related_classes(class_codes(t))
+    return pools.related_classes(t.class_codes())
 
 
 def posting_queries(t):
@@ -450,48 +440,17 @@ def _(t):
     return pools.query_coverage(jds, chosen).join(ids, "occ_no", "left").na.fill("", ["ids"])
 
 
-def pool_inputs(t):
-    bios = t.v1().selectExpr("bio_id", "occ_no AS bio_occ", "gender AS bio_gender")
-    return bios, t.jds().selectExpr("jd_id", "occ_no AS jd_occ")
-
-
-_H = "('0x' || substr(sha256({}), 1, 12))::bigint"
-sql_view("ix", ("v1",), """SELECT bio_id, occ_no AS bio_occ, gender AS bio_gender, row_number() OVER (PARTITION BY occ_no, gender ORDER BY sha256('11|' || bio_id::varchar)) - 1 AS idx,
-  count(*) OVER (PARTITION BY occ_no, gender) AS n FROM v1""")
-sql_view("sz", ("ix",), "SELECT bio_occ, bio_gender, count(*) AS n FROM ix GROUP BY 1, 2")
-sql_view("relslots", ("sz", "jds"), f"""SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, ({_H.format("'11|' || jd_id::varchar || '|' || bio_gender")} + s) % n AS idx
-  FROM jds JOIN sz ON sz.bio_occ = jds.occ_no, range(2) AS r(s) WHERE s < n""")
-sql_view("uni", ("sz", "jds"), f"""SELECT jd_id, jd_occ, bio_occ, bio_gender, (st + turn) % n AS idx FROM (
-  SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, n, {_H.format("'11|' || jd_id::varchar || '|' || bio_gender || '|' || bio_occ::varchar")} AS st,
-   row_number() OVER (PARTITION BY jd_id, bio_gender ORDER BY sha256('11|' || jd_id::varchar || '|' || bio_occ::varchar), bio_occ) - 1 AS k,
-   count(*) OVER (PARTITION BY jd_id, bio_gender) AS nc FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no) q,
-  LATERAL (SELECT s // nc AS turn FROM range(8) AS r(s) WHERE s % nc = k) z WHERE turn < n""")
-sql_view("pro", ("sz", "jds"), f"""SELECT c.jd_id, c.jd_occ, c.bio_occ, c.bio_gender, p.at_ - c.lo AS idx FROM (
-  SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, n, sum(n) OVER (PARTITION BY jd_id, bio_gender ORDER BY bio_occ)::bigint - n AS lo FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no) c
-  JOIN (SELECT jd_id, bio_gender, ({_H.format("'11|' || jd_id::varchar || '|' || bio_gender")} + (s * m) // least(8, m)) % m AS at_ FROM
-   (SELECT jd_id, bio_gender, sum(n)::bigint AS m FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no GROUP BY 1, 2), range(8) AS r(s) WHERE s < m) p
-  ON p.jd_id = c.jd_id AND p.bio_gender = c.bio_gender AND p.at_ >= c.lo AND p.at_ < c.lo + c.n""")
-sql_view("pool_u", ("relslots", "uni", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
-  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
-  (SELECT * FROM relslots UNION ALL SELECT * FROM uni) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
-  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
-sql_view("pool_p", ("relslots", "pro", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
-  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
-  (SELECT * FROM relslots UNION ALL SELECT * FROM pro) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
-  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
-
-
 @query("build_pools", V("pool_u", "SELECT * FROM pool_u"))
 def _(t):
-    return pools.build_pools(*pool_inputs(t), 20, 4, 11, codes=class_codes(t))
+    return pools.build_pools(*t.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED, codes=t.class_codes())
 
 
 @query("build_pools_proportional", V("pool_p", "SELECT * FROM pool_p"))
 def _(t):
-    return pools.build_pools(*pool_inputs(t), 20, 4, 11, "proportional", codes=class_codes(t))
+    return pools.build_pools(*t.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED, "proportional", codes=t.class_codes())
 
 
-@query("pool_checks", V("pool_u", """SELECT *, n_rows = 20 AND n_bios = 20 AND n_f = 10 AND n_rel = 4 AND n_rel_f = 2 AS ok FROM (SELECT jd_id, count(*) AS n_rows,
+@query("pool_checks", V("pool_u", f"""SELECT *, n_rows = {N_CANDIDATES} AND n_bios = {N_CANDIDATES} AND n_f = {N_CANDIDATES // 2} AND n_rel = {N_RELEVANT} AND n_rel_f = {N_RELEVANT // 2} AS ok FROM (SELECT jd_id, count(*) AS n_rows,
  count(DISTINCT bio_id) AS n_bios, count_if(bio_gender = 'F') AS n_f, sum(rel_binary)::bigint AS n_rel, count_if(rel_binary = 1 AND bio_gender = 'F') AS n_rel_f FROM pool_u GROUP BY 1)"""))
 def _(t):
-    return pools.pool_checks(pools.build_pools(*pool_inputs(t), 20, 4, 11), 20, 4)
+    return pools.pool_checks(pools.build_pools(*t.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED), N_CANDIDATES, N_RELEVANT)

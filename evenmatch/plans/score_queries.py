@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_fit_score
-from ..operators import dense, entities as E, lexical as L, pairwise, ranking
+from ..operators import dense, entities as E, lexical as L, pairwise, ranking, search as S
 from ..operators.dense import embed_texts
 from ..sources.storage import written
 from .catalog import query
@@ -113,10 +113,23 @@ def _(t):
     return registry(t).score(t.pairs().select("jd_id", "bio_id")).select("scorer", "jd_id", "bio_id", r6("score"))
 
 
-@query("topk_candidates", V("bm25", """SELECT jd_id, bio_id, rank, score FROM (SELECT jd_id, bio_id, round(score, 6) AS score,
- row_number() OVER (PARTITION BY jd_id ORDER BY round(score, 6) DESC, bio_id) AS rank FROM bm25) WHERE rank <= 10"""))
+sql_view("bm25_all", ("v1", "jds", "qtf", "dtf", "dl", "bidf", "cstat"), """SELECT j.jd_id, b.bio_id, round(coalesce(s.score, 0), 6) AS score FROM jds j CROSS JOIN v1 b LEFT JOIN (
+  SELECT q.k AS jd_id, d.k AS bio_id, sum(q.tf * i.idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * dl.dl / c.avgdl))) AS score FROM qtf q JOIN dtf d ON d.token = q.token
+  JOIN bidf i ON i.token = q.token JOIN dl ON dl.bio_id = d.k, cstat c GROUP BY 1, 2) s USING (jd_id, bio_id)""")
+
+
+@query("topk_candidates", V("bm25_all", """SELECT jd_id, bio_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY score DESC, bio_id) AS rank FROM bm25_all) WHERE rank <= 10"""))
 def _(t):
-    return pairwise.topk_candidates(bm25(t).select("jd_id", "bio_id", r6("score")), 10)
+    """The ten best of all bios for every target."""
+    idf, stats = (written(d, "fit") for d in L.bm25_fit(L.term_vectors(corpus(t), "doc")))
+    docs, queries = written(L.term_vectors(t.v1(), "bio_id"), "docs"), written(L.term_vectors(t.jds(), "jd_id"), "queries")
+    terms = written(L.query_terms(queries, "jd_id", idf), "query-terms")
+    index = S.build_index(S.bm25_postings(docs, stats, "bio_id"), 2.5, written(terms.select("token").distinct(), "vocabulary"))
+
+    def exact(pairs):
+        return L.bm25_score(pairs, queries, docs.join(pairs.select("bio_id"), "bio_id", "left_semi"), idf, stats)
+
+    return S.search(index, terms, queries, docs, exact, 10)
 
 
 @query("flagship_ranking", V("bm25", """, x AS (SELECT *, round(score, 6) AS s FROM bm25),

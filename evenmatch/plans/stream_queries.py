@@ -50,13 +50,13 @@ def _(t):
 
 @query("stream_match", V("bm25", "SELECT jd_id, bio_id, round(score, 6) AS score FROM bm25"))
 def _(t):
-    # the fit is written once; a micro-batch makes its own pairs and reads no other text
+    # fit and pairs are written once; a micro-batch reads no other text
     idf, stats = (written(d, "fit") for d in L.bm25_fit(L.term_vectors(corpus(t), "doc")))
     queries = written(L.term_vectors(t.jds(), "jd_id"), "queries")
+    pairs = written(t.pairs().select("jd_id", "bio_id"), "pairs")
 
     def score(batch):
-        pairs = t.pairs(batch).select("jd_id", "bio_id")
-        return L.bm25_score(pairs, queries, L.term_vectors(batch, "bio_id"), idf, stats)
+        return L.bm25_score(pairs.join(batch.select("bio_id"), "bio_id"), queries, L.term_vectors(batch, "bio_id"), idf, stats)
 
     texts = StreamTables(t.spark, t.path).v1()
     return drained(t, lambda s, c: jobs.stream_match(texts, score, s, c), "match").select("jd_id", "bio_id", r6("score"))

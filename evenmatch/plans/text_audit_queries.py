@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import fairness as H, lexical as L, pools as P, resampling as J, rewrite as G
+from ..operators import fairness as H, lexical as L, resampling as J, rewrite as G
 from ..sources.storage import written
 from .audit_queries import r6
 from .catalog import query
-from .data_queries import class_codes, pool_inputs
 from .rewrite_queries import cf_texts, rewrites
 from .score_queries import corpus
 
 ORIENTATION = {"agentic_communal": "communal", "default": "gender"}
-N_CANDIDATES, N_RELEVANT, SEED = 20, 4, 11
 
 
 def lexical_scorers(t) -> dict[str, Callable[[DataFrame], DataFrame]]:
@@ -40,7 +38,7 @@ def lexical_scorers(t) -> dict[str, Callable[[DataFrame], DataFrame]]:
 
 def audited(t, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every pooled pair once per scorer and condition, with the score of its original and of its rewrite."""
-    pool = written(P.build_pools(*pool_inputs(t), N_CANDIDATES, N_RELEVANT, SEED, codes=class_codes(t)), "pools")
+    pool = t.pools()
     table = written(H.build_pair_table(pool, rewrites(t), list(G.CONDITIONS), ORIENTATION), "pairs")
     parts = [H.score_changed_only(table, cf_texts(t), t.jds(), fn).drop("pert_text").withColumn("scorer", F.lit(name)) for name, fn in scorers.items()]
     scores = parts[0]

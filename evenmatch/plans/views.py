@@ -7,12 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ordering import hash_position
-from ..functions.text import order_hash
 from ..sources.storage import written
 
-OFFSETS = (0, 1, 3, 7, 11)  # each bio is paired with one target in each of these class distances
 CLASSES = 20
+N_CANDIDATES, N_RELEVANT, POOL_SEED = 100, 10, 11  # of each target's pool
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 
@@ -22,6 +20,7 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._scored: DataFrame | None = None
+        self._pools: DataFrame | None = None
 
     def read(self, name: str) -> DataFrame:
         """Scan one table. Text columns cost far more CPU than I/O, so a text table that arrives in
@@ -49,29 +48,30 @@ class Tables:
             "CASE WHEN item_id % 10 < 3 THEN 'dev' ELSE 'test' END AS pool_set",
         )
 
-    def pairs(self, bios: DataFrame | None = None) -> DataFrame:
-        """Every bio (of ``bios``, else of all) meets one target of each of five classes: a bounded number of pairs per bio.
-
-        Targets are numbered inside their class, so gaps in their ids lose no pair.
-        """
-        jds = self.jds().selectExpr("jd_id", "occ_no AS jd_occ", "pool_set")
-        jds = hash_position(jds.withColumn("_h", order_hash(0, "jd_id")), ["jd_occ"], "_h", "slot").drop("_h")
-        counts = jds.groupBy("jd_occ").agg(F.count(F.lit(1)).alias("n_class"))
-        want = (self.v1() if bios is None else bios).select(
-            "bio_id", F.col("gender").alias("bio_gender"), F.col("occ_no").alias("bio_occ"),
-            F.explode(F.array(*[F.lit(o) for o in OFFSETS])).alias("off"),
-        ).selectExpr("*", f"(bio_occ - off + {CLASSES}) % {CLASSES} AS jd_occ")
-        return (
-            want.join(counts, "jd_occ")
-            .selectExpr("*", f"(floor(bio_id/{CLASSES}) + off) % n_class AS slot")
-            .join(jds, ["jd_occ", "slot"])
-            .selectExpr(
-                "jd_id", "bio_id", "bio_gender", "jd_occ", "bio_occ", "pool_set",
-                "CASE WHEN jd_occ = bio_occ THEN 1 ELSE 0 END AS rel_binary",
-                "CASE WHEN jd_occ = bio_occ THEN 2 WHEN floor(jd_occ/5) = floor(bio_occ/5) THEN 1 ELSE 0 END AS rel_graded",
-            )
+    def class_codes(self) -> DataFrame:
+        """Class codes of the numbered classes: five classes share a major group, two a minor group."""
+        return self.v1().select("occ_no").distinct().selectExpr(
+            "occ_no AS class", "concat(cast(11 + cast(floor(occ_no/5) AS int) AS string), '-', cast(cast(floor(occ_no/2) AS int) % 9 + 1 AS string), '011') AS code"
         )
 
+    def pool_inputs(self) -> tuple[DataFrame, DataFrame]:
+        bios = self.v1().selectExpr("bio_id", "occ_no AS bio_occ", "gender AS bio_gender")
+        return bios, self.jds().selectExpr("jd_id", "occ_no AS jd_occ")
+
+    def pools(self) -> DataFrame:
+        """The pool of every target, drawn from all bios; written once per query."""
+        if self._pools is None:
+            from ..operators.pools import build_pools
+
+            made = build_pools(*self.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED, codes=self.class_codes())
+            self._pools = written(made.select("jd_id", "jd_occ", "bio_id", "bio_occ", "bio_gender", "rel_binary", "rel_graded"), "pools")
+        return self._pools
+
+    def pairs(self) -> DataFrame:
+        """Every target with all bios of its pool: what the scorers are run on."""
+        sets = self.jds().select("jd_id", "pool_set")
+        return self.pools().join(sets, "jd_id").select("jd_id", "bio_id", "bio_gender", "jd_occ", "bio_occ", "pool_set", "rel_binary", "rel_graded")
+
     def postings(self) -> DataFrame:
         return self.read("pages").select(
             F.col("page_id").alias("job_id"),
@@ -173,13 +173,8 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM documents"""),
     "jds": ((), f"""SELECT item_id AS jd_id, text, item_id % {CLASSES} AS occ_no,
         CASE WHEN item_id % 10 < 3 THEN 'dev' ELSE 'test' END AS pool_set FROM benchmark"""),
-    "pairs": (("v1", "jds"), f"""SELECT j.jd_id, w.bio_id, w.bio_gender, j.occ_no AS jd_occ, w.bio_occ, j.pool_set,
-        CASE WHEN j.occ_no = w.bio_occ THEN 1 ELSE 0 END AS rel_binary,
-        CASE WHEN j.occ_no = w.bio_occ THEN 2 WHEN j.occ_no//5 = w.bio_occ//5 THEN 1 ELSE 0 END AS rel_graded
-        FROM (SELECT bio_id, gender AS bio_gender, occ_no AS bio_occ, off, (occ_no - off + {CLASSES}) % {CLASSES} AS want
-              FROM v1, (SELECT unnest([{', '.join(map(str, OFFSETS))}]) AS off)) w
-        JOIN (SELECT occ_no, count(*) AS n_class FROM jds GROUP BY 1) c ON c.occ_no = w.want
-        JOIN (SELECT *, row_number() OVER (PARTITION BY occ_no ORDER BY sha256('0|' || jd_id::varchar)) - 1 AS slot FROM jds) j ON j.occ_no = w.want AND j.slot = (w.bio_id//{CLASSES} + w.off) % c.n_class"""),
+    "pairs": (("pool_u", "jds"), """SELECT p.jd_id, p.bio_id, p.bio_gender, p.jd_occ, p.bio_occ, j.pool_set, p.rel_binary, p.rel_graded
+        FROM pool_u p JOIN jds j USING (jd_id)"""),
     "postings": ((), """SELECT page_id AS job_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
         regexp_replace(html, '<[^>]*>', ' ', 'g') AS description FROM pages"""),
     "ent": ((), """SELECT vec_id//5 AS bag, vec_id AS pos, 'k' || ((vec_id*7) % 37)::varchar AS ent_key,
@@ -230,6 +225,34 @@ def sql_view(name: str, needs: tuple[str, ...], body: str) -> None:
     _SQL[name] = (needs, body)
 
 
+# the class codes, the bios in their positions, the slots of each target, and the pools
+sql_view("codes", ("v1",), "SELECT DISTINCT occ_no AS class, (11 + occ_no//5)::varchar || '-' || ((occ_no//2) % 9 + 1)::varchar || '011' AS code FROM v1")
+_H = "('0x' || substr(sha256({}), 1, 12))::bigint"
+sql_view("ix", ("v1",), """SELECT bio_id, occ_no AS bio_occ, gender AS bio_gender, row_number() OVER (PARTITION BY occ_no, gender ORDER BY sha256('11|' || bio_id::varchar)) - 1 AS idx,
+  count(*) OVER (PARTITION BY occ_no, gender) AS n FROM v1""")
+sql_view("sz", ("ix",), "SELECT bio_occ, bio_gender, count(*) AS n FROM ix GROUP BY 1, 2")
+sql_view("relslots", ("sz", "jds"), f"""SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, ({_H.format("'11|' || jd_id::varchar || '|' || bio_gender")} + s) % n AS idx
+  FROM jds JOIN sz ON sz.bio_occ = jds.occ_no, range({N_RELEVANT // 2}) AS r(s) WHERE s < n""")
+sql_view("uni", ("sz", "jds"), f"""SELECT jd_id, jd_occ, bio_occ, bio_gender, (st + turn) % n AS idx FROM (
+  SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, n, {_H.format("'11|' || jd_id::varchar || '|' || bio_gender || '|' || bio_occ::varchar")} AS st,
+   row_number() OVER (PARTITION BY jd_id, bio_gender ORDER BY sha256('11|' || jd_id::varchar || '|' || bio_occ::varchar), bio_occ) - 1 AS k,
+   count(*) OVER (PARTITION BY jd_id, bio_gender) AS nc FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no) q,
+  LATERAL (SELECT s // nc AS turn FROM range({(N_CANDIDATES - N_RELEVANT) // 2}) AS r(s) WHERE s % nc = k) z WHERE turn < n""")
+sql_view("pro", ("sz", "jds"), f"""SELECT c.jd_id, c.jd_occ, c.bio_occ, c.bio_gender, p.at_ - c.lo AS idx FROM (
+  SELECT jd_id, occ_no AS jd_occ, bio_occ, bio_gender, n, sum(n) OVER (PARTITION BY jd_id, bio_gender ORDER BY bio_occ)::bigint - n AS lo FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no) c
+  JOIN (SELECT jd_id, bio_gender, ({_H.format("'11|' || jd_id::varchar || '|' || bio_gender")} + (s * m) // least({(N_CANDIDATES - N_RELEVANT) // 2}, m)) % m AS at_ FROM
+   (SELECT jd_id, bio_gender, sum(n)::bigint AS m FROM jds JOIN sz ON sz.bio_occ <> jds.occ_no GROUP BY 1, 2), range({(N_CANDIDATES - N_RELEVANT) // 2}) AS r(s) WHERE s < m) p
+  ON p.jd_id = c.jd_id AND p.bio_gender = c.bio_gender AND p.at_ >= c.lo AND p.at_ < c.lo + c.n""")
+sql_view("pool_u", ("relslots", "uni", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
+  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
+  (SELECT * FROM relslots UNION ALL SELECT * FROM uni) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
+  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
+sql_view("pool_p", ("relslots", "pro", "ix", "codes"), """SELECT s.jd_id, s.jd_occ, ix.bio_id, ix.bio_occ, ix.bio_gender, CASE WHEN s.jd_occ = ix.bio_occ THEN 1 ELSE 0 END AS rel_binary,
+  CASE WHEN s.jd_occ = ix.bio_occ THEN 2 WHEN a.code[1:2] = b.code[1:2] THEN 1 ELSE 0 END AS rel_graded FROM
+  (SELECT * FROM relslots UNION ALL SELECT * FROM pro) s JOIN ix ON ix.bio_occ = s.bio_occ AND ix.bio_gender = s.bio_gender AND ix.idx = s.idx
+  JOIN codes a ON a.class = s.jd_occ JOIN codes b ON b.class = ix.bio_occ""")
+
+
 def with_views(names: str, body: str) -> str:
     """Prefix ``body`` with the named views (space separated) and all they need; a leading comma adds more views."""
     order: list[str] = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenmatch.operators import rewrite as G
 from evenmatch.plans import text_audit_queries as Q
-from evenmatch.plans.views import Tables
+from evenmatch.plans.views import N_CANDIDATES, Tables
 
 PATH = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def rows(spark):
 def test_every_pair_has_every_condition_once(rows):
     n = rows.select("jd_id", "bio_id").distinct().count()
     assert rows.count() == n * 2 * len(G.CONDITIONS) == rows.select("scorer", "jd_id", "bio_id", "condition").distinct().count()
-    assert n == rows.select("jd_id").distinct().count() * Q.N_CANDIDATES
+    assert n == rows.select("jd_id").distinct().count() * N_CANDIDATES
 
 
 def test_unchanged_rewrites_keep_their_score(rows):
