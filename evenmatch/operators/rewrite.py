@@ -403,8 +403,9 @@ CONDITIONS = {
 def generate_conditions(
     bios: DataFrame, lexicon: DataFrame, pools: DataFrame, conditions: dict[str, tuple[str, ...]] = CONDITIONS, key: str = "bio_id", text: str = "text",
     gender: str = "gender", min_share: float = 0.95, subject_only: bool = True, affiliations=R.AFFILIATIONS, swaps=R.WORD_SWAPS, swap_titles: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per (bio, condition): text, changed, n_changes, changes.
+    """One row per (bio, condition): text, changed, n_changes, changes, and the columns in ``carry``.
 
     Every part's proposals are computed once per bio; conditions only merge and rebuild.
     """
@@ -432,9 +433,9 @@ def generate_conditions(
         d = d.withColumn(f"_p_{part}", col)
     merged = F.array(*[
         F.struct(F.lit(name).alias("condition"), merge_proposals([F.col(f"_p_{p}") for p in parts]).alias("props")) for name, parts in conditions.items()])
-    rows = d.select(key, gender, text, "p", F.explode(merged).alias("c")).select(key, gender, text, "p", "c.condition", "c.props")
+    rows = d.select(key, gender, *carry, text, "p", F.explode(merged).alias("c")).select(key, gender, *carry, text, "p", "c.condition", "c.props")
     out = apply_proposals(rows, "props", text)
-    return out.select(key, gender, "condition", F.col("new_text").alias("text"), "changed", "n_changes", "changes")
+    return out.select(key, gender, *carry, "condition", F.col("new_text").alias("text"), "changed", "n_changes", "changes")
 
 
 def perturbation_coverage(rewrites: DataFrame, by: list[str], gender: str = "gender") -> DataFrame:

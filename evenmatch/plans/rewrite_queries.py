@@ -11,6 +11,8 @@ from ..sources.storage import written
 from .audit_queries import r6
 from .catalog import query
 from .data_queries import names_path
+from .score_queries import lexical_scorers
+from .text_queries import STOPS
 from .views import sql_view, with_views as V
 
 # The invented texts hold no English pronouns, names or affiliations, so every bio ends in one of
@@ -172,7 +174,30 @@ def _(t):
     return G.pick_replacement(names, pools(t)).select("bio_id", "name", "replacement")
 
 
-@query("swap_names")
+# title-case words in the same places as the operator looks at them; _A guards positions before the first piece
+_A = lambda a, k: f"CASE WHEN {k} >= 1 THEN {a}[({k})::int] END"
+_CAP = lambda k: f"coalesce(regexp_full_match({_A('l', k)}, '\\p{{Lu}}\\p{{Ll}}+') AND {_A('low', k)} NOT IN {_sqlist(R.STOP_WORDS)}, false)"
+_BLANK = lambda k: f"coalesce(regexp_full_match({_A('l', k)}, '\\s+'), false)"
+_NEXT = lambda k: f"(CASE WHEN {_BLANK(k + ' + 1')} THEN {_A('low', k + ' + 2')} ELSE {_A('low', k + ' + 1')} END)"
+_PREV = lambda k: f"(CASE WHEN {_BLANK(k + ' - 1')} THEN {_A('low', k + ' - 2')} ELSE {_A('low', k + ' - 1')} END)"
+_TITLED = lambda k: f"""(coalesce({_PREV(k)} IN {_sqlist(R.NAME_TITLES)}, false) OR coalesce({_PREV(k)} = '.' AND
+  (CASE WHEN {_BLANK(k + ' - 1')} THEN {_A('low', k + ' - 3')} ELSE {_A('low', k + ' - 2')} END) IN {_sqlist(R.NAME_TITLES)}, false))"""
+_VERBS = _sqlist((*R.AUXILIARIES, "s"))
+sql_view("nm_at", ("pc", "lexn"), f"""SELECT bio_id, name, titled, joined_before AND NOT titled_before AS inner_, joined_before AND NOT joined_after AS surname, NOT joined_after AND NOT joined_before AS alone,
+  coalesce((NOT joined_after AND NOT joined_before) OR ((prv IS NULL OR prv IN ('.', '!', '?')) AND NOT joined_before) OR nxt IN ('''', '’') OR (joined_after AND (
+   after2 IN {_VERBS} OR regexp_full_match(after2, '[a-z]+s') OR after3 IN {_VERBS})), false) AS subject FROM (
+  SELECT bio_id, low[i] AS name, {_TITLED('i')} AS titled, {_TITLED('(i - 2)')} AS titled_before, {_CAP('i + 2')} AND {_BLANK('i + 1')} AS joined_after, {_CAP('i - 2')} AND {_BLANK('i - 1')} AS joined_before,
+   {_NEXT('i')} AS nxt, {_PREV('i')} AS prv, low[i + 4] AS after2, low[i + 6] AS after3
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM pc) WHERE {_CAP('i')} AND low[i] IN (SELECT name FROM lexn WHERE share >= 0.9))""")
+sql_view("subj", ("nm_at", "lexn", "cf"), """SELECT n.bio_id, n.name, cf.gender AS own FROM (SELECT bio_id, name, bool_or(surname) AS surname, bool_or(subject) AS subject,
+  bool_or(NOT titled AND NOT inner_ AND NOT alone) AS head, bool_or(NOT titled AND alone) AS alone FROM nm_at GROUP BY 1, 2) n JOIN lexn USING (name) JOIN cf ON cf.bio_id = n.bio_id
+  WHERE (head OR (alone AND NOT surname)) AND subject AND lexn.gender = cf.gender AND share >= 0.9""")
+sql_view("picks", ("subj", "npool"), """SELECT s.bio_id, s.name, p.pool, CASE WHEN p.gender = s.own THEN 'same' ELSE 'opposite' END AS target, p.name AS replacement FROM subj s JOIN npool p
+  ON p.idx = ('0x' || substr(sha256(s.bio_id::varchar || '|' || s.name), 1, 12))::bigint % p.n""")
+
+
+@query("swap_names", V("picks", """SELECT bio_id, string_agg(name, ',' ORDER BY name) AS names, string_agg(replacement, ',' ORDER BY replacement) AS replacements FROM picks
+ WHERE pool = 'us' AND target = 'opposite' GROUP BY 1"""))
 def _(t):
     d = G.pieces(cf_texts(t))
     return G.swap_names(d, lexicon(t), pools(t), "us", "opposite", 0.9).select("bio_id", F.expr("array_join(array_sort(map_keys(names)), ',')").alias("names"), F.expr("array_join(array_sort(map_values(names)), ',')").alias("replacements"))
@@ -201,27 +226,56 @@ def _(t):
     return d.select("bio_id", "c.kind", "c.original", "c.replacement", big("orig_start"), big("orig_end"), big("start_char"), big("end_char"))
 
 
-def rewrites(t):
-    return G.generate_conditions(cf_texts(t), lexicon(t), pools(t), min_share=0.9)
+ORIENTATION = {"agentic_communal": "communal", "default": "gender"}
 
 
-@query("generate_conditions")
+def rewrites(t, pool=None):
+    """All seven rewrites of every bio, or of the bios of a pool table."""
+    texts = cf_texts(t)
+    if pool is not None:
+        texts = texts.join(pool.select("bio_id").distinct(), "bio_id", "left_semi")
+    return G.generate_conditions(texts, lexicon(t), pools(t), min_share=0.9, carry=("split",))
+
+
+# the proposals of every condition; in the last one a name gives way to a pronoun at its place
+sql_view("pp_name", ("picks", "pc"), f"""SELECT bio_id, pool, target, i, i AS e, {_case('raw', 'replacement')} AS new, 'name' AS kind FROM (
+  SELECT c.bio_id, c.i, c.raw, m.pool, m.target, m.replacement FROM (SELECT bio_id, i, l[i] AS raw, low[i] AS name, {_TITLED('i')} AS titled FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM pc)
+   WHERE low[i] IN (SELECT name FROM picks) AND regexp_full_match(l[i], '\\p{{Lu}}\\p{{Ll}}+')) c JOIN picks m ON m.bio_id = c.bio_id AND m.name = c.name WHERE NOT c.titled)""")
+_COLS = "bio_id, i, e, new, kind"
+sql_view("pp_cond", ("pp_pron", "pp_name", "pp_phr", "pp_word"), f"""SELECT 'pronoun_swap' AS condition, {_COLS} FROM pp_pron UNION ALL SELECT 'affiliation_swap', {_COLS} FROM pp_phr UNION ALL SELECT 'agentic_communal', {_COLS} FROM pp_word
+  UNION ALL SELECT 'name_swap_us', {_COLS} FROM pp_name WHERE pool = 'us' AND target = 'opposite' UNION ALL SELECT 'name_swap_in', {_COLS} FROM pp_name WHERE pool = 'in' AND target = 'opposite'
+  UNION ALL SELECT 'name_in_same_gender', {_COLS} FROM pp_name WHERE pool = 'in' AND target = 'same' UNION ALL SELECT 'gender_full', {_COLS} FROM pp_pron
+  UNION ALL SELECT 'gender_full', {_COLS} FROM pp_name n WHERE pool = 'us' AND target = 'opposite' AND NOT EXISTS (SELECT 1 FROM pp_pron p WHERE p.bio_id = n.bio_id AND p.i <= n.e AND n.i <= p.e)""")
+sql_view("cond_log", ("pp_cond", "pc"), """SELECT condition, bio_id, i, kind, original, new, orig_start, orig_start + length(original) AS orig_end, (orig_start + coalesce(sum(length(new) - length(original)) OVER b, 0))::bigint AS start_char,
+  coalesce(lag(orig_start + length(original)) OVER b0, 0) AS before FROM (SELECT m.condition, m.bio_id, m.i, m.kind, m.new, array_to_string(c.l[m.i:m.e], '') AS original, length(array_to_string(c.l[1:m.i - 1], ''))::bigint AS orig_start
+   FROM pp_cond m JOIN pc c USING (bio_id)) WINDOW b AS (PARTITION BY condition, bio_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b0 AS (PARTITION BY condition, bio_id ORDER BY i)""")
+sql_view("rw", ("cf", "cond_log"), """SELECT cf.bio_id, cf.gender, cf.split, c.condition, coalesce(l.n, 0) AS n_changes, coalesce(l.changes, '') AS changes, coalesce(l.a2c, 0) AS a2c, coalesce(l.c2a, 0) AS c2a,
+  CASE WHEN l.head IS NULL THEN cf.text ELSE l.head || substr(cf.text, l.last + 1) END AS text
+  FROM cf CROSS JOIN (SELECT unnest(['pronoun_swap', 'name_swap_us', 'name_swap_in', 'name_in_same_gender', 'affiliation_swap', 'agentic_communal', 'gender_full']) AS condition) c
+  LEFT JOIN (SELECT k.condition, k.bio_id, count_if(original <> new) AS n, string_agg(kind || '|' || original || '|' || new || '|' || orig_start::varchar || '|' || start_char::varchar, ';' ORDER BY i) FILTER (original <> new) AS changes,
+   count_if(kind = 'agentic->communal' AND original <> new) AS a2c, count_if(kind = 'communal->agentic' AND original <> new) AS c2a,
+   string_agg(substr(cf.text, before + 1, orig_start - before) || new, '' ORDER BY i) AS head, max(orig_end) AS last FROM cond_log k JOIN cf USING (bio_id) GROUP BY 1, 2) l ON l.bio_id = cf.bio_id AND l.condition = c.condition""")
+
+
+@query("generate_conditions", V("rw", "SELECT bio_id, condition, n_changes > 0 AS changed, n_changes::int AS n_changes, sha256(text) AS text_hash, changes FROM rw"))
 def _(t):
-    d = rewrites(t)
-    return d.select("bio_id", "condition", "changed", "n_changes", F.sha2("text", 256).alias("text_hash"), F.to_json("changes").alias("changes"))
+    log = F.transform("changes", lambda c: F.concat_ws("|", c["kind"], c["original"], c["replacement"], c["orig_start"], c["start_char"]))
+    return rewrites(t).select("bio_id", "condition", "changed", "n_changes", F.sha2("text", 256).alias("text_hash"), F.array_join(log, ";").alias("changes"))
 
 
-@query("perturbation_coverage", V("pp_pron cf", """, n AS (SELECT bio_id, count(*) AS n FROM pp_pron GROUP BY 1), a AS (SELECT cf.split, cf.gender, coalesce(n.n, 0) AS n FROM cf LEFT JOIN n USING (bio_id))
- SELECT split, count(*) AS n_bios, round(100 * avg((n > 0)::int), 6) AS pct_changed, round(100 * avg((n > 0)::int) FILTER (gender = 'F'), 6) AS pct_changed_f, round(100 * avg((n > 0)::int) FILTER (gender = 'M'), 6) AS pct_changed_m,
- round(avg(n) FILTER (n > 0), 6) AS mean_changes FROM a GROUP BY 1"""))
+@query("perturbation_coverage", V("rw", """SELECT condition, split, count(*) AS n_bios, round(100 * avg((n_changes > 0)::int), 6) AS pct_changed, round(100 * avg((n_changes > 0)::int) FILTER (gender = 'F'), 6) AS pct_changed_f,
+ round(100 * avg((n_changes > 0)::int) FILTER (gender = 'M'), 6) AS pct_changed_m, round(avg(n_changes) FILTER (n_changes > 0), 6) AS mean_changes FROM rw GROUP BY 1, 2"""))
 def _(t):
-    d = G.perturbation_coverage(_applied(t, G.swap_pronouns()), ["split"])
-    return d.select("split", "n_bios", *[r6(c) for c in ("pct_changed", "pct_changed_f", "pct_changed_m", "mean_changes")])
+    d = G.perturbation_coverage(rewrites(t), ["condition", "split"])
+    return d.select("condition", "split", "n_bios", *[r6(c) for c in ("pct_changed", "pct_changed_f", "pct_changed_m", "mean_changes")])
 
 
-@query("qa_samples")
+@query("qa_samples", V("rw cond_log", """, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY sha256('13|' || condition || '|' || bio_id::varchar)) AS sample FROM rw WHERE n_changes > 0) WHERE sample <= 50),
+ k AS (SELECT t.condition, t.sample, t.bio_id, t.text, c.i, c.start_char, c.start_char + length(c.new) AS end_char, c.new FROM top t JOIN cond_log c ON c.bio_id = t.bio_id AND c.condition = t.condition WHERE c.original <> c.new),
+ g AS (SELECT *, coalesce(lag(end_char) OVER (PARTITION BY condition, bio_id ORDER BY i), 0) AS prev FROM k)
+ SELECT condition, sample, bio_id, string_agg(substr(text, prev + 1, start_char - prev) || '**' || new || '**', '' ORDER BY i) || substr(any_value(text), max(end_char) + 1) AS marked FROM g GROUP BY 1, 2, 3"""))
 def _(t):
-    return G.qa_samples(_applied(t, G.swap_pronouns()).withColumn("condition", F.lit("pronoun_swap")).drop("text").withColumnRenamed("new_text", "text"), 50, 13)
+    return G.qa_samples(rewrites(t), 50, 13)
 
 
 @query("change_context", V("log pc", """, n AS (SELECT bio_id, string_agg(CASE WHEN p.i IS NOT NULL THEN p.new WHEN q.i IS NOT NULL THEN '' ELSE c.l[c.i] END, '' ORDER BY c.i) AS t
@@ -239,7 +293,10 @@ def _(t):
     return G.detect_subject_gender(G.pieces(cf_texts(t)))
 
 
-@query("detect_subject_gender_by_name")
+@query("detect_subject_gender_by_name", V("cf nm_at lexn", f"""SELECT bio_id, CASE WHEN nf > nm THEN 'F' WHEN nm > nf THEN 'M' WHEN f > m THEN 'F' WHEN m > f THEN 'M' END AS detected FROM (
+ SELECT cf.bio_id, coalesce(n.nf, 0) AS nf, coalesce(n.nm, 0) AS nm, len(list_filter(w, lambda x: x IN {_sqlist(R.FEMALE_PRONOUNS)})) AS f, len(list_filter(w, lambda x: x IN {_sqlist(R.MALE_PRONOUNS)})) AS m
+ FROM (SELECT bio_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM cf) cf LEFT JOIN (SELECT bio_id, count_if(gender = 'F') AS nf, count_if(gender = 'M') AS nm FROM nm_at JOIN lexn USING (name)
+  WHERE subject AND NOT titled AND NOT inner_ AND share >= 0.9 GROUP BY 1) n ON n.bio_id = cf.bio_id)"""))
 def _(t):
     return G.detect_subject_gender(G.pieces(cf_texts(t)), lexicon(t), min_share=0.9)
 
@@ -256,36 +313,29 @@ def _(t):
 
 
 # ------------------------------------------------------------------ pair table and changed-only scores
-def _bm25_pairs(t):
-    """Every pair with the pronoun and the word rewrite of its bio."""
-    d = G.pieces(cf_texts(t))
-    parts = {"pronoun_swap": G.swap_pronouns(), "agentic_communal": G.rewrite_words()}
-    rows = [G.apply_proposals(d.withColumn("props", p), "props").select("bio_id", F.lit(c).alias("condition"), F.col("new_text").alias("text"), "changed", "changes") for c, p in parts.items()]
-    rw = written(rows[0].unionByName(rows[1]), "rewrites")
-    return H.build_pair_table(t.pairs(), rw, list(parts), {"agentic_communal": "communal", "default": "gender"})
+def _pair_table(t):
+    """Every pooled pair with its original and all seven rewrites of its bio."""
+    return H.build_pair_table(t.pairs(), rewrites(t, t.pools()), list(G.CONDITIONS), ORIENTATION)
 
 
-@query("build_pair_table", V("pairs pp_pron pp_word", """, w AS (SELECT bio_id, count_if(kind = 'agentic->communal') AS a, count_if(kind = 'communal->agentic') AS c, count(*) AS n FROM pp_word GROUP BY 1),
- pn AS (SELECT DISTINCT bio_id FROM pp_pron)
- SELECT jd_id, bio_id, 'original' AS condition, false AS changed, 0 AS sign FROM pairs UNION ALL
- SELECT jd_id, p.bio_id, 'pronoun_swap', pn.bio_id IS NOT NULL, CASE WHEN bio_gender = 'M' THEN 1 ELSE -1 END FROM pairs p LEFT JOIN pn ON pn.bio_id = p.bio_id UNION ALL
- SELECT jd_id, p.bio_id, 'agentic_communal', coalesce(w.n, 0) > 0, CASE WHEN coalesce(w.a, 0) >= coalesce(w.c, 0) THEN 1 ELSE -1 END FROM pairs p LEFT JOIN w ON w.bio_id = p.bio_id"""))
-def _(t):
-    return _bm25_pairs(t).select("jd_id", "bio_id", "condition", "changed", "sign")
-
+sql_view("ptab", ("pairs", "rw", "cf"), """SELECT p.jd_id, p.bio_id, 'original' AS condition, false AS changed, 0 AS sign, cf.text FROM pairs p JOIN cf USING (bio_id) UNION ALL
+ SELECT p.jd_id, p.bio_id, r.condition, r.n_changes > 0, CASE WHEN r.condition = 'agentic_communal' THEN CASE WHEN a2c >= c2a THEN 1 ELSE -1 END WHEN p.bio_gender = 'M' THEN 1 ELSE -1 END, r.text
+ FROM pairs p JOIN rw r ON r.bio_id = p.bio_id""")
 
-_NF = "length(regexp_replace({0}, '[^a-z]', '', 'g')) * 7 + length(regexp_replace({0}, '[^A-Z]', '', 'g'))"
 
-
-@query("score_changed_only", V("pairs cf pp_pron pp_word pc", f"""
-, t1 AS ({_rebuild('pp_pron').replace('sha256(string_agg', '(string_agg').replace('AS text_hash', 'AS text')}), t2 AS ({_rebuild('pp_word').replace('sha256(string_agg', '(string_agg').replace('AS text_hash', 'AS text')}),
- a AS (SELECT bio_id, 'original' AS condition, text FROM cf UNION ALL SELECT bio_id, 'pronoun_swap', text FROM t1 UNION ALL SELECT bio_id, 'agentic_communal', text FROM t2)
-SELECT p.jd_id, p.bio_id, a.condition, (({_NF.format('a.text')}) % (p.jd_id + 2))::double AS score, length(a.text) % 3 > 0 AS nonempty FROM pairs p JOIN a USING (bio_id)"""))
+@query("build_pair_table", V("ptab", "SELECT jd_id, bio_id, condition, changed, sign FROM ptab"))
 def _(t):
-    n_low = lambda pat: F.length(F.regexp_replace("resume_text", pat, ""))
+    return _pair_table(t).select("jd_id", "bio_id", "condition", "changed", "sign")
 
-    def scorer(d):
-        return d.select("jd_id", "text_id", ((n_low("[^a-z]") * 7 + n_low("[^A-Z]")) % (F.col("jd_id") + 2)).cast("double").alias("score"), (F.length("resume_text") % 3 > 0).alias("nonempty"))
 
-    out = H.score_changed_only(_bm25_pairs(t), cf_texts(t), t.jds(), scorer)
-    return out.select("jd_id", "bio_id", "condition", "score", "nonempty")
+@query("score_changed_only", V("ptab qtf bidf cstat", f"""
+, pt AS MATERIALIZED (SELECT jd_id, bio_id, condition, sha256(text) AS text_id FROM ptab), tx AS MATERIALIZED (SELECT DISTINCT sha256(text) AS text_id, text FROM ptab),
+ ttf AS MATERIALIZED (SELECT text_id, token, count(*) AS tf FROM (SELECT text_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#]*')) AS token FROM tx) WHERE token NOT IN {STOPS} GROUP BY 1, 2),
+ tdl AS MATERIALIZED (SELECT text_id, sum(tf) AS dl FROM ttf GROUP BY 1),
+ sc AS (SELECT p.jd_id, p.text_id, sum(q.tf * i.idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * l.dl / c.avgdl))) AS score FROM (SELECT DISTINCT jd_id, text_id FROM pt) p JOIN qtf q ON q.k = p.jd_id
+  JOIN ttf d ON d.text_id = p.text_id AND d.token = q.token JOIN bidf i ON i.token = q.token JOIN tdl l ON l.text_id = p.text_id, cstat c GROUP BY 1, 2)
+SELECT jd_id, bio_id, condition, round(coalesce(score, 0), 6) AS score, coalesce(score, 0) > 0 AS nonempty FROM pt LEFT JOIN sc USING (jd_id, text_id)"""))
+def _(t):
+    table = written(_pair_table(t), "pair-table")
+    out = H.score_changed_only(table, cf_texts(t), t.jds(), lexical_scorers(t)["bm25"])
+    return out.select("jd_id", "bio_id", "condition", r6("score"), "nonempty")

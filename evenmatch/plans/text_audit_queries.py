@@ -6,40 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import fairness as H, lexical as L, resampling as J, rewrite as G
+from ..operators import fairness as H, resampling as J, rewrite as G
 from ..sources.storage import written
 from .audit_queries import r6
 from .catalog import query
-from .rewrite_queries import cf_texts, rewrites
-from .score_queries import corpus
+from .rewrite_queries import ORIENTATION, cf_texts, rewrites
+from .score_queries import lexical_scorers
 
-ORIENTATION = {"agentic_communal": "communal", "default": "gender"}
-
-
-def lexical_scorers(t) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """BM25 and TF-IDF, fitted once on the training and target texts, for (jd_id, text_id, jd_text, resume_text) rows."""
-    vectors = written(L.term_vectors(corpus(t), "doc"), "corpus")
-    idf, stats = (written(d, "bm25-fit") for d in L.bm25_fit(vectors))
-    smooth = written(L.tfidf_fit(vectors), "tfidf-fit")
-    queries = written(L.term_vectors(t.jds(), "jd_id"), "queries")
-
-    def texts(d: DataFrame) -> DataFrame:
-        return L.term_vectors(d.select("text_id", "resume_text").dropDuplicates(["text_id"]), "text_id", "resume_text")
-
-    def bm25(d: DataFrame) -> DataFrame:
-        return L.bm25_score(d.select("jd_id", "text_id"), queries, texts(d), idf, stats, doc_key="text_id")
-
-    def tfidf(d: DataFrame) -> DataFrame:
-        return L.tfidf_score(d.select("jd_id", "text_id"), L.tfidf_vectors(queries, "jd_id", smooth), L.tfidf_vectors(texts(d), "text_id", smooth), doc_key="text_id")
-
-    with_state = lambda score: lambda d: score(d).withColumn("nonempty", F.col("score") > 0)
-    return {"bm25": with_state(bm25), "tfidf": with_state(tfidf)}
 
 
 def audited(t, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every pooled pair once per scorer and condition, with the score of its original and of its rewrite."""
     pool = t.pools()
-    table = written(H.build_pair_table(pool, rewrites(t), list(G.CONDITIONS), ORIENTATION), "pairs")
+    table = written(H.build_pair_table(pool, rewrites(t, pool), list(G.CONDITIONS), ORIENTATION), "pairs")
     parts = [H.score_changed_only(table, cf_texts(t), t.jds(), fn).drop("pert_text").withColumn("scorer", F.lit(name)) for name, fn in scorers.items()]
     scores = parts[0]
     for part in parts[1:]:
