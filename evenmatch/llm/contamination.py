@@ -18,8 +18,10 @@ Null and empty texts are clean. Repeated rows get equal verdicts; rows are told
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..sources.storage import Scratch
+from .columns import restored, shielded
 
 WINDOW = 13
 SHARE = 0.75
@@ -28,7 +30,8 @@ MASKS = {
     13: ("111011", "110111", "1100001011"), 12: ("111011", "110111", "11001011", "110100011"), 11: ("1101011", "1110011"), 10: ("111011", "11111", "11010011"),
     9: ("11101", "100111"), 8: ("11011", "1111", "1100011"), 7: ("11011",), 6: ("11101", "10111"), 5: ("1101", "111"), 4: ("111", "1011", "1101"), 3: ("111",), 2: ("11",), 1: ("1",),
 }
-BROADCAST_ROWS = 1_000_000  # a table of fixed-width rows is broadcast up to this many (about 40 MB)
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20  # a table is broadcast if it has at most so many rows, and so many bytes in its arrays
 
 
 def words(text: Column) -> Column:
@@ -70,18 +73,22 @@ def seeds(table: DataFrame, keys: list[str], widths: list[int], own: bool = Fals
 
 
 def bounded(table: DataFrame) -> DataFrame:
-    """``table`` marked for broadcasting if it is counted to be small; else as it is, for a shuffled join."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """``table`` marked for broadcasting if it is measured to be small; else as it is, for a shuffled join.
+
+    Arrays are measured by their bytes, all other columns have a fixed width.
+    """
+    wide = [F.coalesce(F.length(F.to_json(f.name)), F.lit(0)) for f in table.schema if isinstance(f.dataType, ArrayType)]
+    size = table.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(wide, F.lit(0)).cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else table
 
 
 def _agreement() -> Column:
-    """Largest number of agreeing words in a window on the diagonal ``d``, and the window's size, as ``best, width``."""
+    """1 or 0 for each pair of words on the diagonal ``d``: whether they agree."""
     low, high = F.greatest(F.lit(0), -F.col("d")), F.least(F.size("item_words"), F.size("words") - F.col("d"))
     n = F.greatest(high - low, F.lit(0))
-    same = F.zip_with(
+    return F.zip_with(
         F.slice("item_words", (low + 1).cast("int"), n.cast("int")), F.slice("words", (low + F.col("d") + 1).cast("int"), n.cast("int")), lambda a, b: F.when(a == b, 1).otherwise(0)
     )
-    return same
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +119,21 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` plus ``contaminated``, ``bench_items`` (ids, sorted) and ``bench_share``."""
+    """All rows and columns of ``docs`` plus ``contaminated``, ``bench_items`` (ids, sorted) and ``bench_share``.
+
+    Other columns may have any name; one that is named like a result is replaced by it.
+    """
+    needed = (id_col, text_col)
+    return restored(_contamination(shielded(docs, needed), items, *needed), docs, needed, ("contaminated", "bench_items", "bench_share"))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a passage of the benchmark, all columns as they are."""
+    needed = (id_col, text_col)
+    return restored(_contamination(shielded(docs, needed), items, *needed).where("not contaminated"), docs, needed)
+
+
+def _contamination(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = overlaps(docs, items, id_col, text_col).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("bench_items"), F.max("best").alias("bench_share"))
     k1, k2 = row_keys(id_col, text_col)
     out = docs.select("*", k1.alias("_k1"), k2.alias("_k2")).join(bounded(found), F.expr("_k1 = k1 and _k2 = k2"), "left")

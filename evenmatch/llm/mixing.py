@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.storage import Scratch
+from .columns import restored, shielded
 
 EPOCHS = 3
 SEED = "mix-1"
+NEEDED = ("doc_id", "text", "source")
 _BUCKET = 3  # hex digits of the hash by which a source's running sum is split
 
 
@@ -60,7 +62,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEE
 
     ``docs`` needs doc_id, text and source. Sources in code point order (null last) get the weights
     in turn. Rows of one source with equal id and size are taken together or not at all. A source without words gets the target 0. An empty table stays empty.
+    Other columns may have any name; one that is named like a result is replaced by it.
     """
+    own = ("mix_size", "mix_source_size", "mix_target", "mix_repeats", "mix_taken")
+    return restored(_mixed(shielded(docs, NEEDED), weights, seed), docs, NEEDED, own)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """A row of ``docs`` for each time that the mix reads it, with the repetition's number as ``epoch``."""
+    out = _mixed(shielded(docs, NEEDED)).where("mix_repeats > 0")
+    return restored(out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("mix_repeats").cast("int")))), docs, NEEDED, ("epoch",))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
     work = Scratch(docs.sparkSession, "mix")
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)
     bucket = F.substring(order, 1, _BUCKET).alias("mix_bucket")

@@ -15,19 +15,25 @@ addresses their 32 bits. Null texts stay null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KEY = "pseudonym-key-1"
+from .columns import restored, shielded
+
+KEY_SETTING = "spark.evenmatch.pseudonym.key"  # where the session keeps the secret key
+KEY = "pseudonym-key-1"  # only where the session has none, as in tests: whoever knows the key can undo the pseudonyms
 ROUNDS = 8
+CHUNK = 256  # groups of a run that are read together, so that long runs are joined in pieces
 
+GLUE = r"(?:[A-Za-z_@]|-(?![ \-]*+\d)|\.\d|/\d{2}/\d{4}|[.%+][\w.%+\-]{0,80}@)"
 # Every match starts where no letter or digit stands before it; groups are not captured.
 PATTERNS = {
     "secret": r"(?i:token|secret|api[_-]?key|password|passwd)[\"']?\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_\-.]{16,}[\"']",
-    "email": r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,}",
     "date": r"(?<![/.\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?=T\d{2})|(?![\w/\-]|\.\d))",
     "ssn": r"(?<![.\-])\d{3}-\d{2}-\d{4}(?![\w\-]|\.\d)",
     "address": r"(?<!\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
-    "card": r"(?<![.\-])\d[\d \-]{11,}\d(?![\w@\-]|\.\d|/\d{2}/\d{4}|[.%+][\w.%+\-]{0,80}@)",  # any run of groups
+    # a whole run of digit groups, up to the first that is glued to other text; taken without backtracking, so that a long run is read once
+    "card": rf"(?<![.\-])(?=\d[\d \-]{{12}})\d++(?!{GLUE})(?:[ \-]++\d++(?!{GLUE}))*+",
     "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?![\w\-]|\.\d)|\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]|\.\d)|[2-9]\d{2} [2-9]\d{2}[ \-]\d{4}(?![\w\-]|\.\d)|\+[1-9]\d{7,14}(?![\w\-]|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
 }
@@ -201,8 +207,15 @@ def _groups(match: Column, key: str) -> Column:
             put = lambda r: F.struct(F.array_append(x["out"], F.concat(F.get(s["gaps"], i), r["new"])).alias("out"), (x["n"] + 1).alias("n"), (r["j"] + 1).alias("next"))
             return F.when(i < x["next"], x).otherwise(F.coalesce(F.get(F.transform(F.slice(found, 1, 1), put), F.lit(0)), kept))
 
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda x: F.struct(F.array_join(x["out"], "").alias("text"), x["n"].alias("n")))
+        start = lambda n, to: F.struct(F.array().cast("array<string>").alias("out"), n.alias("n"), to.alias("next"))
+
+        def chunk(x: Column, c: Column) -> Column:
+            places = F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, count) - 1)
+            done = lambda y: F.struct(F.array_append(x["out"], F.array_join(y["out"], "")).alias("out"), y["n"].alias("n"), y["next"].alias("next"))
+            return F.aggregate(places, start(x["n"], x["next"]), step, done)
+
+        chunks = F.sequence(F.lit(0), F.floor((count - 1) / CHUNK).cast("int"))
+        return F.aggregate(chunks, start(F.lit(0), F.lit(0)), chunk, lambda x: F.struct(F.array_join(x["out"], "").alias("text"), x["n"].alias("n")))
 
     digits, gaps = F.regexp_extract_all(match, F.lit(r"\d+"), F.lit(0)), F.split(match, r"\d+", -1)
     parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(digits)), digits, lambda g, d: F.concat(g, d))
@@ -211,12 +224,35 @@ def _groups(match: Column, key: str) -> Column:
 
 def replaced(match: Column, key: str = KEY) -> Column:
     """``text, n``: a match of ``ANY`` with its pseudonyms, and their number."""
-    whole = lambda s: F.when(s["new"].isNotNull(), F.struct(s["new"].alias("text"), F.lit(1).alias("n"))).when(match.rlike(f"^(?:{PATTERNS['card']})$"), _groups(match, key)).otherwise(F.struct(match.alias("text"), F.lit(0).alias("n")))
+    whole = lambda s: F.when(s["new"].isNotNull(), F.struct(s["new"].alias("text"), F.lit(1).alias("n"))).when(match.rlike(r"^\d[\d \-]*\d$"), _groups(match, key)).otherwise(F.struct(match.alias("text"), F.lit(0).alias("n")))
     return F.get(F.transform(F.array(F.struct(pseudonym(match, key).alias("new"))), whole), F.lit(0))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with rewritten ``text_col`` and one more column, ``n_pii``: the values replaced."""
+def session_key(spark: SparkSession) -> str:
+    """The secret key of this session."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with rewritten ``text_col`` and one more column, ``n_pii``: the values replaced.
+
+    The key is that of the session unless one is given. Other columns may have any name; one named
+    ``n_pii`` is replaced.
+    """
+    return restored(_rewritten(shielded(docs, (text_col,)), key, text_col), docs, (text_col,), ("n_pii",))
+
+
+def rewritten(docs: DataFrame, key: str | None = None, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with rewritten ``text_col``, all other columns as they are; ``size_col``, if there is one, is counted again where the text changed."""
+    needed = [c for c in (text_col, size_col) if c in docs.columns]
+    out = _rewritten(shielded(docs, needed), key, text_col)
+    if size_col in needed:
+        out = out.withColumn(size_col, F.when(F.col("n_pii") > 0, F.char_length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
+    return restored(out, docs, needed)
+
+
+def _rewritten(docs: DataFrame, key: str | None, text_col: str) -> DataFrame:
+    key = session_key(docs.sparkSession) if key is None else key
     text = F.col(text_col)
     found = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = found.withColumn("_new", F.transform("_found", lambda m: replaced(m, key)))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import Scratch
+from .columns import restored, shielded
 from .words import SPACES, hashed_words, shingles, text_bytes
 
 STATS = ("size", "word_length", "upper", "symbols", "digits", "stutter", "repeats", "single", "line", "stops")
@@ -74,9 +75,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Where there are too few labels to learn from, every row stays. The statistics are taken twice,
     for the fit and beside the rows, which is cheaper than moving the texts to join the scores.
     """
-    model = fit(statistics(docs), labels)
+    model, needed = fit(statistics(docs), labels), ("doc_id", "text")
     if model is None:
         return docs
+    inner = shielded(docs, needed)
 
     def beside(batches):
         for batch in batches:
@@ -86,9 +88,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 table = table.append_column(f"_{name}", parts.column(name) if len(batch) else pa.array([], pa.float64()))
             yield from table.to_batches()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    both = docs.mapInArrow(beside, fields + ", " + ", ".join(f"_{s} double" for s in STATS))
-    return both.where(log_odds(model, "_") >= float(np.log(ACCEPT / (1 - ACCEPT)))).select(*docs.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    both = inner.mapInArrow(beside, fields + ", " + ", ".join(f"_{s} double" for s in STATS))
+    return restored(both.where(log_odds(model, "_") >= float(np.log(ACCEPT / (1 - ACCEPT)))), docs, needed)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from evenmatch.llm import centroids, codebooks, rules, vectors
+from evenmatch.llm import centroids, codebooks, contamination, licenses, minhash, mixing, pii, quality, repeats, rules, vectors
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = "vec_id long, embedding array<double>, label string, id long, tag string, n int, v string, cluster string"
@@ -234,3 +234,77 @@ def test_estimation_equals_plain_python(judged_rows):
 
 def test_rules_on_an_empty_table(spark):
     assert rules.rule_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---------------------------------------------------------------- long texts and clashing columns
+LONG = {
+    "mail hosts": "x@" + "a." * 300_000 + "com", "mail names": "a.b-" * 200_000, "mail signs": "%+" * 300_000 + "@", "groups": "12 " * 6_000, "glued groups": "1- " * 30_000,
+    "cards": "4111 1111 1111 1111 " * 300, "iban": "DE89 3704 " * 80_000, "phones": "+1 " * 200_000, "dots": "1.1" * 300_000, "digits": "7" * 900_000, "blanks": ("1-" + " " * 5000) * 30,
+    "secrets": "token='" * 100_000, "glued mail": "1 2 3 4 5 6 7 8.a@b.com " * 2_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_no_text_stops_the_pseudonyms(spark, name):
+    d = spark.createDataFrame([(1, LONG[name]), (2, "call 517-555-0497")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(d).collect()}
+    assert got[2].n_pii == 1 and len(got[1].text) >= len(LONG[name]) // 2
+    if name == "cards":
+        assert got[1].n_pii == 300 and "4111 1111 1111 1111" not in got[1].text
+    if name == "glued mail":
+        assert got[1].n_pii >= 2_000 and "8.a@b.com" not in got[1].text
+
+
+def test_digit_runs_in_context(spark):
+    cases = {"5 2024-01-05  x": 1, "517-555-0497   !": 1, "4111 1111 1111 1111 9x": 1, "4111111111111111x": 0, "4111111111111111.5": 0, "4111 1111 1111 1111-": 0, "1 2 3 4 5 6 7 8.a@b.com": 1, "12 34": 0, "a@b.co1 and c@d.org.": 2}
+    got = {r.text_id: r.n_pii for r in pii.pseudonymised(spark.createDataFrame([(t, t) for t in cases], "text_id string, text string")).collect()}
+    assert got == cases
+
+
+def test_key_comes_from_the_session(spark):
+    d = spark.createDataFrame([(1, "call 517-555-0497")], "doc_id long, text string")
+    before = pii.pseudonymised(d).first().text
+    spark.conf.set(pii.KEY_SETTING, "another key")
+    try:
+        assert pii.pseudonymised(d).first().text != before == pii.pseudonymised(d, pii.KEY).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+CLASHES = (
+    "size target whole rest last source_size weight place start words mix_s mix_order mix_size mix_bucket mix_taken mix_repeats epoch k1 k2 d best seed at h n width item_id item_words same contaminated "
+    "bench_items bench_share _size _upper _new _found n_pii _k1 id key v ids tag component_id kept votes quality label score"
+).split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 70) + " mail a@b.org", "ab"[i % 2], 3, *[f"{c}-{i}" for c in CLASHES]) for i in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(2)
+
+
+def clash_stages(spark):
+    items = spark.createDataFrame([(1, "nothing of this kind stands there at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    return {
+        "mixing": mixing.repeated, "decontamination": lambda d: contamination.uncontaminated(d, items), "pii": pii.rewritten, "quality": lambda d: quality.accepted(d, labels),
+        "dedup": minhash.one_of_each, "rules": rules.passing,
+    }
+
+
+@pytest.mark.parametrize("stage", ["mixing", "decontamination", "pii", "quality", "dedup", "rules"])
+def test_stages_return_clashing_columns_as_they_are(spark, clashing, stage):
+    out = clash_stages(spark)[stage](clashing)
+    skip = {"epoch"} if stage == "mixing" else set()
+    assert [c for c in out.columns if c not in skip] == [c for c in clashing.columns if c not in skip]
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES if c not in skip)
+
+
+def test_reports_work_beside_clashing_columns(spark, clashing):
+    items = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    for out, own in ((mixing.mixed(clashing), ["mix_size", "mix_source_size", "mix_target", "mix_repeats", "mix_taken"]), (contamination.contamination(clashing, items), ["contaminated", "bench_items", "bench_share"]), (pii.pseudonymised(clashing), ["n_pii"])):
+        assert len(set(out.columns)) == len(out.columns) and out.columns[-len(own) :] == own and out.count() == 30
+        assert all(r["size"] == f"size-{r.doc_id}" for r in out.collect())
+    assert minhash.near_duplicates(clashing).count() == licenses.license_scan(clashing).count() == repeats.repeats_removed(clashing).count() == rules.rule_report(clashing).count() == 30
