@@ -6,12 +6,12 @@ Parquet in the shared folder and read again as the next stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from evenmatch.llm.contamination import contamination
+from evenmatch.llm.contamination import uncontaminated
 from evenmatch.llm.minhash import one_of_each
-from evenmatch.llm.mixing import mixed
-from evenmatch.llm.pii import pseudonymised
+from evenmatch.llm.mixing import repeated
+from evenmatch.llm.pii import rewritten
 from evenmatch.llm.quality import accepted
 from evenmatch.llm.registry import table
 from evenmatch.sources.storage import Scratch
@@ -29,22 +29,17 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data under pseudonyms; ``n_chars`` is counted again where text changed."""
-    out = pseudonymised(docs)
-    if "n_chars" in docs.columns:
-        count = F.when(F.col("n_pii") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return rewritten(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix reads a document, with the repetition's number as ``epoch``."""
-    out = mixed(docs).where("mix_repeats > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_repeats").cast("int"))).alias("epoch"))
+    return repeated(docs)
 
 
 STAGES = [
