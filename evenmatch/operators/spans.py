@@ -55,30 +55,34 @@ def _token_keys(col: Column, mode: str) -> Column:
 def dictionary_spans(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "norm") -> DataFrame:
     """All phrase matches, one row per (document, start, end), for patterns of any length.
 
-    Every token position is first probed against the first tokens of the patterns, and only the
-    positions and lengths that can match become n-grams, which are equi-joined with the pattern
-    keys. Spark broadcasts the pattern table when it is small and shuffles by n-gram otherwise.
+    Every position is probed by the hash of its first token and that of its first two tokens: patterns
+    of one token are found by the former, longer ones by the latter, so frequent first words alone
+    lead nowhere. Only positions and lengths that a probe named are cut out of the text and compared
+    with the pattern keys; a row never carries more words than the pattern it may match. Spark
+    broadcasts the pattern table when it is small and shuffles by probe and n-gram otherwise.
     ``norm`` compares light stems, ``lower`` folded tokens; what the latter finds the former finds too.
     """
     pats = (
         patterns.withColumn("_p", _token_keys(F.col("form"), mode))
-        .groupBy(F.array_join("_p", " ").alias("_k"), F.get("_p", F.lit(0)).alias("_first"), F.size("_p").alias("_len"))
+        .groupBy(F.array_join("_p", " ").alias("_k"), F.slice("_p", 1, 2).alias("_head"), F.size("_p").alias("_len"))
         .agg(F.min(F.struct("concept_pos", "form_pos", "label", "concept_id")).alias("m"))
-        .select("_k", "_first", "_len", "m.label", "m.concept_id")
+        .select("_k", "_head", "_len", "m.label", "m.concept_id")
     )
-    longest = pats.agg(F.max("_len")).first()[0] or 1
-    firsts = pats.groupBy("_first").agg(F.collect_set("_len").alias("_lens"))
+    two = lambda a, b: F.xxhash64(F.xxhash64(a), F.xxhash64(b))
+    heads = pats.select(F.when(F.size("_head") == 1, F.xxhash64(F.get("_head", F.lit(0)))).otherwise(two(F.get("_head", F.lit(0)), F.get("_head", F.lit(1)))).alias("_probe"), "_len")
+    lengths = heads.groupBy("_probe").agg(F.collect_set("_len").alias("_lens"))
     toks = docs.select(key, find_all(F.col(text), WORD_OR_MARK).alias("_t"), _token_keys(F.col(text), mode).alias("_n"))
-    windows = F.transform("_n", lambda x, i: F.struct(
-        i.alias("start"), x.alias("_first"), F.slice("_n", i + 1, longest).alias("_ns"), F.slice("_t", i + 1, longest).alias("_ts")))
+    ones = F.transform("_n", lambda x, i: F.struct(i.alias("start"), F.xxhash64(x).alias("_probe")))
+    twos = F.transform("_n", lambda x, i: F.struct(i.alias("start"), two(x, F.get("_n", i + 1)).alias("_probe")))
+    probes = toks.select(key, F.explode_outer(F.concat(ones, twos)).alias("g")).where("g IS NOT NULL").select(key, "g.*")
+    hits = probes.join(lengths, "_probe").select(key, F.explode("_lens").alias("_len"), "start").groupBy(key).agg(F.collect_set(F.struct("start", F.col("_len").alias("n"))).alias("_at"))
+    cut = lambda words, at: F.array_join(F.slice(words, at["start"] + 1, at["n"]), " ")
+    found = F.transform(F.filter("_at", lambda at: at["start"] + at["n"] <= F.size("_n")), lambda at: F.struct(
+        at["start"].alias("start"), at["n"].alias("n"), cut("_n", at).alias("_k"), cut("_t", at).alias("text")))
     return (
-        toks.select(key, F.explode(windows).alias("g")).select(key, "g.*").join(firsts, "_first")
-        .select(key, "start", "_ns", "_ts", F.explode("_lens").alias("_n"))
-        .where(F.col("_n") <= F.size("_ns"))
-        .select(key, "start", "_n", F.array_join(F.slice("_ns", F.lit(1), F.col("_n")), " ").alias("_k"),
-                F.array_join(F.slice("_ts", F.lit(1), F.col("_n")), " ").alias("text"))
+        toks.join(hits, key).select(key, F.explode_outer(found).alias("g")).where("g IS NOT NULL").select(key, "g.*")
         .join(pats.select("_k", "label", "concept_id"), "_k")
-        .select(key, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("_n")).cast("bigint").alias("end"), "text", "label",
+        .select(key, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("n")).cast("bigint").alias("end"), "text", "label",
                 F.lit("dictionary").alias("source"), "concept_id", F.lit(0).alias("priority"))
     )
 

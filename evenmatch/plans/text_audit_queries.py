@@ -10,16 +10,20 @@ from ..operators import fairness as H, resampling as J, rewrite as G
 from ..sources.storage import written
 from .audit_queries import r6
 from .catalog import query
+from .entity_queries import entity_scorer
 from .rewrite_queries import ORIENTATION, cf_texts, rewrites
 from .score_queries import lexical_scorers
 
 
+def scorers(t) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The lexical scorers and the entity scorer, each fitted once."""
+    return lexical_scorers(t) | {"entity": entity_scorer(t, "idf_weighted").score}
 
-def audited(t, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def audited(t, by: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every pooled pair once per scorer and condition, with the score of its original and of its rewrite."""
     pool = t.pools()
     table = written(H.build_pair_table(pool, rewrites(t, pool), list(G.CONDITIONS), ORIENTATION), "pairs")
-    parts = [H.score_changed_only(table, cf_texts(t), t.jds(), fn).drop("pert_text").withColumn("scorer", F.lit(name)) for name, fn in scorers.items()]
+    parts = [H.score_changed_only(table, cf_texts(t), t.jds(), fn).drop("pert_text").withColumn("scorer", F.lit(name)) for name, fn in by.items()]
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
@@ -39,12 +43,12 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 @query("text_audit_scores")
 def _(t):
-    d = audited(t, lexical_scorers(t))
+    d = audited(t, scorers(t))
     return d.select("scorer", "jd_id", "bio_id", "condition", "sign", "changed", "rel_binary", "rel_graded", r6("score"), r6("pert_score"))
 
 
 @query("text_audit_metrics")
 def _(t):
-    rows = written(audited(t, lexical_scorers(t)), "audited")
+    rows = written(audited(t, scorers(t)), "audited")
     d = J.summarise_metrics(written(metrics(rows), "text-metrics"), n_boot=200, seed=3)
     return d.select("scorer", "split", "condition", "metric", r6("value"), "n_units", r6("ci_low"), r6("ci_high"))

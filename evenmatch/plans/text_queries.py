@@ -94,16 +94,24 @@ def _stem(x: str) -> str:
     return rf"CASE WHEN length({c}) <= 3 THEN {c} ELSE regexp_replace({c}, 'e$', '') END"
 
 
-sql_view("wm", (), f"""SELECT doc_id, tok, pos, stem, lead(tok, 1) OVER w AS tok1, lead(tok, 2) OVER w AS tok2, lead(tok, 3) OVER w AS tok3, lead(stem, 3) OVER w AS stem3, lead(stem, 1) OVER w AS stem1, lead(stem, 2) OVER w AS stem2 FROM (
-  SELECT doc_id, tok, pos, {_stem('tok')} AS stem FROM (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) - 1 AS pos FROM
-  (SELECT doc_id, regexp_extract_all(text, '{WM}') AS l FROM documents))) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
+def _tokens_sql(table: str, key: str) -> str:
+    lead = ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for k in (1, 2, 3) for c in ("tok", "stem"))
+    return f"""SELECT {key}, tok, pos, stem, {lead} FROM (SELECT {key}, tok, pos, {_stem('tok')} AS stem FROM (SELECT {key}, unnest(l) AS tok, generate_subscripts(l, 1) - 1 AS pos FROM
+  (SELECT {key}, regexp_extract_all(text, '{WM}') AS l FROM {table}))) WINDOW w AS (PARTITION BY {key} ORDER BY pos)"""
+
+
+def _spans_sql(words: str, key: str) -> str:
+    grams = []
+    for n in (1, 2, 3, 4):
+        join = lambda c: " || ' ' || ".join([c, *[f"{c}{k}" for k in range(1, n)]])  # noqa: E731,B023
+        grams.append(f"""SELECT {key}, pos AS start, pos + {n} AS "end", {join('tok')} AS text, {join('stem')} AS k FROM {words}{f" WHERE tok{n - 1} IS NOT NULL" if n > 1 else ""}""")
+    return f"""SELECT g.{key}, g.start, g."end", g.text, m.label AS label, m.concept_id AS concept_id FROM ({" UNION ALL ".join(grams)}) g JOIN spats ON spats.skey = g.k"""
+
+
+sql_view("wm", (), _tokens_sql("documents", "doc_id"))
 sql_view("spats", ("pats",), f"""SELECT skey, min(struct_pack(concept_pos, form_pos, label, concept_id)) AS m FROM (SELECT *, array_to_string(list_transform(
   regexp_extract_all(lower(form), '{WM}'), lambda x: {_stem('x')}), ' ') AS skey FROM pats) GROUP BY 1""")
-sql_view("dspans", ("wm", "spats"), """SELECT g.doc_id, g.start, g."end", g.text, m.label AS label, m.concept_id AS concept_id FROM (
-  SELECT doc_id, pos AS start, pos + 1 AS "end", tok AS text, stem AS k FROM wm UNION ALL
-  SELECT doc_id, pos, pos + 2, tok || ' ' || tok1, stem || ' ' || stem1 FROM wm WHERE tok1 IS NOT NULL UNION ALL
-  SELECT doc_id, pos, pos + 3, tok || ' ' || tok1 || ' ' || tok2, stem || ' ' || stem1 || ' ' || stem2 FROM wm WHERE tok2 IS NOT NULL UNION ALL
-  SELECT doc_id, pos, pos + 4, tok || ' ' || tok1 || ' ' || tok2 || ' ' || tok3, stem || ' ' || stem1 || ' ' || stem2 || ' ' || stem3 FROM wm WHERE tok3 IS NOT NULL) g JOIN spats ON spats.skey = g.k""")
+sql_view("dspans", ("wm", "spats"), _spans_sql("wm", "doc_id"))
 
 
 @query("dictionary_spans", V("dspans", "SELECT * FROM dspans"))
