@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.draws import P, draw_sql, mix_sql
 from ..functions.ordering import hash_position, quantiles
 from ..functions.text import hash_number, order_hash
+from ..sources.storage import written
 
-ARRAY_LIMIT = 50_000  # units of one series that may sit in one row; larger series use the join plan
-BLOCK = 4096
+BLOCK = 4096  # units of a series that sit in one row, and slots drawn by one row
 
 
 def _numbered(units: DataFrame, series: list[str], unit: str, seed: int) -> DataFrame:
@@ -49,9 +49,10 @@ def bootstrap_mean_ci(
 ) -> DataFrame:
     """Per series: mean, percentile interval of the resampled means, and the number of units.
 
-    NULL values are dropped first. ``exact`` draws n of n units: a series up to ARRAY_LIMIT units is
-    resampled inside its row, a longer one by ``resample``. ``poisson`` weights every unit by a
-    Poisson(1) count in one pass (no draws to join), for very long series where the approximation is wanted.
+    NULL values are dropped first. ``exact`` draws n of n units: the units lie in blocks of ``BLOCK``; for
+    each replicate it is drawn how many of the n draws fall into each block, and the block's draws are
+    then made inside its row, so units are never joined to single draws. ``poisson`` weights every unit
+    by a Poisson(1) count in one pass, for very long series where the approximation is wanted.
     """
     d = units.where(F.col(value).isNotNull()).select(*series, F.col(unit).alias("_u"), F.col(value).cast("double").alias("_v"))
     point = d.groupBy(*series).agg(F.avg("_v").alias("value"), F.count(F.lit(1)).alias("n_units"))
@@ -59,17 +60,32 @@ def bootstrap_mean_ci(
         return point.join(_poisson(d, series, n_boot, alpha, seed), series)
     if method != "exact":
         raise ValueError("method must be 'exact' or 'poisson'")
-    long_series = point.where(F.col("n_units") > ARRAY_LIMIT).select(*series)
-    short = d.join(long_series, series, "left_anti").groupBy(*series).agg(
-        F.sort_array(F.collect_list(F.struct(order_hash(seed, "_u").alias("h"), "_v"))).alias("_l"))
-    reps = (
-        short.select(*series, F.transform("_l", lambda x: x["_v"]).alias("_a"), F.size("_l").cast("bigint").alias("_n"))
-        .withColumn("b", F.explode(F.expr(f"sequence(1L, {n_boot}L)")))
-        .withColumn("_r", F.expr(f"aggregate(sequence(0L, _n - 1), 0D, (a, i) -> a + get(_a, cast({draw_sql('b', 'i', '_n', seed)} AS int))) / _n"))
-        .select(*series, "_r")
-    )
-    big = resample(d.join(long_series, series, "left_semi"), series, "_u", n_boot, seed).groupBy(*series, "b").agg(F.avg("_v").alias("_r")).select(*series, "_r")
-    return point.join(_interval(reps.unionByName(big), series, "_r", alpha), series)
+    blocks = written(_blocks(d, series, seed), "units")
+    return point.join(_interval(_replicates(blocks, series, n_boot, seed), series, "_r", alpha), series)
+
+
+def _blocks(d: DataFrame, series: list[str], seed: int) -> DataFrame:
+    """A row per series and block of units: number of the block, its values in hash order, and the series' length."""
+    numbered = _numbered(d, series, "_u", seed).withColumn("_c", F.expr(f"_idx DIV {BLOCK}"))
+    return numbered.groupBy(*series, "_c").agg(F.sort_array(F.collect_list(F.struct("_idx", "_v"))).alias("_l"), F.max("_n").alias("_n")).select(
+        *series, "_c", "_n", F.transform("_l", lambda x: x["_v"]).alias("_a"))
+
+
+def _replicates(blocks: DataFrame, series: list[str], n_boot: int, seed: int) -> DataFrame:
+    """The mean of every replicate of every series as ``_r``.
+
+    The arrays are read inside the generated loops over replicates and draws; what leaves a row are
+    its sums per replicate.
+    """
+    replicate = F.explode(F.expr(f"sequence(1L, {n_boot}L)")).alias("b")
+    alone = blocks.where(F.col("_n") <= BLOCK).select(*series, "_c", "_a", F.col("_n").alias("_m"), replicate)
+    slots = F.explode(F.expr(f"sequence(_c * {BLOCK}, _c * {BLOCK} + size(_a) - 1)")).alias("_i")
+    shares = blocks.where(F.col("_n") > BLOCK).select(*series, "_n", "_c", "_a", replicate).select(*series, "b", "_n", slots)
+    shares = shares.groupBy(*series, "b", F.expr(f"{draw_sql('b', '_i', '_n', seed)} DIV {BLOCK}").alias("_c")).agg(F.count(F.lit(1)).alias("_m"))
+    parts = alone.unionByName(blocks.select(*series, "_c", "_a").join(shares, [*series, "_c"]).select(alone.columns))
+    drawn = parts.select(*series, "b", "_a", "_c", F.explode(F.expr("sequence(0L, _m - 1)")).alias("_j"))
+    value = F.expr(f"get(_a, cast({draw_sql('b', f'_c * {BLOCK} + _j', 'size(_a)', seed)} AS int))")
+    return drawn.select(*series, "b", value.alias("_x")).groupBy(*series, "b").agg(F.avg("_x").alias("_r"))
 
 
 def _poisson(d: DataFrame, series: list[str], n_boot: int, alpha: float, seed: int) -> DataFrame:
