@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.checks import asserted, require_columns
 from ..functions.text import n_words, normalize_title, squash
+from .quoted_csv import header_of, parsed, quoted_records
 from .rules import CLASSES, GENDERS
 
 
-def _strings(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def read_labelled_texts(
     spark: SparkSession, path: str, classes=CLASSES, genders=GENDERS, text: str = "hard_text", row_id: str = "row_id"
 ) -> DataFrame:
@@ -36,19 +33,19 @@ def read_labelled_texts(
     )
 
 
-def csv_reader(spark: SparkSession, schema: T.StructType):
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
-
+def read_csv_columns(spark: SparkSession, path: str, columns: list[str], place: str | None = None) -> DataFrame:
+    """Named string columns of CSV files with quoted line breaks, read in parallel within each file.
 
-def read_csv_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Named string columns of a CSV file with quoted newlines; other columns are not parsed out."""
-    header = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).limit(0)
-    clean = {c.lstrip("﻿"): c for c in header.columns}
+    ``place`` adds a column that orders the rows as they stand in the files.
+    """
+    header = header_of(spark, path)
+    clean = {c.lstrip("\ufeff"): c for c in header}
     missing = sorted(set(columns) - set(clean))
     if missing:
         raise ValueError(f"{path} lacks columns {missing}; it has {sorted(clean)}")
-    full = csv_reader(spark, _strings(*header.columns)).csv(path)
-    return full.select(*[F.col(f"`{clean[c]}`").alias(c) for c in columns])
+    rows = quoted_records(spark, path).withColumn("_r", parsed(F.col("record"), header))
+    at = [F.struct("file", "block", "line").alias(place)] if place else []
+    return rows.select(*[F.col(f"_r.`{clean[c]}`").alias(c) for c in columns], *at)
 
 
 def postings_audit(raw: DataFrame, min_words: int) -> DataFrame:
@@ -96,10 +93,10 @@ def read_taxonomy(
 ) -> DataFrame:
     """Taxonomy CSV -> one row per distinct surface form of a concept, in file order of the forms.
 
-    ``concept_pos`` orders concepts by URI, since a parallel CSV scan has no line numbers.
+    ``concept_pos`` orders concepts as they stand in the file.
     """
     cols = ["conceptUri", "skillType", "preferredLabel", "altLabels", "hiddenLabels", "status"]
-    raw = read_csv_columns(spark, path, cols)
+    raw = read_csv_columns(spark, path, cols, "concept_pos")
     if released_only:
         raw = raw.where(F.lower(F.trim(F.coalesce("status", F.lit("")))).isin("released", ""))
     lists = [F.array("preferredLabel")]
@@ -117,8 +114,8 @@ def read_taxonomy(
             F.when(F.lower(F.coalesce("skillType", F.lit(""))).contains("knowledge"), "knowledge").otherwise("skill").alias("label"),
             F.get("forms", F.lit(0)).alias("preferred"),
             F.posexplode("forms").alias("form_pos", "form"),
+            "concept_pos",
         )
-        .withColumn("concept_pos", F.col("concept_id"))
     )
 
 
@@ -147,13 +144,11 @@ def read_concept_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rating_logs(spark: SparkSession, path: str, annotator_pattern: str = r"([^/=]+?)(?:\.csv|/part-[^/]*)$") -> DataFrame:
     """Append-only rating logs; the annotator is the file stem (or the folder of a split log)."""
-    schema = "pair_id string, rating int, comment string, timestamp_utc string"
-    raw = spark.read.schema(schema).options(
-        header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", recursiveFileLookup=True, pathGlobFilter="*.csv"
-    ).csv(path)
-    return raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), annotator_pattern, 1).alias("annotator"),
-        "pair_id", "rating", "comment", F.to_timestamp("timestamp_utc").alias("ts"),
+    files = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+    rows = quoted_records(spark, path, **files).withColumn("_r", parsed(F.col("record"), ["pair_id", "rating", "comment", "timestamp_utc"]))
+    return rows.select(
+        F.regexp_extract("file", annotator_pattern, 1).alias("annotator"),
+        "_r.pair_id", F.col("_r.rating").cast("int").alias("rating"), "_r.comment", F.to_timestamp("_r.timestamp_utc").alias("ts"),
     )
 
 
