@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from evenmatch.llm import centroids, codebooks, contamination, licenses, minhash, mixing, pii, quality, repeats, rules, vectors
+from evenmatch.llm import centroids, codebooks, contamination, embeddings, licenses, minhash, mixing, pii, quality, repeats, rules, vectors
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = "vec_id long, embedding array<double>, label string, id long, tag string, n int, v string, cluster string"
@@ -308,3 +308,45 @@ def test_reports_work_beside_clashing_columns(spark, clashing):
         assert len(set(out.columns)) == len(out.columns) and out.columns[-len(own) :] == own and out.count() == 30
         assert all(r["size"] == f"size-{r.doc_id}" for r in out.collect())
     assert minhash.near_duplicates(clashing).count() == licenses.license_scan(clashing).count() == repeats.repeats_removed(clashing).count() == rules.rule_report(clashing).count() == 30
+
+
+# ---------------------------------------------------------------- embeddings: repeated ids, missing ids, several lengths
+def brute_links(rows: list[tuple]) -> list[tuple]:
+    fine = lambda v: bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    unit = [np.array(v, float) / np.linalg.norm(v) if fine(v) else None for _, v in rows]
+    near = lambda a, b: a is not None and b is not None and len(a) == len(b) and (a @ b) >= embeddings.COSINE - 1e-12
+    linked = [[j for j in range(len(rows)) if j != i and near(unit[i], unit[j])] for i in range(len(rows))]
+    out = []
+    for i, (vec_id, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            fresh = [j for j in linked[todo.pop()] if j not in seen]
+            seen.update(fresh)
+            todo += fresh
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids) if ids else None
+        out.append((vec_id, len(linked[i]), least, vec_id == least))
+    return out
+
+
+def test_links_of_repeated_ids_missing_ids_and_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0])]
+    rows += [(None, [0.0, 0.0, 1.0]), (8, [0.0, 0.01, 1.0]), (None, [1.0, 1.0, -1.0]), (None, None), (9, []), (10, [0.0, 0.0, 0.0]), (11, [NAN, 1.0, 1.0]), (12, [1.0, None, 1.0])]
+    rows += [(13, [1.0, 0.0]), (14, [1.0, 0.001]), (15, [0.0, 1.0]), (16, [2.0]), (17, [-3.0]), (4, [4.0]), (6, [-1.0, 0.0, 0.0]), (6, [0.0, -1.0, 0.0]), (7, [0.0, -1.0, 0.02])]
+    got = embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert order(got.collect()) == order(brute_links(rows))
+
+
+def test_recall_at_many_reference_points():
+    """Pairs at exactly the threshold share two of their closest reference points nearly always, however many there are."""
+    rng = np.random.default_rng(3)
+    for count in (64, 256, 1024, 4096):
+        points = embeddings._unit(rng.normal(size=(count, 64)))
+        x = embeddings._unit(rng.normal(size=(1500, 64)))
+        side = rng.normal(size=x.shape)
+        side = embeddings._unit(side - (side * x).sum(1, keepdims=True) * x)
+        y = 0.9 * x + np.sqrt(1 - 0.81) * side
+        n = embeddings.nearest(count)
+        close = [np.argpartition(-(v @ points.T), n, axis=1)[:, :n] for v in (x, y)]
+        both = (close[0][:, :, None] == close[1][:, None, :]).any(2).sum(1)
+        assert (both >= embeddings.SHARED).mean() > 0.97, (count, (both >= embeddings.SHARED).mean())
