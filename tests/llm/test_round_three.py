@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from evenmatch.llm import centroids, codebooks, contamination, embeddings, licenses, minhash, mixing, pii, quality, repeats, rules, vectors
+from evenmatch.llm import centroids, codebooks, contamination, embeddings, html, licenses, minhash, mixing, pii, quality, repeats, rules, vectors
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = "vec_id long, embedding array<double>, label string, id long, tag string, n int, v string, cluster string"
@@ -350,3 +351,46 @@ def test_recall_at_many_reference_points():
         close = [np.argpartition(-(v @ points.T), n, axis=1)[:, :n] for v in (x, y)]
         both = (close[0][:, :, None] == close[1][:, None, :]).any(2).sum(1)
         assert (both >= embeddings.SHARED).mean() > 0.97, (count, (both >= embeddings.SHARED).mean())
+
+
+# ---------------------------------------------------------------- odd pages
+ART = " ".join(f"word{i}" for i in range(50))
+PAGES = [
+    (f'<div class="container has-sidebar"><article><p>{ART}</p></article><div class="sidebar">x y</div></div>', ART),
+    (f'<div id="content-sidebar-wrap"><article><p>{ART}</p></article></div>', ART),
+    (f'<form action="x"><input name=q><article><p>{ART}</p></article></form>', ART),
+    (f"<form><h1>Title</h1><p>{ART}</p></form>", f"Title {ART}"),
+    (f'<article><p>{ART}</p></article><form class="contact"><p>Your name</p></form>', ART),
+    (f"<article><p title=it's>{ART}</p><p>more text</p><p>it's last</p></article>", f"{ART} more text it's last"),
+    (f'<article><p>{ART} <span style="display:none">hid den</span> end</p></article>', f"{ART} end"),
+    (f'<article><p>{ART} <span class="ad">buy now</span> end</p></article>', f"{ART} end"),
+    (f"<article><p>{ART} <math><mi>x</mi></math> end</p></article>", f"{ART} x end"),
+    (f'<div class="post"><div class="entry-header"><h1>Title</h1></div><p>{ART}</p></div>', f"Title {ART}"),
+    (f'<article><p>{ART}</p></article><div class="comments"><article class="comment-body"><p>nice one</p></article></div>', ART),
+    (f'<article><p>{ART}</p></article><div class="related"><article class="teaser"><p>read this too</p></article></div>', ART),
+    (f"<div><a href=x>Home</a></div><div>Sign in</div><div><a>About</a></div><div><p>{ART}</p></div>", ART),
+    (f"<article =x><p a='b\"c' d=\"e'f\">{ART}</p></article>", ART),
+    (f'<article><p data-x="never closed>{ART}</p></article>', ART),
+    (f"<article><p>{ART}</p></i></b></div></article>", ART),
+    (f"<article><ul><li>one<li>two<p>three<p>four</ul><p>{ART}</article>", f"one two three four {ART}"),
+    (f"<article><p>a < b and c<d>e</d> {ART}</p></article>", f"a < b and ce {ART}"),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_odd_pages(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>", html.train()) == want
+
+
+def test_tree_asks_words_and_neighbours():
+    def asked(tree) -> set:
+        return set() if isinstance(tree, int) else {html.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3])
+
+    assert {"words", "links", "around", "main"} <= asked(html.train()) and {"words_before", "links_before", "links_after", "words_after"} & asked(html.train())
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + "'", "<div>" * 100_000 + "</i></b>" * 60_000, '<a x="' * 150_000, "<" * 800_000, "<i><div>" + "<b>" * 90_000 + "</i>" * 90_000, "<!--" * 200_000, "<p>" * 250_000, "<a =" * 250_000, "<x/" * 250_000])
+def test_broken_markup_takes_linear_time(page):
+    start = time.time()
+    html.main_text(page, html.train())
+    assert time.time() - start < 20  # quadratic readers take minutes
