@@ -74,11 +74,13 @@ LABELLED = (
     (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 2, 0.9, 5, 1.0, 0, 0, 0, 0), (3, 0.2, 6, 1.0, 4, 0.8, 0, 0, 0, 0),
     (5, 0.0, 9, 1.0, 1, 1.0, 0, 0, 0, 0), (7, 0.1, 2, 1.0, 3, 0.9, 0, 0, 0, 0), (35, 0.0, 4, 1.0, 6, 1.0, 0, 0, 0, 1), (80, 0.1, 2, 1.0, 3, 1.0, 0, 0, 0, 1),
     (3, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1), (5, 0.0, 30, 0.1, 40, 0.0, 0, 0, 0, 1), (22, 0.0, 5, 1.0, 2, 0.9, 0, 0, 0, 1), (15, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1), (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 1), (6, 0.0, 5, 0.0, 30, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 8, 0.0, 0, 0, 0, 1), (5, 0.0, 3, 0.0, 12, 0.1, 0, 0, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 90, 0.0, 0, 0, 0, 1),
     (30, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0), (8, 0.0, 50, 0.0, 0, 0.0, 1, 0, 0, 0), (2, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0), (75, 0.0, 66, 0.0, 58, 0.0, 1, 0, 0, 0),
 )
 
 
-def train(rows=LABELLED, depth: int = 6):
+def train(rows=LABELLED, depth: int = 8):
     """A decision tree by Gini impurity: nested ``(feature, threshold, below, above)``, leaves 0 or 1."""
     table = np.array(rows, float)
 
