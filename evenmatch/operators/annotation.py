@@ -171,3 +171,8 @@ def spearman_ci(df: DataFrame, x: str, y: str, unit: str, series: list[str] = ()
 def label_means(rated: DataFrame, label: str = "rel_graded", rating: str = "human_mean") -> DataFrame:
     """Mean human rating per automatic label."""
     return rated.groupBy(label).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(rating).alias("mean_rating"))
+
+
+def by_rho(correlations: DataFrame, scorer: str = "scorer") -> DataFrame:
+    """One row per scorer with its ``place``: the highest correlation first, undefined ones last."""
+    return correlations.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("rho"), scorer)).cast("bigint"))

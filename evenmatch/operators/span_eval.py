@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .spans import overlap_pairs
 
@@ -22,11 +22,37 @@ def span_exact_counts(pred: DataFrame, gold: DataFrame, key: str = "doc_id") ->
     return side.groupBy(key).agg(F.count("p").alias("n_pred"), F.count("g").alias("n_gold"), F.count(F.col("p") + F.col("g")).alias("n_hit"))
 
 
+def swept(pred: DataFrame, gold: DataFrame, ids: list[str]) -> DataFrame:
+    """Distinct boundaries of both sides with ``p``, ``g`` (which side has them) and ``touches_g``, ``touches_p``.
+
+    One sweep over the union, ordered by start: a span overlaps one of the other side if the greatest
+    end of those that start no later lies behind its start, or if the next of them starts before its
+    end. Everything is keyed by ``ids``, so the rows are shuffled once.
+    """
+    b = [*ids, "start", "end"]
+    side = lambda d, p: d.select(*b, F.lit(p).alias("p"), F.lit(1 - p).alias("g"))
+    rows = side(pred, 1).unionByName(side(gold, 0)).repartition(*ids).groupBy(*b).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    by_start = W.partitionBy(*ids).orderBy("start")
+    upto, after = by_start.rangeBetween(W.unboundedPreceding, 0), by_start.rangeBetween(1, W.unboundedFollowing)
+
+    def touches(c: str) -> Column:
+        reach = F.max(F.when(F.col(c) == 1, F.col("end"))).over(upto)
+        nearest = F.min(F.when(F.col(c) == 1, F.col("start"))).over(after)
+        return F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(nearest < F.col("end"), F.lit(False))
+
+    return rows.withColumns({"touches_g": touches("g"), "touches_p": touches("p")})
+
+
+def _counts() -> list[Column]:
+    n = lambda c, name: F.count_if(c).alias(name)
+    p, g = F.col("p") == 1, F.col("g") == 1
+    return [n(p, "n_pred"), n(g, "n_gold"), n(p & g, "exact"), n(p & F.col("touches_g"), "pred_hit"), n(g & F.col("touches_p"), "gold_hit")]
+
+
 def span_partial_counts(pred: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document with any overlap: predicted spans that overlap gold, and gold spans that are overlapped."""
-    hits = overlap_pairs(pred, gold, [key])
-    return hits.groupBy(key).agg(
-        F.count_distinct("start", "end").alias("n_pred_correct"), F.count_distinct("b_start", "b_end").alias("n_gold_found"))
+    counts = swept(pred, gold, [key]).groupBy(key).agg(*_counts())
+    return counts.where("pred_hit > 0").select(key, F.col("pred_hit").alias("n_pred_correct"), F.col("gold_hit").alias("n_gold_found"))
 
 
 def _view(spans: DataFrame, side: int) -> DataFrame:
@@ -42,19 +68,9 @@ def _ratio(a: Column, b: Column) -> Column:
 def span_prf(pred: DataFrame, gold: DataFrame, key: str = "doc_id", group: str = "source") -> DataFrame:
     """Micro precision, recall and F1 per (group or 'all', view, mode)."""
     ids = [key, group, "view"]
-    p = _view(pred, 0).select(*ids, "start", "end").distinct()
-    g = _view(gold, 1).select(*ids, "start", "end").distinct()
-    hits = overlap_pairs(p, g, ids)
-    exact = exact_hits(p, g, ids)
-    kinds = {
-        "n_pred": p, "n_gold": g, "exact": exact,
-        "pred_hit": hits.select(*ids, "start", "end").distinct(), "gold_hit": hits.select(*ids, "b_start", "b_end").distinct(),
-    }
-    long = None
-    for kind, d in kinds.items():
-        c = d.groupBy(group, "view").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-        long = c if long is None else long.unionByName(c)
-    counts = long.withColumn("group", F.explode(F.array(F.lit("all"), F.col(group)))).groupBy("group", "view").pivot("kind", list(kinds)).sum("n").na.fill(0)
+    each = swept(_view(pred, 0), _view(gold, 1), ids).groupBy(group, "view").agg(*_counts())
+    kinds = ("n_pred", "n_gold", "exact", "pred_hit", "gold_hit")
+    counts = each.withColumn("group", F.explode(F.array(F.lit("all"), F.col(group)))).groupBy("group", "view").agg(*[F.sum(k).alias(k) for k in kinds])
     modes = counts.select("group", "view", "n_pred", "n_gold", F.explode(F.array(
         F.struct(F.lit("exact").alias("mode"), F.col("exact").alias("pc"), F.col("exact").alias("gf")),
         F.struct(F.lit("partial").alias("mode"), F.col("pred_hit").alias("pc"), F.col("gold_hit").alias("gf")))).alias("m"))

@@ -312,7 +312,7 @@ SUMMARY_SQL = f""", src AS (SELECT * FROM tidy_in WHERE metric <> 'n_changed'),
 
 
 def tidy(t):
-    return J.summarise_metrics(written(per_pool(t), "per-pool"), n_boot=N_BOOT, seed=SEED)
+    return J.summarise_metrics(t.once("per-pool", lambda: per_pool(t)), n_boot=N_BOOT, seed=SEED)
 
 
 @query("summarise_metrics", V("tidy_in", SUMMARY_SQL + """ SELECT scorer, split, condition, metric, round(value, 6) AS value, n_units, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM tidy"""))
@@ -321,7 +321,7 @@ def _(t):
 
 
 def tests(t):
-    return J.significance_table(written(per_pool(t), "per-pool").where("split = 'test'"), "a", FAMILIES, n_perm=N_PERM, seed=SEED)
+    return J.significance_table(t.once("per-pool", lambda: per_pool(t)).where("split = 'test'"), "a", FAMILIES, n_perm=N_PERM, seed=SEED)
 
 
 @query("significance_table", V("sig", "SELECT condition, metric, baseline, round(mean_diff, 6) AS mean_diff, round(p_value, 6) AS p_value, n_units, round(p_holm, 6) AS p_holm FROM sig"))

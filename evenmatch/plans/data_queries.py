@@ -52,6 +52,21 @@ def _(t):
     return d.withColumn("text_hash", F.sha2("text", 256)).drop("text")
 
 
+@query("postings_audit", V("postings clean_p", f"""SELECT (SELECT count(*) FROM postings) AS raw, (SELECT count_if(title IS NULL OR description IS NULL) FROM postings) AS missing,
+  count_if(nw < 50) AS too_short, count_if(nw >= 50) - count(DISTINCT CASE WHEN nw >= 50 THEN text END) AS duplicate, count(DISTINCT CASE WHEN nw >= 50 THEN text END) AS kept
+  FROM (SELECT text, {NW.format('text')} AS nw FROM clean_p WHERE title IS NOT NULL AND text IS NOT NULL)"""))
+def _(t):
+    return readers.postings_audit(readers.read_csv_columns(t.spark, _postings_csv(t), ["job_id", "title", "description"]), 50)
+
+
+@query("read_labelled_names", """SELECT 'Zu' || chr(10) || lower(chr((65 + s_suppkey % 26)::int)) AS label, CASE WHEN s_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, count(*) AS n FROM supplier GROUP BY 1, 2""")
+def _(t):
+    path = shared_dir(t.spark, "labelled-names")
+    d = t.read("supplier").selectExpr("concat('Zu\n', lower(chr(cast(65 + s_suppkey % 26 AS int)))) AS label", "CASE WHEN s_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender")
+    writers.write_csv(d.groupBy("label", "gender").agg(F.count(F.lit(1)).alias("n")), path)
+    return readers.read_labelled_names(t.spark, path)
+
+
 @query("read_taxonomy", V("postings", f"""
 , tax AS (SELECT 'u' || job_id::varchar AS concept_id, CASE WHEN job_id % 2 = 0 THEN 'knowledge' ELSE 'skill' END AS label,
    list_filter([trim(title), trim(lower(title)), trim(regexp_replace(title, '[^A-Za-z ]', '', 'g'))], lambda x: length(x) > 0) AS forms

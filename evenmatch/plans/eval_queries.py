@@ -162,7 +162,7 @@ def consensus(t):
 
 
 def binned(t):
-    return A.score_bins(consensus(t).where("split = 'test'"))
+    return A.score_bins(t.once("consensus", lambda: consensus(t)).where("split = 'test'"))
 
 
 STRATA = ["score_bin", "jd_occupation", "bio_gender"]
@@ -174,7 +174,7 @@ def allocation(frame):
 
 
 def sample(t):
-    frame = binned(t)
+    frame = t.once("binned", lambda: binned(t))
     return A.stratified_sample(frame, STRATA, allocation(frame), 23, ["jd_id", "bio_id"])
 
 
@@ -270,14 +270,22 @@ def _(t):
     return d.select("scorer", r6("rho"), "n", r6("ci_low"), r6("ci_high"))
 
 
-@query("label_validity", V("rated", f""", one AS (SELECT * FROM rated WHERE scorer = 'a'), k AS (SELECT {_AVG_RANK.format(k='true', c='human_mean')} AS rx, {_AVG_RANK.format(k='true', c='rel_graded')} AS ry FROM one)
+@query("label_validity", V("rated", f""", one AS (SELECT DISTINCT pair_id, human_mean, rel_graded FROM rated), k AS (SELECT {_AVG_RANK.format(k='true', c='human_mean')} AS rx, {_AVG_RANK.format(k='true', c='rel_graded')} AS ry FROM one)
  SELECT rel_graded, count(*) AS n_pairs, round(avg(human_mean), 6) AS mean_rating, round((SELECT CASE WHEN stddev_pop(ry) > 0 THEN corr(rx, ry) END FROM k), 6) AS rho FROM one GROUP BY 1"""))
 def _(t):
-    one = rated(t).where("scorer = 'a'")
+    one = t.once("rated-pairs", lambda: rated(t).select("pair_id", "human_mean", "rel_graded").distinct())
     rho = A.spearman(one, "human_mean", "rel_graded").select("rho").scalar()
     return A.label_means(one).select("rel_graded", "n_pairs", r6("mean_rating"), r6(rho, "rho"))
 
 
+@query("scorer_validity", V("rated", SPEARMAN_SQL.replace(" SELECT k.scorer, round(corr", ", z AS (SELECT k.scorer, round(corr") + ") SELECT *, row_number() OVER (ORDER BY rho DESC NULLS LAST, scorer) AS place FROM z"))
+def _(t):
+    """Every scorer against the mean human rating, best first."""
+    d = A.spearman_ci(rated(t), "score", "human_mean", "pair_id", ["scorer"], 200, 0.05, SEED)
+    d = d.select("scorer", r6("rho"), "n", r6("ci_low"), r6("ci_high"))
+    return A.by_rho(d)
+
+
 @query("annotator_order", V("v6", """SELECT annotator, pair_id, row_number() OVER (PARTITION BY annotator ORDER BY sha256('order|' || annotator || '|' || pair_id::varchar)) - 1 AS position
  FROM (SELECT DISTINCT 'priya_a_' || annotator[2] AS annotator FROM v6), (SELECT DISTINCT pair_id FROM v6)"""))
 def _(t):

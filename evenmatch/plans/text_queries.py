@@ -135,15 +135,25 @@ def _(t):
     return S.longest_non_overlapping(overlapping_candidates(t))
 
 
-@query("candidate_phrases", V("v1", rf"""
+_RUNS = rf"""
 , k AS (SELECT bio_id, unnest(l) AS tok, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT bio_id, regexp_extract_all(text, '<[A-Z_]+>|{WM}') AS l FROM v1)),
  o AS (SELECT *, pos - row_number() OVER (PARTITION BY bio_id ORDER BY pos) AS isl FROM k WHERE regexp_matches(tok, '^[\p{{L}}_]') AND lower(tok) NOT IN {STOPS}),
- r AS (SELECT bio_id, min(pos) AS start, max(pos) + 1 AS "end", string_agg(tok, ' ' ORDER BY pos) AS text, lower(arg_max(tok, pos)) AS head FROM o GROUP BY bio_id, isl)
+ r AS (SELECT bio_id, min(pos) AS start, max(pos) + 1 AS "end", string_agg(tok, ' ' ORDER BY pos) AS text, lower(arg_max(tok, pos)) AS head FROM o GROUP BY bio_id, isl)"""
+
+
+@query("candidate_phrases", V("v1", _RUNS + f"""
 SELECT bio_id, start, "end", text FROM r WHERE length(text) >= 2 AND head NOT IN {GENERIC}"""))
 def _(t):
     return textunits.candidate_phrases(t.v1()).select("bio_id", "start", "end", "text")
 
 
+@query("candidate_phrases_bounded", V("v1", _RUNS + """
+SELECT bio_id, start, "end", text FROM r WHERE length(text) BETWEEN 3 AND 59"""))
+def _(t):
+    """Phrases of 3 to 59 characters under any head word."""
+    return textunits.candidate_phrases(t.v1(), generic=(), min_chars=3, max_chars=59).select("bio_id", "start", "end", "text")
+
+
 # -------------------------------------------------------------------------------------- spans
 OVER = 'EXISTS (SELECT 1 FROM {b} b WHERE b.doc_id = a.doc_id AND a.start < b."end" AND b.start < a."end")'
 

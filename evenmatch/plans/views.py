@@ -5,6 +5,8 @@ Every view exists twice: as a DataFrame and as the common table expression used
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.storage import written
@@ -19,8 +21,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._scored: DataFrame | None = None
-        self._pools: DataFrame | None = None
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps of a query read: made and written at its first use."""
+        if name not in self._made:
+            self._made[name] = written(make(), name)
+        return self._made[name]
 
     def read(self, name: str) -> DataFrame:
         """Scan one table. Text columns cost far more CPU than I/O, so a text table that arrives in
@@ -60,12 +67,10 @@ class Tables:
 
     def pools(self) -> DataFrame:
         """The pool of every target, drawn from all bios; written once per query."""
-        if self._pools is None:
-            from ..operators.pools import build_pools
+        from ..operators.pools import build_pools
 
-            made = build_pools(*self.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED, codes=self.class_codes())
-            self._pools = written(made.select("jd_id", "jd_occ", "bio_id", "bio_occ", "bio_gender", "rel_binary", "rel_graded"), "pools")
-        return self._pools
+        return self.once("pools", lambda: build_pools(*self.pool_inputs(), N_CANDIDATES, N_RELEVANT, POOL_SEED, codes=self.class_codes()).select(
+            "jd_id", "jd_occ", "bio_id", "bio_occ", "bio_gender", "rel_binary", "rel_graded"))
 
     def pairs(self) -> DataFrame:
         """Every target with all bios of its pool: what the scorers are run on."""
@@ -99,9 +104,7 @@ class Tables:
 
     def scored(self) -> DataFrame:
         """The scored pairs, written once per query: every metric after them reads the saved table."""
-        if self._scored is None:
-            self._scored = written(self._scored_pairs(), "scored")
-        return self._scored
+        return self.once("scored", self._scored_pairs)
 
     def _scored_pairs(self) -> DataFrame:
         """Line items as scored pairs: supplier = pool, order line = candidate."""
