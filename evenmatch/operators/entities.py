@@ -72,19 +72,82 @@ def idf_weighted_maxsim(best: str = "best", weight: str = "jd_weight") -> Column
     return F.when(good, value).otherwise(F.raise_error(F.lit("weights must not be negative, nor all zero")).cast("double"))
 
 
-def one_to_one_match() -> Column:
-    """Greedy one-to-one assignment over ``jd_ents`` x ``bio_ents``: sum of taken sims / target entities.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def assignment_sum(sims: Column) -> Column:
+    """Greatest sum of similarities in a matrix (array of rows) where every row or every column, whichever are fewer, is used once.
 
-    Pairs are taken by descending similarity until one side is used up, so every similarity sign is
-    allowed. With non-negative similarities the sum is at least half of the optimal one.
+    Rows enter one by one; each looks for the cheapest augmenting path under potentials of rows and
+    columns, so the cost is cubic in the side of a bag and no signs or sizes are special.
     """
-    cells = F.flatten(F.transform("jd_ents", lambda j, i: F.transform("bio_ents", lambda e, k: F.struct(
-        (-dot(j["vec"], e["vec"])).alias("neg"), i.alias("i"), k.alias("k")))))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("k"))
-    step = lambda a, c: F.when(
-        F.array_contains(a["i"], c["i"]) | F.array_contains(a["k"], c["k"]), a
-    ).otherwise(F.struct((a["s"] - c["neg"]).alias("s"), F.concat(a["i"], F.array(c["i"])).alias("i"), F.concat(a["k"], F.array(c["k"])).alias("k")))
-    return F.aggregate(F.sort_array(cells), start, step, lambda a: a["s"]) / F.size("jd_ents")
+    def of(cost: Column) -> Column:
+        n, m = F.size(cost), F.size(F.get(cost, F.lit(0)))
+        index = lambda k: F.sequence(F.lit(0), k)
+        column = lambda v, least, used, way, row: F.struct(v.alias("v"), least.alias("least"), used.alias("used"), way.alias("way"), row.alias("row"))
+        none, zero, no = F.lit(None).cast("double"), F.lit(0.0), F.lit(False)
+        start = F.struct(F.transform(index(n), lambda _: zero).alias("u"), F.transform(index(m), lambda _: column(zero, none, no, F.lit(0), F.lit(0))).alias("c"))
+
+        def step(s: Column) -> Column:
+            """The nearest column not yet used joins the tree of the row that is being placed."""
+            at = F.get(s["c"], s["at"])["row"]
+            row = F.get(cost, at - 1)
+
+            def reached(x: Column, j: Column) -> Column:
+                used = x["used"] | (j == s["at"])
+                new = F.get(row, j - 1) - F.get(s["u"], at) - x["v"]
+                closer = ~used & (j > 0) & (x["least"].isNull() | (new < x["least"]))
+                return column(x["v"], F.when(closer, new).otherwise(x["least"]), used, F.when(closer, s["at"]).otherwise(x["way"]), x["row"])
+
+            def moved(c: Column) -> Column:
+                free = F.transform(c, lambda x, j: F.when(~x["used"] & (j > 0), F.struct(x["least"].alias("least"), j.alias("j"))))
+
+                def by(best: Column) -> Column:
+                    inside = F.transform(F.filter(c, lambda x: x["used"]), lambda x: x["row"])
+                    u = F.transform(s["u"], lambda x, i: F.when(F.array_contains(inside, i), x + best["least"]).otherwise(x))
+                    cols = F.transform(c, lambda x: F.when(x["used"], column(x["v"] - best["least"], x["least"], x["used"], x["way"], x["row"])).otherwise(
+                        column(x["v"], x["least"] - best["least"], x["used"], x["way"], x["row"])))
+                    return F.struct(u.alias("u"), cols.alias("c"), best["j"].alias("at"), (F.get(c, best["j"])["row"] == 0).alias("done"))
+
+                return _let(F.array_min(free), by)
+
+            return _let(F.transform(s["c"], reached), moved)
+
+        def augmented(s: Column) -> Column:
+            """The path back from the free column hands every row on it to its next column."""
+            def back(x: Column, _: Column) -> Column:
+                prev = F.get(x["c"], x["at"])["way"]
+                taken = F.get(x["c"], prev)["row"]
+                cols = F.transform(x["c"], lambda y, j: F.when(j == x["at"], column(y["v"], y["least"], y["used"], y["way"], taken)).otherwise(y))
+                return F.when(x["at"] == 0, x).otherwise(F.struct(cols.alias("c"), prev.alias("at")))
+
+            done = F.aggregate(index(m), F.struct(s["c"].alias("c"), s["at"].alias("at")), back, lambda x: x["c"])
+            return F.struct(s["u"].alias("u"), done.alias("c"))
+
+        def placed(s: Column, i: Column) -> Column:
+            fresh = F.transform(s["c"], lambda x, j: column(x["v"], none, no, F.lit(0), F.when(j == 0, i).otherwise(x["row"])))
+            first = F.struct(s["u"].alias("u"), fresh.alias("c"), F.lit(0).alias("at"), no.alias("done"))
+            return _let(F.aggregate(index(m), first, lambda x, _: F.when(x["done"], x).otherwise(step(x))), augmented)
+
+        total = lambda s: F.aggregate(
+            F.transform(s["c"], lambda x, j: F.when((j > 0) & (x["row"] > 0), F.get(F.get(cost, x["row"] - 1), j - 1)).otherwise(zero)), zero, lambda a, x: a - x)
+        return F.aggregate(F.sequence(F.lit(1), n), start, placed, total)
+
+    def oriented(rows: Column) -> Column:
+        width = F.size(F.get(rows, F.lit(0)))
+        turned = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+        return _let(F.when(F.size(rows) <= width, rows).otherwise(turned), of)
+
+    negated = F.transform(sims, lambda row: F.transform(row, lambda x: -x))
+    return F.when((F.size(sims) > 0) & (F.size(F.get(sims, F.lit(0))) > 0), _let(negated, oriented))
+
+
+def one_to_one_match() -> Column:
+    """Optimal one-to-one assignment over ``jd_ents`` x ``bio_ents``: sum of its similarities / target entities."""
+    sims = F.transform("jd_ents", lambda j: F.transform("bio_ents", lambda e: dot(j["vec"], e["vec"])))
+    return assignment_sum(sims) / F.size("jd_ents")
 
 
 def entity_idf(

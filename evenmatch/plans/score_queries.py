@@ -292,9 +292,13 @@ def _(t):
     return best(t).select("jd_id", "bio_id", F.round(E.threshold_fraction(0.1), 6).alias("score"))
 
 
-@query("one_to_one_match", V("sims", """, c AS (SELECT jd_id, bio_id, count(DISTINCT jd_ent) AS n, list([struct_pack(s := sim, i := j_pos, k := r_pos)] ORDER BY sim DESC, j_pos, r_pos) AS c FROM sims GROUP BY 1, 2)
- SELECT jd_id, bio_id, round(list_sum(list_transform(list_reduce(c, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.i = x[1].i OR y.k = x[1].k)) = 0 THEN list_concat(a, x) ELSE a END),
- lambda z: z.s)) / n, 6) AS score FROM c"""))
+@query("one_to_one_match", V("sims", """, r AS (SELECT jd_id, bio_id, dense_rank() OVER (PARTITION BY jd_id, bio_id ORDER BY j_pos) AS i, dense_rank() OVER (PARTITION BY jd_id, bio_id ORDER BY r_pos) AS k, sim FROM sims),
+ d AS MATERIALIZED (SELECT jd_id, bio_id, max(i) AS n, greatest(max(i) - max(k), 0) AS may_skip FROM r GROUP BY 1, 2),
+ w AS MATERIALIZED (SELECT jd_id, bio_id, i, k, sim FROM r), m AS (WITH RECURSIVE p AS (SELECT jd_id, bio_id, n, may_skip, 0::bigint AS i, 0::bigint AS used, 0.0::double AS s FROM d
+  UNION ALL SELECT p.jd_id, p.bio_id, p.n, p.may_skip - (w.k IS NULL)::int, p.i + 1, p.used + CASE WHEN w.k IS NULL THEN 0 ELSE (1 << (w.k - 1)::int) END, p.s + coalesce(w.sim, 0)
+   FROM p JOIN (SELECT jd_id, bio_id, i, k, sim FROM w UNION ALL SELECT DISTINCT jd_id, bio_id, i, NULL, NULL FROM w) w ON w.jd_id = p.jd_id AND w.bio_id = p.bio_id AND w.i = p.i + 1
+   WHERE CASE WHEN w.k IS NULL THEN p.may_skip > 0 ELSE (p.used >> (w.k - 1)::int) % 2 = 0 END) SELECT * FROM p WHERE i = n)
+ SELECT jd_id, bio_id, round(max(s) / any_value(n), 6) AS score FROM m GROUP BY 1, 2"""))
 def _(t):
     return joined(t).select("jd_id", "bio_id", F.round(E.one_to_one_match(), 6).alias("score"))
 
