@@ -9,7 +9,7 @@ Candidates: 128 slots in 32 bands of 4. At a similarity of 0.75 a pair misses al
 probability (1 - 0.75^4)^32 = 5e-6. Equal shingle sets are one class from the start, so copies are
 never paired. In a bucket every member meets one pivot, drawn anew for each band; the members that
 are still in another component than most of their bucket are then compared with all the rest of it,
-tile by tile inside the tasks, which only put out links. So no bucket is expanded into its pairs,
+tile by tile inside the tasks on their full sets, which only put out links. So no bucket is expanded into its pairs,
 yet no pair that shares a bucket and could still join two components goes unseen. Links are confirmed on full shingle sets.
 
 Rows without words have no shingles and no links. A null ``text`` counts as empty. A row with a
@@ -127,18 +127,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _codes(batches):
-    """32-bit shingle codes: sets of codes share at least what the full sets share."""
+    """The shingle sets themselves: what a tile links is linked by the same hashes as in ``confirmed``."""
     for batch in batches:
         for row, to, words, at in hashed_words(batch.column("text"), SPACES):
             values, at = shingles(words, at, 5)
-            codes = [np.unique((values[at[i] : at[i + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for i in range(to - row)]
+            codes = [values[at[i] : at[i + 1]].tobytes() for i in range(to - row)]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, to - row), pa.array(codes, pa.binary())], names=["id", "codes"])
 
 
 def _compare(batches):
     """For each tile of rows sorted by ``key, mb, ab, role``: links of rows of role 0 with rows of role 1 in other components."""
     group, held = None, []
-    for batch in batches:
+    for batch in (b.slice(i, TILE) for b in batches for i in range(0, len(b), TILE)):
         table = batch.to_pydict()
         out = []
         for key, mb, ab, *row in zip(*(table[c] for c in ("key", "mb", "ab", "role", "id", "c", "codes")), strict=True):
@@ -157,7 +157,7 @@ def _links(rows: list) -> list[tuple[int, int]]:
     many = [r for r in rows if r[0] == 1 and len(r[3])]
     if not few or not many:
         return []
-    sets = [np.frombuffer(r[3], np.uint32) for r in many]
+    sets = [np.frombuffer(r[3], np.uint64) for r in many]
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
@@ -170,7 +170,7 @@ def _links(rows: list) -> list[tuple[int, int]]:
         return part
 
     for _, own, part, packed in few:
-        mine = np.frombuffer(packed, np.uint32)
+        mine = np.frombuffer(packed, np.uint64)
         at = np.minimum(np.searchsorted(names, mine), len(names) - 1)
         at = at[names[at] == mine]
         mark[at] = 1
