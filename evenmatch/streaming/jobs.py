@@ -32,13 +32,16 @@ def stream_match(texts: DataFrame, score: Callable[[DataFrame], DataFrame], sink
     return _per_batch(texts, score, sink, checkpoint)
 
 
-def stream_latest_ratings(ratings: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Latest rating per (annotator, pair) by its own timestamp, however late a row arrives.
+def stream_latest_ratings(ratings: DataFrame, sink: str, checkpoint: str, watermark: str = "30 days", window: str = "1 day") -> StreamingQuery:
+    """Latest rating per (annotator, pair) by its own timestamp.
 
-    One state row per (annotator, pair) stays for good: the number of pairs to rate bounds it. Each batch writes the keys it changed. ``latest_state`` reads the newest row per key.
+    State holds the latest rating of a key within one window of event time and goes once the watermark
+    has passed the window, so it is bounded by the ratings of the watermark's span. A row that is later
+    than that is left out. Each batch writes the keys it changed; ``latest_state`` reads the newest row
+    per key from all windows, and ``compacted`` keeps only those.
     """
     keys = ["annotator", "pair_id"]
-    agg = ratings.groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "rating")).alias("m"))
+    agg = ratings.withWatermark("ts", watermark).groupBy(F.window("ts", window), *keys).agg(F.max(F.struct("ts", "event_id", "rating")).alias("m"))
     out = agg.select(*keys, "m.ts", "m.event_id", "m.rating")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -51,6 +54,13 @@ def latest_state(log: DataFrame) -> DataFrame:
     return latest_ratings(log, order=("ts", "event_id"))
 
 
+def compacted(log: DataFrame, path: str) -> DataFrame:
+    """The newest row of each key, written to ``path``: what a reader needs of the log up to now."""
+    newest = log.groupBy("annotator", "pair_id").agg(F.max(F.struct("ts", "event_id", "rating")).alias("m")).select("annotator", "pair_id", "m.*")
+    newest.write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.schema(newest.schema).parquet(path)
+
+
 def stream_dedup(texts: DataFrame, sink: str, checkpoint: str, text: str = "text", ts: str = "ts", watermark: str = "30 days") -> StreamingQuery:
     """First arrival of each distinct text within the watermark; its hash is kept as state until the watermark has passed it."""
     d = texts.withColumn("text_hash", F.sha2(text, 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["text_hash"])
