@@ -182,18 +182,24 @@ def explain_matches(best: DataFrame) -> DataFrame:
     return best.select("jd_id", "bio_id", rows("best").alias("b")).select("jd_id", "bio_id", "b.*")
 
 
-def requirement_report(best: DataFrame, weight: str = "jd_weight", top: int | None = None) -> DataFrame:
-    """Per target entity: weight share, best match, contribution, loss, and its rank by loss in the pair."""
+def requirement_report(best: DataFrame, weight: str = "jd_weight", top: int | None = None, order: str = "lost") -> DataFrame:
+    """Per target entity: weight share, best match, contribution, loss, and its rank in the pair.
+
+    ``order``: the greatest loss first (``lost``), the greatest weight (``weight``), or the least similarity (``sim``); ties by first mention.
+    """
+    first = {"lost": lambda b: -(b[weight] / F.col("_w")) * (1 - b["sim"]), "weight": lambda b: -b[weight], "sim": lambda b: b["sim"]}
+    if order not in first:
+        raise ValueError(f"requirements are ordered by {sorted(first)}, not {order!r}")
     total = F.aggregate("best", F.lit(0.0), lambda a, b: a + b[weight])
     parts = F.transform("best", lambda b: F.struct(
-        (-(b[weight] / F.col("_w")) * (1 - b["sim"])).alias("neg_lost"), b["j_pos"].alias("j_pos"), b["jd_ent"].alias("jd_ent"), b["bio_ent"].alias("bio_ent"),
+        first[order](b).alias("first"), b["j_pos"].alias("j_pos"), b["jd_ent"].alias("jd_ent"), b["bio_ent"].alias("bio_ent"),
         b["sim"].alias("sim"), (b[weight] / F.col("_w")).alias("weight"), (b[weight] / F.col("_w") * b["sim"]).alias("contribution")))
     d = best.withColumn("_w", total).withColumn("_r", F.sort_array(parts))
     d = d.withColumn("score", F.aggregate("_r", F.lit(0.0), lambda a, r: a + r["contribution"]))
     shown = F.slice("_r", F.lit(1), F.lit(top) if top else F.size("_r"))
     return d.select("jd_id", "bio_id", "score", F.posexplode(shown).alias("p", "r")).select(
         "jd_id", "bio_id", "score", (F.col("p") + 1).cast("bigint").alias("rank"), "r.jd_ent", "r.bio_ent", "r.sim", "r.weight", "r.contribution",
-        (-F.col("r.neg_lost")).alias("lost"))
+        (F.col("r.weight") * (1 - F.col("r.sim"))).alias("lost"))
 
 
 def matched_gaps_suggestions(best: DataFrame, match: float = 0.55, near: float = 0.35) -> DataFrame:

@@ -84,15 +84,23 @@ class EntityScorer:
             return E.threshold_fraction(self.threshold)
         return E.idf_weighted_maxsim() if self.aggregation == "idf_weighted" else E.one_to_one_match()
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """(jd_id, text_id, score, nonempty); a pair with an empty side scores 0 and is flagged."""
+    def _bags(self, rows: DataFrame, weighted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs, target bags, bags of the rows' texts), after learning what is new in the rows."""
         if self.targets is None:
             raise ValueError("fit the scorer on the target texts first")
         texts = rows.select("text_id", F.sha2("resume_text", 256).alias("text_hash"), F.col("resume_text").alias("text")).dropDuplicates(["text_id"])
         self.learn(texts.select("text_hash", "text"))
-        weighted = self.aggregation == "idf_weighted"
         jd_bags = self._bag_vectors(self.targets.select("jd_id", "text_hash"), "jd_id", weighted)
         bio_bags = self._bag_vectors(texts.select("text_id", "text_hash"), "text_id").withColumnRenamed("text_id", "bio_id")
-        pairs = rows.select("jd_id", F.col("text_id").alias("bio_id"))
-        out = E.empty_policy(pairs, jd_bags, bio_bags, self._score(), ("weight",) if weighted else ())
+        return rows.select("jd_id", F.col("text_id").alias("bio_id")), jd_bags, bio_bags
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """(jd_id, text_id, score, nonempty); a pair with an empty side scores 0 and is flagged."""
+        weighted = self.aggregation == "idf_weighted"
+        out = E.empty_policy(*self._bags(rows, weighted), self._score(), ("weight",) if weighted else ())
         return out.select("jd_id", F.col("bio_id").alias("text_id"), "score", "nonempty")
+
+    def report(self, rows: DataFrame, top: int | None = None, order: str = "lost") -> DataFrame:
+        """Requirements of each pair whose both sides have entities: weight, best match, contribution and loss."""
+        best = E.best_matches(E.joined_bags(*self._bags(rows, True)), ("weight",))
+        return E.requirement_report(best, top=top, order=order).withColumnRenamed("bio_id", "text_id")

@@ -63,3 +63,16 @@ def _(t):
     ]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("aggregation", "jd_id", F.col("text_id").alias("bio_id"), F.round("score", 6).alias("score"), "nonempty")
+
+
+sql_view("ereq", ("epair", "eent", "esim", "ewt"), """SELECT p.jd_id, p.bio_id, a.ent_key AS jd_ent, a.pos AS j_pos, w.w, max(struct_pack(sim := coalesce(s.sim, 0), neg := -b.pos, bio_ent := b.ent_key)) AS m
+  FROM epair p JOIN eent a ON a.h = p.hj JOIN eent b ON b.h = p.hr JOIN ewt w ON w.ent_key = a.ent_key LEFT JOIN esim s ON s.ja = a.entity AND s.rb = b.entity GROUP BY ALL""")
+
+
+@query("entity_report", V("ereq", """SELECT jd_id, bio_id, rank, jd_ent, round(m.sim, 6) AS sim, round(weight, 6) AS weight, round(weight * m.sim, 6) AS contribution FROM (
+ SELECT *, row_number() OVER (PARTITION BY jd_id, bio_id ORDER BY w DESC, j_pos) AS rank FROM (SELECT *, w / sum(w) OVER (PARTITION BY jd_id, bio_id) AS weight FROM ereq)) WHERE rank <= 10"""))
+def _(t):
+    """The ten weightiest requirements of every pooled pair, with their best matches, from the texts."""
+    rows = t.pairs().join(t.v1().select("bio_id", F.col("text").alias("resume_text")), "bio_id").select("jd_id", F.col("bio_id").alias("text_id"), "resume_text")
+    out = entity_scorer(t).report(rows, 10, "weight")
+    return out.select("jd_id", F.col("text_id").alias("bio_id"), "rank", "jd_ent", *[F.round(c, 6).alias(c) for c in ("sim", "weight", "contribution")])
