@@ -6,7 +6,9 @@ neighbouring diagonals of a long template are one span, so that dropped or added
 split it. Spans are verified on the words themselves: a phrase must stand word for word, a long
 template must be found to ``ENOUGH``.
 
-A null text counts as empty. Rows are told apart by id and text; repeated rows get equal results.
+A null or empty text has no places and the score 0. Rows are told apart by id and text; repeated rows
+get equal results. Of equally placed spans all count, each for its own label. An empty table gives an
+empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "mozilla public license": "mpl",
     "bsd license": "bsd",
+    "lesser general public license": "lgpl",
+    "affero general public license": "agpl",
+    "eclipse public license": "epl",
+    "boost software license": "boost",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "cc0 1 0": "cc0",
 }
 # Opening passages of license texts.
 PASSAGES = {
@@ -36,6 +45,22 @@ PASSAGES = {
     "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide this software is distributed without any warranty",
+}
+# Later passages.
+LATER = {
+    "mit": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+    "apache": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "bsd": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
 }
 SHORT, LONG = 2, 5  # words in a gram of phrases and of passages
 NEAR = 4  # diagonals so close belong to one span
@@ -47,7 +72,7 @@ def templates() -> list[tuple[str, bool, bool, list[str]]]:
     """``(label, counted as base, passage, words)`` of every template."""
     found = [(label, True, False, phrase.split()) for phrase, label in PHRASES.items()]
     found += [(label, False, False, phrase.split()) for phrase, label in NOTICES.items()]
-    return found + [(label, False, True, text.split()) for label, text in PASSAGES.items()]
+    return found + [(label, False, True, text.split()) for label, text in (*PASSAGES.items(), *LATER.items())]
 
 
 def _grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -394,3 +394,25 @@ def test_broken_markup_takes_linear_time(page):
     start = time.time()
     html.main_text(page, html.train())
     assert time.time() - start < 20  # quadratic readers take minutes
+
+
+# ---------------------------------------------------------------- licenses
+def test_every_passage_is_found_whole_changed_and_in_context(spark):
+    rng, rows = random.Random(6), []
+    for i, (label, text) in enumerate((*licenses.PASSAGES.items(), *licenses.LATER.items())):
+        words = text.split()
+        changed = [w if rng.random() > 0.06 else "other" for w in words]
+        rows += [(3 * i, f"{prose(rng, 30)} {text} {prose(rng, 30)}", label), (3 * i + 1, " ".join(changed).upper(), label), (3 * i + 2, " ".join(rng.sample(words, len(words))), "")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    for doc_id, text, label in rows:
+        found = got[doc_id].labels.split(",")
+        if label:
+            assert label in found and got[doc_id].score >= licenses.ENOUGH, (doc_id, label, found)
+        else:  # shuffled words are no passage; a short notice may stand there by chance
+            assert not {p[2] for p in got[doc_id].places or [] if p[1] - p[0] > 10}
+
+
+def test_notices_carry_their_own_labels(spark):
+    rows = [(i, f"under the {phrase} here") for i, phrase in enumerate({**licenses.PHRASES, **licenses.NOTICES})]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i, label in enumerate({**licenses.PHRASES, **licenses.NOTICES}.values()))
