@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import asserted
-from ..functions.ordering import quantiles, tie_table
+from ..functions.ordering import tie_table
 from .ranking import expected_position_weights, pool_metrics
 
 CHANGE = "array<struct<kind:string,original:string,replacement:string,start_char:bigint,end_char:bigint,note:string,orig_start:bigint,orig_end:bigint>>"
@@ -120,15 +120,24 @@ def pool_zscores(rows: DataFrame, pool: list[str], score: str = "score", out: st
 def best_f1_threshold(rows: DataFrame, keys: list[str], z: str = "z", rel: str = "rel_binary", n_grid: int = 200) -> DataFrame:
     """Per key the lowest candidate threshold with the best F1 of ``z >= t``.
 
-    Candidates are the distinct values of a quantile grid. They enter the same tie table as the
-    scores, with weight zero, so the counts at or above each come from the running sums.
+    Candidates are the values of a quantile grid. One tie table gives them and their counts: no value
+    lies between the two order statistics around a candidate, so the counts at or above it are those
+    of the lower one where it equals it, else of the upper one.
     """
-    d = rows.where(F.col(z).isNotNull()).select(*keys, F.col(z).alias("t"), F.col(rel).alias("r"))
-    cands = quantiles(d, keys, "t", [i / (n_grid - 1) for i in range(n_grid)]).select(*keys, F.col("q").alias("t")).distinct()
-    both = d.select(*keys, "t", "r", F.lit(1).alias("c"), F.lit(0).alias("is_cand")).unionByName(
-        cands.select(*keys, "t", F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(1).alias("is_cand")))
-    t = tie_table(both, keys, "t", {"c": F.col("c"), "r": F.col("r"), "is_cand": F.col("is_cand")}).where("is_cand > 0")
-    tp, n_pred = F.col("above_r") + F.col("r"), F.col("above_c") + F.col("c")
+    d = rows.where(F.col(z).isNotNull()).select(*keys, F.col(z).cast("double").alias("t"), F.col(rel).alias("r"))
+    ties = tie_table(d, keys, "t", {"r": F.col("r")})
+    below = F.col("total") - F.col("above") - F.col("n")
+    lo, hi = (lambda p: F.floor((F.col("total") - 1) * p)), (lambda p: F.ceil((F.col("total") - 1) * p))
+    inside = lambda k: (k >= below) & (k < below + F.col("n"))
+    grid = F.array(*[F.lit(i / (n_grid - 1)) for i in range(n_grid)])
+    hits = ties.select("*", F.explode(F.filter(grid, lambda p: inside(lo(p)) | inside(hi(p)))).alias("p"))
+    at = F.struct("t", (F.col("above") + F.col("n")).alias("n_pred"), (F.col("above_r") + F.col("r")).alias("tp"))
+    p = F.col("p")
+    ends = hits.groupBy(*keys, "p").agg(F.max(F.when(inside(lo(p)), at)).alias("lo"), F.max(F.when(inside(hi(p)), at)).alias("hi"), F.max("total").alias("total"), F.max("total_r").alias("total_r"))
+    frac = (F.col("total") - 1) * p - F.floor((F.col("total") - 1) * p)
+    t = ends.withColumn("t", F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * frac)
+    t = t.withColumn("_at", F.when(F.col("t") > F.col("lo.t"), F.col("hi")).otherwise(F.col("lo")))
+    tp, n_pred = F.col("_at.tp"), F.col("_at.n_pred")
     f1 = F.when(tp > 0, 2.0 * tp / (n_pred + F.col("total_r")))
     best = F.max(F.struct(F.coalesce(f1, F.lit(-1.0)).alias("f1"), (-F.col("t")).alias("neg_t")))
     agg = t.groupBy(*keys) if keys else t.groupBy()
