@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import asserted
 from ..functions.ordering import tie_table
+from ..sources.storage import written
 from .ranking import expected_position_weights, pool_metrics
 
 CHANGE = "array<struct<kind:string,original:string,replacement:string,start_char:bigint,end_char:bigint,note:string,orig_start:bigint,orig_end:bigint>>"
@@ -54,16 +55,28 @@ def score_changed_only(table: DataFrame, bios: DataFrame, jds: DataFrame, scorer
     ``scorer`` gets (jd_id, text_id, jd_text, resume_text) rows, one per distinct pair of texts, and
     returns jd_id, text_id, score and nonempty.
     """
+    return score_changed_by(table, bios, jds, {"": scorer}).drop("scorer")
+
+
+def score_changed_by(table: DataFrame, bios: DataFrame, jds: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``score_changed_only`` for several named scorers, which share the table of text pairs; adds ``scorer``."""
     need = table.where((F.col("condition") == "original") | F.col("changed"))
     need = need.join(bios.select("bio_id", F.col("text").alias("_t")), "bio_id")
     need = need.withColumn("resume_text", F.when(F.col("condition") == "original", F.col("_t")).otherwise(F.col("pert_text")))
-    need = need.withColumn("text_id", F.sha2("resume_text", 256)).drop("_t")
+    need = written(need.select("jd_id", "bio_id", "condition", F.sha2("resume_text", 256).alias("text_id"), "resume_text"), "need")
     todo = need.dropDuplicates(["jd_id", "text_id"]).select("jd_id", "text_id", "resume_text").join(jds.select("jd_id", F.col("text").alias("jd_text")), "jd_id")
-    done = need.select("jd_id", "bio_id", "condition", "text_id").join(scorer(todo).select("jd_id", "text_id", "score", "nonempty"), ["jd_id", "text_id"]).drop("text_id")
-    orig = done.where("condition = 'original'").select("jd_id", "bio_id", F.col("score").alias("_s"), F.col("nonempty").alias("_n"))
+    todo = written(todo, "text-pairs") if len(scorers) > 1 else todo
+    scores = None
+    for name, scorer in scorers.items():
+        one = scorer(todo).select("jd_id", "text_id", F.col("score").cast("double").alias("score"), "nonempty", F.lit(name).alias("scorer"))
+        scores = one if scores is None else scores.unionByName(one)
+    done = need.select("jd_id", "bio_id", "condition", "text_id").join(scores, ["jd_id", "text_id"]).drop("text_id")
+    done = written(done, "scores")
+    orig = done.where("condition = 'original'").select("scorer", "jd_id", "bio_id", F.col("score").alias("_s"), F.col("nonempty").alias("_n"))
+    every = table.join(orig, ["jd_id", "bio_id"])
     return (
-        table.join(done, ["jd_id", "bio_id", "condition"], "left").join(orig, ["jd_id", "bio_id"])
-        .withColumns({"score": F.coalesce("score", "_s"), "nonempty": F.coalesce("nonempty", "_n")}).drop("_s", "_n")
+        every.join(done, ["scorer", "jd_id", "bio_id", "condition"], "left")
+        .withColumns({"score": F.coalesce("score", "_s"), "nonempty": F.coalesce("nonempty", "_n")}).drop("_s", "_n").select(*table.columns, "scorer", "score", "nonempty")
     )
 
 

@@ -106,8 +106,12 @@ def lexical_scorers(t) -> dict[str, Callable[[DataFrame], DataFrame]]:
     smooth = written(L.tfidf_fit(vectors), "tfidf-fit")
     queries = written(L.term_vectors(t.jds(), "jd_id"), "queries")
 
+    held: list = []  # the rows last seen and the vectors of their texts, which both scorers need
+
     def texts(d: DataFrame) -> DataFrame:
-        return L.term_vectors(d.select("text_id", "resume_text").dropDuplicates(["text_id"]), "text_id", "resume_text")
+        if not held or held[0] is not d:
+            held[:] = [d, written(L.term_vectors(d.select("text_id", "resume_text").dropDuplicates(["text_id"]), "text_id", "resume_text"), "text-vectors")]
+        return held[1]
 
     def bm25(d: DataFrame) -> DataFrame:
         return L.bm25_score(d.select("jd_id", "text_id"), queries, texts(d), idf, stats, doc_key="text_id")

@@ -23,11 +23,7 @@ def audited(t, by: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every pooled pair once per scorer and condition, with the score of its original and of its rewrite."""
     pool = t.pools()
     table = written(H.build_pair_table(pool, rewrites(t, pool), list(G.CONDITIONS), ORIENTATION), "pairs")
-    parts = [H.score_changed_only(table, cf_texts(t), t.jds(), fn).drop("pert_text").withColumn("scorer", F.lit(name)) for name, fn in by.items()]
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    scores = written(scores, "text-scores")
+    scores = written(H.score_changed_by(table, cf_texts(t), t.jds(), by).drop("pert_text"), "text-scores")
     key = ["scorer", "jd_id", "bio_id"]
     first = scores.where("condition = 'original'").select(*key, "score", "nonempty")
     after = scores.where("condition <> 'original'").select(*key, "condition", "sign", "changed", F.col("score").alias("pert_score"), F.col("nonempty").alias("pert_nonempty"))
