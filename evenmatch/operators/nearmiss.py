@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import rows
+from ..sources.storage import written
 from .entities import best_matches, entity_bags, joined_bags
 from .resampling import bootstrap_ratio_ci
 
@@ -28,6 +29,7 @@ def concept_related(matches: DataFrame, edges: DataFrame, a: str = "jd_concept",
     Relations are looked up for the distinct concept pairs only. A parent list is bounded by the
     taxonomy, so siblings are an array intersection of the two lists.
     """
+    matches = written(matches, "matches")
     parents = edges.groupBy(F.col("conceptUri").alias("_c")).agg(F.collect_set("broaderUri").alias("_p"))
     none = F.array().cast("array<string>")
     d = (
