@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def _three_decimals(name: str):
+    """printf('%.3f'): rounded from the number itself, where format_string rounds its shortest decimal form half up."""
+    # format_number takes 0.0005, a little more than its name, for a tie
+    v = f"CASE WHEN abs({name}) >= 0.0005D AND abs({name}) < 0.001D THEN signum({name}) * 0.001D ELSE {name} END"
+    return F.expr(f"format_number({v}, '0.000')")
+
+
 def _cell():
-    fmt = F.format_string("%.3f [%.3f, %.3f]", "value", "ci_low", "ci_high")
-    return F.when(F.col("ci_low").isNull(), F.format_string("%.3f", "value")).otherwise(fmt)
+    value, low, high = map(_three_decimals, ("value", "ci_low", "ci_high"))
+    return F.when(F.col("ci_low").isNull(), value).otherwise(F.concat(value, F.lit(" ["), low, F.lit(", "), high, F.lit("]")))
 
 
 def metric_pivot(tidy: DataFrame, metric: str, conditions: list[str], split: str = "test", mark: str | None = None) -> DataFrame:
