@@ -91,8 +91,13 @@ def rank_shift(rows: DataFrame, pool: list[str], score: str = "score", pert: str
     values = originals.select(*pool, F.col(score).alias("_v"), F.lit(1).alias("_o")).unionAll(
         rows.where(F.col(pert) != F.col(score)).select(*pool, F.col(pert).alias("_v"), F.lit(0).alias("_o")))
     t = tie_table(values, pool, "_v", {"o": F.col("_o")}).select(*pool, "_v", F.col("above_o").alias("_a"), F.col("o").alias("_n"))
-    d = rows.join(t.withColumnsRenamed({"_v": score, "_a": "_ao", "_n": "_no"}), [*pool, score])
-    d = d.join(t.withColumnsRenamed({"_v": pert, "_a": "_ap", "_n": "_np"}), [*pool, pert])
+    # only rows whose score moved look up a second tie group; the id of the pool comes first, so sorts tell rows apart by it
+    at, moved = pool[::-1], F.col(pert) != F.col(score)
+    second = rows.where(moved).join(t.withColumnsRenamed({"_v": pert, "_a": "_ap", "_n": "_np"}), [*at, pert]).select(*rows.columns, "_ap", "_np")
+    none = F.lit(None).cast("bigint")
+    both = second.unionByName(rows.where(~moved).select(*rows.columns, none.alias("_ap"), none.alias("_np")))
+    d = both.join(t.withColumnsRenamed({"_v": score, "_a": "_ao", "_n": "_no"}), [*at, score])
+    d = d.withColumns({"_ap": F.coalesce("_ap", "_ao"), "_np": F.coalesce("_np", "_no")})
     own_above, own_tie = (F.col(score) > F.col(pert)).cast("int"), (F.col(score) == F.col(pert)).cast("int")
     return d.select(
         *rows.columns,
