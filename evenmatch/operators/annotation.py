@@ -9,6 +9,8 @@ from ..functions.ordering import hash_position, quantile_row, tie_table, average
 from ..functions.text import order_hash
 from .resampling import _interval, resample
 
+GROUP_LIMIT = 1000  # up to this rank Spark cuts groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
+
 
 # ------------------------------------------------------------------------------------ sampling
 def consensus_scores(scores: DataFrame, scorers: list[str], pool: str = "jd_id", item: str = "bio_id") -> DataFrame:
@@ -52,7 +54,12 @@ def allocate_sample(sizes: DataFrame, key: list[str], n: Column | int, by: list[
 
 def stratified_sample(df: DataFrame, strata: list[str], alloc: DataFrame, seed: int, key: list[str], id_prefix: str = "p") -> DataFrame:
     """Draw each stratum's allocation in seeded order; ids number the sample in another seeded order."""
-    drawn = hash_position(df.withColumn("_h", order_hash(seed, *key)), strata, "_h", "_pos")
+    hashed, most = df.withColumn("_h", order_hash(seed, *key)), alloc.agg(F.max("alloc")).first()[0] or 0
+    if most <= GROUP_LIMIT:  # each task keeps the first rows of a stratum, so the others are never shuffled
+        first = hashed.withColumn("_rn", F.row_number().over(W.partitionBy(*strata).orderBy("_h"))).where(F.col("_rn") <= most)
+        drawn = first.withColumn("_pos", F.col("_rn") - 1).drop("_rn")
+    else:
+        drawn = hash_position(hashed, strata, "_h", "_pos")
     sample = drawn.join(alloc.select(*strata, "alloc"), strata).where(F.col("_pos") < F.col("alloc")).drop("_pos", "alloc", "_h")
     # the sample itself is small: its size is the budget
     order = W.orderBy(order_hash(seed + 1, *key))
