@@ -43,3 +43,17 @@ def test_samples_rebuild_a_text_once(spark):
     assert marked[("gender_full", 3)] == "Dr. Paul is here. **Ruth**'s pupils admire **her**."
     assert marked[("name_in_same_gender", 1)].startswith("**Asha** Moss tuned her harp.")
     assert ("pronoun_swap", 2) not in marked
+
+
+def test_report_keeps_scorers_spread(spark):
+    scored = spark.range(400).selectExpr("if(id % 4 = 0, 'a', 'b') AS scorer", "id AS bio_id", "cast(id AS double) AS score", "id + 3.0D AS pert_score")
+    medians = spark.range(2).selectExpr("if(id = 0, 'a', 'b') AS scorer", "cast(id * 2 AS double) AS pool_sd_median")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for medians whose size Spark cannot tell
+    try:
+        d = G.counterfactual_report(scored, medians, ["scorer", "bio_id"])
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        rows = d.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(rows) == 400 and {(r.scorer, r.delta, r.delta_norm) for r in rows} == {("a", 3.0, None), ("b", 3.0, 1.5)}
