@@ -27,13 +27,14 @@ def swept(pred: DataFrame, gold: DataFrame, ids: list[str]) -> DataFrame:
 
     One sweep over the union, ordered by start: a span overlaps one of the other side if the greatest
     end of those that start no later lies behind its start, or if the next of them starts before its
-    end. Everything is keyed by ``ids``, so the rows are shuffled once.
+    end. The latter is swept from the last start backwards, since a frame that ends with the text is
+    summed up anew for every row. Everything is keyed by ``ids``, so the rows are shuffled once.
     """
     b = [*ids, "start", "end"]
     side = lambda d, p: d.select(*b, F.lit(p).alias("p"), F.lit(1 - p).alias("g"))
     rows = side(pred, 1).unionByName(side(gold, 0)).repartition(*ids).groupBy(*b).agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    by_start = W.partitionBy(*ids).orderBy("start")
-    upto, after = by_start.rangeBetween(W.unboundedPreceding, 0), by_start.rangeBetween(1, W.unboundedFollowing)
+    upto = W.partitionBy(*ids).orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(*ids).orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, -1)
 
     def touches(c: str) -> Column:
         reach = F.max(F.when(F.col(c) == 1, F.col("end"))).over(upto)
