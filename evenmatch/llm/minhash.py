@@ -7,7 +7,7 @@ and a document stops as soon as every slot is filled: later ranks cannot be smal
 
 Candidates: 128 slots in 32 bands of 4. At a similarity of 0.75 a pair misses all bands with
 probability (1 - 0.75^4)^32 = 5e-6. Equal shingle sets are one class from the start, so copies are
-never paired. In a bucket every member meets one pivot, drawn anew for each band; the members that
+never paired. In a bucket every member meets one pivot, another one for each band; the members that
 are still in another component than most of their bucket are then compared with all the rest of it,
 tile by tile inside the tasks on their full sets, which only put out links. So no bucket is expanded into its pairs,
 yet no pair that shares a bucket and could still join two components goes unseen. Links are confirmed on full shingle sets.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.storage import Scratch
 from .contamination import bounded
-from .graph import components
+from .graph import components, roots
 from .words import SPACES, hashed_words, mix, shingles
 
 SLOTS, BAND = 128, 4
@@ -117,13 +117,13 @@ def _confirm(batches):
             both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
             keep.append(both > 0 and 100 * both >= SHARE * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets share enough, as ``u, v``."""
+def confirmed(pairs: DataFrame, texts: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
+    """Columns ``u`` and ``v`` (the ids, or their components) of the pairs ``a, b`` whose full shingle sets share enough."""
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long")
+    return pairs.join(right, "b").join(left, "a").select(F.col(u).alias("u"), F.col(v).alias("v"), "text_a", "text_b").mapInArrow(_confirm, "u long, v long")
 
 
 def _codes(batches):
@@ -146,13 +146,19 @@ def _compare(batches):
                 out += _links(held)
                 group, held = (key, mb, ab), []
             held.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-    out = _links(held)
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        yield _link_batch(out)
+    yield _link_batch(_links(held))
 
 
-def _links(rows: list) -> list[tuple[int, int]]:
-    """Links of rows of role 0 with rows of role 1 that join all components which such links can join in the tile."""
+def _link_batch(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["a", "b", "c_a", "c_b"])
+
+
+def _links(rows: list) -> list[tuple[int, int, int, int]]:
+    """Links of rows of role 0 with rows of role 1 that join all components which such links can join in the tile.
+
+    The larger and the smaller id, and the components of both.
+    """
     few = [r for r in rows if r[0] == 0]
     many = [r for r in rows if r[0] == 1 and len(r[3])]
     if not few or not many:
@@ -181,7 +187,8 @@ def _links(rows: list) -> list[tuple[int, int]]:
             here, there = find(part), find(int(parts[i]))
             if here != there:  # a link inside what the tile has joined already adds nothing
                 root[max(here, there)] = min(here, there)
-                out.append((max(own, int(ids[i])), min(own, int(ids[i]))))
+                ends = sorted([(own, part), (int(ids[i]), int(parts[i]))], reverse=True)
+                out.append((ends[0][0], ends[1][0], ends[0][1], ends[1][1]))
     return out
 
 
@@ -207,31 +214,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col, n_shingles, component_id, kept`` of every row of ``docs``."""
     work = Scratch(docs.sparkSession, "minhash")
     made = work.write(sketches(docs, id_col, text_col), "sketches")
-    classes = made.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"))
-    classes = work.write(classes, "classes")
-    firsts = classes.where("rep is not null").select("n_shingles", "f1", "f2", F.col("rep").alias("id"))
-    reps = made.join(firsts, ["id", "n_shingles", "f1", "f2"], "left_semi")
+    # equal sets have equal planes and bands, so any row of a class can give them
+    whole = made.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("id").alias("rep"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
+    classes = work.write(whole, "classes")
+    reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "n_shingles", "planes", "bands")
     # one row per id: of rows with one id and different texts the larger set stands for the sizes and planes
     marks = work.write(reps.groupBy("id").agg(F.max(F.struct("n_shingles", "planes")).alias("m")).select("id", "m.*"), "marks")
-    rows = reps.select("id", F.explode("bands").alias("key")).withColumn("h", F.xxhash64("id", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("low")).where("n > 1").select("key", "low")
-    members = work.write(rows.join(shared, "key").select("key", "id", F.expr("h = low").alias("pivot")).distinct(), "members")
-
-    pivots = members.where("pivot").select("key", F.col("id").alias("p"))
-    pairs = members.where("not pivot").join(pivots, "key").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"), "id").where("a > b")
-    likely = work.write(_likely(pairs.select("a", "b"), marks), "likely")
+    # the pivot of a bucket is the id that is smallest when its bits are flipped by the key's, so no join has to bring it back
+    rows = reps.select("id", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("low")).where("n > 1")
+    members = rows.join(shared.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("p")), "key").distinct()
+    members = work.write(members, "members")
+
+    pairs = members.where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"))
+    likely = work.write(_likely(pairs, marks), "likely")
     # texts of the rows that any later step may need, read from the input once
     wanted = bounded(members.select("id").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = work.write(texts.join(wanted, "id", "left_semi"), "texts")
     best = likely.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", "m.b")
     links = work.write(confirmed(best, texts), "links-1")
-    found = components(links, work, "parts-1")
+    found = roots(links, work, "parts-1")
 
-    more = work.write(confirmed(_apart(likely.select("a", "b"), found), texts), "links-2")
+    more = work.write(confirmed(_apart(likely.select("a", "b"), found), texts, "c_a", "c_b"), "links-2")
 
     # whoever is not in the largest component of its bucket is compared with the rest of the bucket
-    placed = members.where("not pivot").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
+    placed = members.where("id <> p").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
     most = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("m"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
     split = most.where("parts > 1").select("key", F.col("m.c").alias("large"), tiles(F.col("size")).alias("na"), tiles(F.col("size") - F.col("m.n")).alias("nm"))
@@ -242,11 +250,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_rows = placed.select("key", every("nm").alias("mb"), tile("na", 2).alias("ab"), F.lit(1).alias("role"), "id", "c")
     codes = work.write(texts.join(placed.select("id").distinct(), "id", "left_semi").mapInArrow(_codes, "id long, codes binary"), "codes")
     rest = few.unionByName(all_rows).join(codes, "id").repartition("key", "mb", "ab").sortWithinPartitions("key", "mb", "ab", "role")
-    rest = work.write(rest.select("key", "mb", "ab", "role", "id", "c", "codes").mapInArrow(_compare, "a long, b long").distinct(), "rest")
-    links = work.write(links.unionByName(more).unionByName(confirmed(rest, texts)), "links-3")
-    found = components(links, work, "parts-2")
+    rest = rest.select("key", "mb", "ab", "role", "id", "c", "codes").mapInArrow(_compare, "a long, b long, c_a long, c_b long").distinct()
+    rest = work.write(confirmed(work.write(rest, "rest"), texts, "c_a", "c_b"), "links-3")
+    # what is left joins components, so only these are nodes of the second graph
+    joined = components(more.unionByName(rest), work, "parts-2").select(F.col("id").alias("c"), F.col("component_id").alias("joined"))
 
-    whole = classes.join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = classes.select("n_shingles", "f1", "f2", "rep").join(found, F.col("rep") == F.col("id"), "left").withColumn("c", F.coalesce("component_id", "rep"))
+    whole = whole.join(joined, "c", "left").select("n_shingles", "f1", "f2", F.coalesce("joined", "c").alias("component_id"))
     out = made.drop("planes", "bands").join(whole, ["n_shingles", "f1", "f2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -264,6 +274,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that are not yet in one component."""
+    """Pairs that are not yet in one component, with the components ``c_a`` and ``c_b``."""
     a, b = (found.select(F.col("id").alias(c), F.col("component_id").alias(f"c_{c}")) for c in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+    placed = pairs.join(a, "a", "left").join(b, "b", "left")
+    return placed.select("a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b")).where("c_a <> c_b")
