@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenmatch.operators import resampling as J
+from evenmatch.sources.storage import written
 
 
 def test_long_series_draw_as_short_ones(spark, monkeypatch):
@@ -16,3 +17,24 @@ def test_long_series_draw_as_short_ones(spark, monkeypatch):
     assert {s: r.n_units for s, r in split.items()} == {True: 300, False: 600}
     for s, r in whole.items():
         assert (split[s].ci_low, split[s].ci_high) == pytest.approx((r.ci_low, r.ci_high), rel=1e-12)
+
+
+def merged(d):
+    """No broadcast in the plan, neither before the run nor after it; small files may hold any number of rows."""
+    plan = lambda: d._jdf.queryExecution().executedPlan().toString()
+    first = plan()
+    rows = d.groupBy("s", "b").count().collect()
+    return rows, "Broadcast" not in first and "Broadcast" not in plan()
+
+
+@pytest.fixture
+def units(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    yield written(spark.range(900).selectExpr("id % 3 = 0 AS s", "id AS u", "cast(id AS double) AS v"), "units")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_draws_are_never_broadcast(units):
+    rows, spread = merged(J._drawn(written(J._numbered(units, ["s"], "u", 2), "numbered"), 20, 2))
+    assert spread and {(r.s, r.b): r["count"] for r in rows} == {(s, b): 300 if s else 600 for s in (True, False) for b in range(1, 21)}
