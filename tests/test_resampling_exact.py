@@ -38,3 +38,8 @@ def units(spark):
 def test_draws_are_never_broadcast(units):
     rows, spread = merged(J._drawn(written(J._numbered(units, ["s"], "u", 2), "numbered"), 20, 2))
     assert spread and {(r.s, r.b): r["count"] for r in rows} == {(s, b): 300 if s else 600 for s in (True, False) for b in range(1, 21)}
+
+
+def test_units_are_never_broadcast(units):
+    rows, spread = merged(J.resample(units, ["s"], "u", 20, 2))
+    assert spread and {(r.s, r.b): r["count"] for r in rows} == {(s, b): 300 if s else 600 for s in (True, False) for b in range(1, 21)}
