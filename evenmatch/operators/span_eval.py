@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .spans import overlap_pairs
+from .annotation import GROUP_LIMIT
+from .spans import BIN
 
 VIEWS = {"all": (None, None), "skill": (("skill", "verb_phrase"), ("skill",)), "knowledge": (("knowledge",), ("knowledge",))}
 
@@ -81,17 +82,42 @@ def span_prf(pred: DataFrame, gold: DataFrame, key: str = "doc_id", group: str =
 
 
 def span_errors(pred: DataFrame, gold: DataFrame, top: int = 40, key: str = "doc_id") -> DataFrame:
-    """Most frequent false positives, boundary errors and missed gold spans: (kind, text, n)."""
-    b = [key, "start", "end"]
-    hits = overlap_pairs(pred, gold, [key])
-    fp = pred.join(hits.select(*b).distinct(), b, "left_anti").select(F.lit("false_positive").alias("kind"), F.lower("text").alias("text"))
-    wrong = gold.join(exact_hits(pred, gold, [key]), b, "left_anti")
-    texts = pred.select(key, "start", "end", F.col("text").alias("pred_text")).dropDuplicates(b)
-    touched = hits.join(texts, b).groupBy(key, F.col("b_start").alias("start"), F.col("b_end").alias("end")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "pred_text"))), lambda x: x["pred_text"]), " | ").alias("preds"))
-    boundary = wrong.join(touched, b).select(F.lit("boundary").alias("kind"), F.concat("text", F.lit("  ->  "), "preds").alias("text"))
-    missed = wrong.join(touched, b, "left_anti").select(F.lit("missed").alias("kind"), F.lower("text").alias("text"))
-    counts = fp.unionByName(boundary).unionByName(missed).groupBy("kind", "text").agg(F.count(F.lit(1)).alias("n"))
+    """Most frequent false positives, boundary errors and missed gold spans: (kind, text, n).
+
+    Spans and their texts are shuffled once, by document. They meet inside the row of a (document,
+    position bin); a span of several bins is put together again without leaving its task.
+    """
+    side = lambda d, p: d.select(key, "start", "end", "text", F.lit(p).alias("p"))
+    rows = side(pred, True).unionByName(side(gold, False)).repartition(key)
+    bins = F.when(F.col(key).isNotNull(), F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN)))
+    span, bin_ = F.struct("start", "end", "text"), F.col("_bin")
+    met = rows.withColumn("_bin", F.explode_outer(bins)).groupBy(key, "_bin").agg(
+        F.sort_array(F.collect_list(F.when(F.col("p"), span))).alias("_p"), F.sort_array(F.collect_list(F.when(~F.col("p"), span))).alias("_g"))
+    same = lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"])
+    # a pair that shares several bins meets in the first of them; spans without a bin meet none
+    meet = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"]) & (bin_ == F.floor(F.greatest(x["start"], y["start"]) / BIN))
+    once = F.filter("_p", lambda x, i: ~F.coalesce((i > 0) & same(x, F.get("_p", i - 1)), F.lit(False)))
+    met = met.withColumn("_d", once)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def found(x, p, touched, exact, by):
+        home = bin_.isNull() | (bin_ == F.floor(x["start"] / BIN))
+        return F.struct(F.lit(p).alias("p"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), home.cast("bigint").alias("n"),
+                        yes(touched).alias("touched"), yes(exact).alias("exact"), by.alias("by"))
+
+    none = F.array().cast(met.schema["_p"].dataType)
+    preds = F.transform("_p", lambda x: found(x, True, F.exists("_g", lambda y: meet(x, y)), F.lit(False), none))
+    golds = F.transform("_g", lambda y: found(
+        y, False, F.exists("_d", lambda x: meet(x, y)), bin_.isNotNull() & F.exists("_d", lambda x: same(x, y)), F.filter("_d", lambda x: meet(x, y))))
+    each = met.select(key, F.explode_outer(F.concat(preds, golds)).alias("x")).select(key, "x.*").groupBy(key, "p", "start", "end", "text").agg(
+        F.sum("n").alias("n"), F.max("touched").alias("touched"), F.max("exact").alias("exact"), F.array_distinct(F.flatten(F.collect_list("by"))).alias("by"))
+    kind = F.when(F.col("p"), F.when(~F.col("touched"), "false_positive")).when(~F.col("exact"), F.when(F.col("touched"), "boundary").otherwise("missed"))
+    texts = F.concat("text", F.lit("  ->  "), F.array_join(F.transform(F.sort_array("by"), lambda x: x["text"]), " | "))
+    errors = each.select(kind.alias("kind"), F.when(~F.col("p") & F.col("touched"), texts).otherwise(F.lower("text")).alias("text"), "n")
+    counts = errors.where("kind IS NOT NULL").groupBy("kind", "text").agg(F.sum("n").alias("n"))
+    if top <= GROUP_LIMIT:  # each task keeps the first rows of a kind
+        r = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "text"))
+        return counts.withColumn("_r", r).where(F.col("_r") <= top).drop("_r")
     tops = [counts.where(F.col("kind") == k).orderBy(F.desc("n"), "text").limit(top) for k in ("false_positive", "boundary", "missed")]
     return tops[0].unionByName(tops[1]).unionByName(tops[2])
 
