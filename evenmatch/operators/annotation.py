@@ -7,18 +7,34 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.checks import asserted
 from ..functions.ordering import hash_position, quantile_row, tie_table, average_rank, with_average_rank
 from ..functions.text import order_hash
+from ..sources.storage import written
 from .resampling import _interval, resample
 
+POOL_ROWS = 300_000  # scores of a pool that are ranked in one task
 GROUP_LIMIT = 1000  # up to this rank Spark cuts groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
 
 
 # ------------------------------------------------------------------------------------ sampling
 def consensus_scores(scores: DataFrame, scorers: list[str], pool: str = "jd_id", item: str = "bio_id") -> DataFrame:
-    """Mean over scorers of the average-rank percentile inside (scorer, pool). A missing scorer fails the job."""
-    d = scores.where(F.col("scorer").isin(scorers))
-    ranks = tie_table(d, ["scorer", pool], "score").select("scorer", pool, "score", (average_rank() / F.col("total")).alias("_pct"))
-    c = d.select("scorer", pool, item, "score").join(ranks, ["scorer", pool, "score"]).groupBy(pool, item).agg(
-        F.avg("_pct").alias("consensus"), F.count_distinct("scorer").alias("_n"))
+    """Mean over scorers of the average-rank percentile inside (scorer, pool). A missing scorer fails the job.
+
+    The rows are dealt out by pool and ranked there, in one shuffle. Pools of more than ``POOL_ROWS`` rows
+    go through the tie table and are spread over the cluster.
+    """
+    d = scores.where(F.col("scorer").isin(scorers)).select("scorer", pool, item, "score").where(F.col(pool).isNotNull() & F.col("score").isNotNull())
+    large = written(d.groupBy(pool).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > POOL_ROWS).select(pool), "large-pools")
+    some = not large.isEmpty()
+    per = W.partitionBy(pool, "scorer")
+    n, lower = F.count(F.lit(1)).over(W.partitionBy(pool, "scorer", "score")), F.rank().over(per.orderBy("score")).cast("bigint") - 1
+    pct = ((lower + (n + 1) / F.lit(2.0)) / F.count(F.lit(1)).over(per)).alias("_pct")
+    # a distinct count would be shuffled twice
+    seen = sum((F.max((F.col("scorer") == s).cast("int")) for s in dict.fromkeys(scorers)), F.lit(0)).alias("_n")
+    mean = lambda x: x.groupBy(pool, item).agg(F.avg("_pct").alias("consensus"), seen)
+    c = mean((d.join(large, pool, "left_anti") if some else d).repartition(pool).select("scorer", pool, item, pct))
+    if some:
+        rest = d.join(large, pool, "left_semi")
+        ranks = tie_table(rest, ["scorer", pool], "score").select("scorer", pool, "score", (average_rank() / F.col("total")).alias("_pct"))
+        c = c.unionByName(mean(rest.join(ranks, ["scorer", pool, "score"])))
     return asserted(c, F.col("_n") == len(scorers), "a scorer is missing from the scores").drop("_n")
 
 

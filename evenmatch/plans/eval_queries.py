@@ -158,7 +158,7 @@ def consensus(t):
     long = t.scores_long()
     c = A.consensus_scores(long, ["a", "b", "c"]).withColumn("consensus", F.round("consensus", 9))
     meta = t.scored().select("jd_id", "bio_id", "split", "jd_occupation", "bio_gender", "rel_graded")
-    return c.join(meta, ["jd_id", "bio_id"])
+    return c.join(meta.hint("merge"), ["jd_id", "bio_id"])  # a pair per row, however small its files
 
 
 def binned(t):
